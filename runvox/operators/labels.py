@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from runvox import vocabulary
 from runvox.operators.runs import union_runs
+from runvox.scale import fixed_table
 
 
 def organ_map(spark: SparkSession) -> DataFrame:
     """(source, label, organ): a fixed table of a few dozen rows."""
     rows = [(s, i, o) for s, ids in vocabulary.LABEL_IDS.items() for o, i in ids.items()]
     rows += [(f"raos{n}", i, o) for n in (1, 2, 3) for o, i in vocabulary.RAOS_LABEL_IDS.items()]
-    return spark.createDataFrame(rows, "source string, label int, organ string")
+    return fixed_table(spark, rows, ["source", "label", "organ"])
 
 
 def structure_map(spark: SparkSession) -> DataFrame:
     rows = [(s, o) for o, parts in vocabulary.STRUCTURES.items() for s in parts]
-    return spark.createDataFrame(rows, "structure string, organ string")
+    return fixed_table(spark, rows, ["structure", "organ"])
 
 
 def remap_labels(runs: DataFrame, label_map: DataFrame) -> DataFrame:
@@ -38,17 +39,19 @@ def map_by_name(source_classes: DataFrame, target_names: DataFrame) -> DataFrame
             .withColumn("missing", F.col("source_id").isNull()))
 
 
-def map_by_prefix(model_labels: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Model label (label, number) belongs to the organ (alias, organ_id) its name starts with.
+def map_by_prefix(model_labels: DataFrame, aliases: dict[str, list[str]], organ_ids: dict[str, int]) -> DataFrame:
+    """Model label (label, number) belongs to the organ whose alias its name starts with; several: the highest id.
 
-    A label is cut to each alias length that occurs, so the match is an equi-join. Where several organs match,
-    the highest id wins.
+    The aliases are a small vocabulary, so they become one expression and no join is needed.
     """
-    lengths = aliases.select(F.length("alias").alias("_n")).distinct().groupBy().agg(
-        F.collect_set("_n").alias("_lengths"))  # one row: the distinct alias lengths
-    cut = (model_labels.join(F.broadcast(lengths)).withColumn("_n", F.explode("_lengths"))
-           .where(F.length("label") >= F.col("_n")).withColumn("alias", F.expr("left(label, _n)")))
-    return cut.join(aliases, "alias").groupBy("label", "number").agg(F.max("organ_id").alias("organ_id"))
+    hits = []
+    for organ, number in organ_ids.items():
+        starts = F.lit(False)
+        for alias in aliases.get(organ, [organ]):
+            starts = starts | F.startswith(F.col("label"), F.lit(alias))
+        hits.append(F.when(starts, F.lit(number)))
+    return (model_labels.withColumn("organ_id", F.array_max(F.array(*hits)))
+            .where(F.col("organ_id").isNotNull()).select("label", "number", "organ_id"))
 
 
 def unreached_organs(mapping: DataFrame, organs: DataFrame) -> DataFrame:

@@ -23,6 +23,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def fixed_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
+    """A small constant table as inline values: the optimizer knows its size and can broadcast it by itself."""
+    def literal(v):
+        return repr(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "\\'") + "'"
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: lineage is cut, lost executors cost nothing, and the file
     size gives the optimizer true statistics for its own broadcast decisions."""
