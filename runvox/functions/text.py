@@ -54,7 +54,7 @@ def canonical_key(name: Column) -> Column:
 def unsafe_name(name: Column) -> Column:
     """Not a plain relative path: empty, absolute, ``.`` or ``..`` parts, doubled or trailing slash, ``\\`` or ``:``."""
     bad = name.rlike(r"^/|(^|/)\.\.?(/|$)|//|/$|\\|:")
-    return F.coalesce((name == "") | bad, F.lit(True))
+    return F.coalesce((name == "") | (bad & (name != ".")), F.lit(True))
 
 
 def full_match(value: Column, pattern: str) -> Column:

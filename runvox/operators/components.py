@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runvox.operators.runs import LENGTH
+from runvox.operators.runs import length
 from runvox.scale import materialise
 from runvox.schemas import RUN_KEY
 
@@ -87,7 +87,7 @@ def label_components(runs: DataFrame, keys: Sequence[str] = RUN_KEY) -> DataFram
 def component_sizes(labelled: DataFrame, keys: Sequence[str] = RUN_KEY) -> DataFrame:
     """(keys, component, voxels, first_x, first_y, first_z): size and first voxel in array order."""
     first = F.min(F.struct("x", "y", "z0"))
-    return (labelled.groupBy(*keys, "component").agg(F.sum(LENGTH).cast("long").alias("voxels"), first.alias("_f"))
+    return (labelled.groupBy(*keys, "component").agg(F.sum(length()).cast("long").alias("voxels"), first.alias("_f"))
             .select(*keys, "component", "voxels", F.col("_f.x").alias("first_x"), F.col("_f.y").alias("first_y"),
                     F.col("_f.z0").alias("first_z")))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runvox.operators.runs import LENGTH, column_sweep, union_runs
+from runvox.operators.runs import length, column_sweep, union_runs
 from runvox.schemas import CASE_KEY
 
 
@@ -27,7 +27,7 @@ def compose_labels(runs: DataFrame) -> DataFrame:
 def overlap_voxels(runs: DataFrame, header: DataFrame) -> DataFrame:
     """Voxels claimed by more than one mask, per case (0 where none)."""
     swept = column_sweep(runs, CASE_KEY, ["organ"])
-    shared = swept.groupBy(*CASE_KEY).agg(F.sum(F.when(F.size("over") > 1, LENGTH).otherwise(0)).alias("n"))
+    shared = swept.groupBy(*CASE_KEY).agg(F.sum(F.when(F.size("over") > 1, length()).otherwise(0)).alias("n"))
     return (header.select(*CASE_KEY).join(shared, CASE_KEY, "left")
             .select(*CASE_KEY, F.coalesce("n", F.lit(0)).cast("long").alias("overlap_voxels")))
 
@@ -61,7 +61,7 @@ def label_disagreement(first: DataFrame, second: DataFrame, header: DataFrame, l
     swept = column_sweep(both, CASE_KEY, ["side", "label"])
     at = lambda side: F.coalesce(F.array_max(F.transform(F.filter("over", lambda r: r["side"] == side),
                                                          lambda r: r["label"])), F.lit(0))
-    pieces = swept.select(*CASE_KEY, LENGTH.alias("n"), F.abs(at(0) - at(1)).alias("delta"))
+    pieces = swept.select(*CASE_KEY, length().alias("n"), F.abs(at(0) - at(1)).alias("delta"))
     changed = pieces.groupBy(*CASE_KEY).agg(F.sum(F.when(F.col("delta") > 0, F.col("n")).otherwise(0)).alias("c"),
                                             F.max("delta").alias("d"))
     shape = F.col("shape")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runvox.operators.runs import LENGTH
+from runvox.operators.runs import length
 from runvox.schemas import CASE_KEY, RUN_KEY
 
 
@@ -64,7 +64,7 @@ def slice_thickness(zooms: Column) -> Column:
 
 def extents(runs: DataFrame, keys: Sequence[str] = RUN_KEY) -> DataFrame:
     """Voxel count, bounding box and index sums of each mask: the single pass most measurements start from."""
-    n = LENGTH.cast("long")
+    n = length().cast("long")
     return runs.groupBy(*keys).agg(
         F.sum(n).alias("voxels"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"),
         F.max("y").alias("y_max"), F.min("z0").alias("z_min"), F.max("z1").alias("z_max"),

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runvox.schemas import RUN_KEY
 
-LENGTH = F.col("z1") - F.col("z0") + 1
+def length() -> Column:
+    """Voxels in a run."""
+    return F.col("z1") - F.col("z0") + 1
 
 
 def voxels_to_runs(voxels: DataFrame, keys: Sequence[str] = RUN_KEY) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runvox.operators.cohort import dense
-from runvox.operators.runs import LENGTH
+from runvox.operators.runs import length
 from runvox.scale import fixed_table
 from runvox.schemas import CASE_KEY, RUN_KEY
 
@@ -19,7 +19,7 @@ def confusion(truth: DataFrame, prediction: DataFrame, header: DataFrame, organs
 
     Runs meet by equi-join on their column; the shared part of two runs is counted, never listed.
     """
-    count = lambda runs, name: runs.groupBy(*RUN_KEY).agg(F.sum(LENGTH).alias(name))
+    count = lambda runs, name: runs.groupBy(*RUN_KEY).agg(F.sum(length()).alias(name))
     p = prediction.select(*RUN_KEY, "x", "y", F.col("z0").alias("p0"), F.col("z1").alias("p1"))
     shared = F.least("z1", "p1") - F.greatest("z0", "p0") + 1
     both = (truth.join(p, [*RUN_KEY, "x", "y"]).where((F.col("z0") <= F.col("p1")) & (F.col("p0") <= F.col("z1")))
