@@ -76,12 +76,17 @@ def connected(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def label_components(runs: DataFrame, keys: Sequence[str] = RUN_KEY) -> DataFrame:
-    """The runs with ``component``: an id that is equal exactly for connected runs of one mask."""
+    """The runs with ``component``: an id that is equal exactly for connected runs of one mask.
+
+    Masks get a number first, so the graph tables that are shuffled in every round hold three integers per row.
+    """
     keys = list(keys)
-    nodes = runs.withColumn("node", _node())
-    roots = connected(run_edges(nodes, keys), keys)
-    return (nodes.join(roots, [*keys, "node"], "left")
-            .withColumn("component", F.coalesce("root", "node")).drop("node", "root"))
+    masks = materialise(runs.select(*keys).distinct().withColumn("mask", F.monotonically_increasing_id()))
+    nodes = runs.join(masks, keys).withColumn("node", _node())
+    graph = materialise(nodes.select("mask", "x", "y", "z0", "z1", "node"))
+    roots = connected(run_edges(graph, ["mask"]), ["mask"])
+    return (nodes.join(roots, ["mask", "node"], "left")
+            .withColumn("component", F.coalesce("root", "node")).drop("mask", "node", "root"))
 
 
 def component_sizes(labelled: DataFrame, keys: Sequence[str] = RUN_KEY) -> DataFrame:

@@ -72,7 +72,8 @@ def size_groups(files: DataFrame, limit: int, prefix: str = "prefix") -> DataFra
     following = Window.partitionBy(prefix).orderBy("band").rowsBetween(1, Window.unboundedFollowing)
     bands = bands.withColumn("_after", F.min("_first").over(following)).select(prefix, "band", "_after")
     # an oversized file does not fit even alone, yet forms its own group: the pointer moves at least one file on
-    step = F.greatest(F.coalesce("_next", "_after"), F.col("asker") + 1)
+    found = F.coalesce("_next", "_after")
+    step = F.when(found.isNotNull(), F.greatest(found, F.col("asker") + 1))
     last = placed.groupBy(prefix).agg(F.max("position").alias("_last"), F.min("position").alias("_start"))
     hops = (inside.join(bands, [prefix, "band"]).join(last, prefix)
             .select(*key, F.col("asker").alias("item"), F.when(step <= F.col("_last"), step).alias("next"))

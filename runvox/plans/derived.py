@@ -118,7 +118,7 @@ BASE = {
                CAST(10 + p_partkey % 13 AS INT) AS ny, CAST(10 + p_partkey % 3 AS INT) AS nz FROM part""",
     "v_geometry": """
         SELECT concat('p', p_partkey) AS id, p_partkey, CAST(p_size AS INT) AS a, CAST(60 + p_partkey % 4 AS INT) AS b,
-               5e-1 + (p_partkey % 3) * 25e-2 AS u, 1 + (p_partkey % 2) * 5e-1 AS w FROM part""",
+               5e-1 + (p_size % 3) * 25e-2 AS u, 1 + (p_partkey % 2) * 5e-1 AS w FROM part""",
 }
 
 
@@ -203,6 +203,33 @@ ORACLE = {
         CASE WHEN in_truth > 0 THEN abs(1e2 * (in_prediction - in_truth) / in_truth) END AS absolute_volume_error_pct,
         CASE WHEN in_truth + in_prediction > 0 THEN 2e0 * intersection / (in_truth + in_prediction) END AS dice,
         in_truth > 0 AND in_prediction = 0 AS miss FROM o_count""",
+    "o_window": "SELECT source, case_id, x, y, z FROM v_ct WHERE hu > -100 AND hu < 100",
+    **component_sql("o_window", "source, case_id", "o_body"),
+    "o_box": """SELECT source, case_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1
+        FROM o_body JOIN (SELECT source, case_id, first(root ORDER BY n DESC, root) AS root FROM (
+          SELECT source, case_id, root, count(*) AS n FROM o_body GROUP BY ALL) GROUP BY ALL) USING (source, case_id, root)
+        GROUP BY ALL""",
+    "o_std": """SELECT b.source, b.case_id, x1 - x0 + 1 AS nx, y1 - y0 + 1 AS ny, z1 - z0 + 1 AS nz,
+        CASE WHEN xs < 0 THEN x1 - gx ELSE gx - x0 END AS x, gy - y0 AS y, gz - z0 AS z,
+        least(greatest(coalesce(hu, -1000), -1000), 1000) AS hu
+        FROM o_box b JOIN v_header h USING (source, case_id) CROSS JOIN (SELECT CAST(unnest(range(8)) AS INT) AS gx)
+        CROSS JOIN (SELECT CAST(unnest(range(8)) AS INT) AS gy) CROSS JOIN (SELECT CAST(unnest(range(8)) AS INT) AS gz)
+        LEFT JOIN v_ct c ON c.source = b.source AND c.case_id = b.case_id AND c.x = gx AND c.y = gy AND c.z = gz
+        WHERE gx BETWEEN x0 AND x1 AND gy BETWEEN y0 AND y1 AND gz BETWEEN z0 AND z1""",
+    "o_digest": """SELECT source, case_id, nx || 'x' || ny || 'x' || nz AS shape,
+        md5(nx || 'x' || ny || 'x' || nz || 'x' || md5(string_agg(h, ',' ORDER BY x))) AS md5 FROM (
+          SELECT source, case_id, nx, ny, nz, x, md5(string_agg(h, ',' ORDER BY y)) AS h FROM (
+            SELECT source, case_id, nx, ny, nz, x, y, md5(string_agg(CAST(hu AS VARCHAR), ',' ORDER BY z)) AS h
+            FROM o_std GROUP BY ALL) GROUP BY ALL) GROUP BY ALL""",
+    "o_sample": """SELECT s.source, s.case_id, i, j, k, sum(least(greatest(hu, -200), 300) * (1 - abs(i * (nx - 1) / 7e0 - x))
+          * (1 - abs(j * (ny - 1) / 7e0 - y)) * (1 - abs(k * (nz - 1) / 7e0 - z))) AS v
+        FROM o_std s JOIN (SELECT unnest(range(8)) AS i) ON abs(i * (nx - 1) / 7e0 - x) < 1
+        JOIN (SELECT unnest(range(8)) AS j) ON abs(j * (ny - 1) / 7e0 - y) < 1
+        JOIN (SELECT unnest(range(8)) AS k) ON abs(k * (nz - 1) / 7e0 - z) < 1 GROUP BY ALL""",
+    "o_descriptor": """SELECT source, case_id, round(max(v) FILTER (WHERE i + j + k = 0), 4) AS v_first,
+        round(max(v) FILTER (WHERE i + j + k = 21), 4) AS v_last, round(sum(v * (i * 64 + j * 8 + k)) / 1e3, 3) AS v_moment FROM (
+          SELECT source, case_id, i, j, k, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS v FROM o_sample
+          WINDOW w AS (PARTITION BY source, case_id)) GROUP BY ALL""",
     "o_vector": "SELECT *, [" + ", ".join(f"CAST(n_{c} AS DOUBLE)" for c in LETTERS) + "] AS raw FROM v_scan",
     "o_centred": "SELECT *, list_transform(raw, lambda x: x - list_avg(raw)) AS c FROM o_vector",
     "o_unit": """SELECT *, CASE WHEN list_sum(list_transform(c, lambda x: x * x)) > 0

@@ -1 +1,690 @@
-"""Queries over tables."""
+"""Queries over row tables: registries, names, splits, overlap, provenance, manifests, work, streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from runvox import vocabulary
+from runvox.functions import text
+from runvox.operators import folds, manifest, overlap, provenance, report, sets, work
+from runvox.plans.catalog import Tables, query, r6
+from runvox.plans.derived import LETTERS
+from runvox.scale import checkpoint_root, fixed_table, materialise
+from runvox.sources import registry, tables
+from runvox.streaming import progress as streams
+
+
+def _scratch(t: Tables, name: str) -> str:
+    return f"{checkpoint_root(t.spark)}/runvox/{name}-{uuid.uuid4().hex}"
+
+
+# Registries, names, text ---------------------------------------------------------------------------------------------
+
+_FOLDER_SQL = ", ".join(f"('{s}', '{f}', '{o}')" for s, f, o in vocabulary.LABEL_FOLDERS)
+
+
+@query("case_registry", f"""SELECT source, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.nii\\.gz$', '') AS case_id,
+    official_split, path FROM v_path JOIN (VALUES {_FOLDER_SQL}) AS f(source, folder, official_split)
+    ON path LIKE '%/' || source || '/' || folder || '/%' WHERE path LIKE '%.nii.gz'""")
+def case_registry(t: Tables) -> DataFrame:
+    return registry.cases_from_folders(t.base("v_path").select("path"), registry.label_folders(t.spark))
+
+
+@query("case_name", """SELECT source, case_id, CASE WHEN starts_with(lower(case_id), source) THEN case_id
+    ELSE source || '_' || case_id END AS name, split_part(name, '_', 1) AS scoring_source FROM (
+    SELECT source, case_id FROM v_header UNION ALL SELECT source, case_id FROM v_case
+    UNION ALL SELECT 'flare', 'FLARE22_Tr_' || doc_id FROM documents)""")
+def case_name(t: Tables) -> DataFrame:
+    more = t.table("documents").select(F.lit("flare").alias("source"),
+                                       F.concat(F.lit("FLARE22_Tr_"), "doc_id").alias("case_id"))
+    rows = t.base("v_header").select("source", "case_id").unionByName(
+        t.base("v_case").select("source", "case_id")).unionByName(more)
+    name = text.case_name(F.col("source"), F.col("case_id"))
+    return rows.select("source", "case_id", name.alias("name"), text.scoring_source(name).alias("scoring_source"))
+
+
+@query("pair_images", """SELECT l.source, label_path, count(*) AS candidates, count(image_path) AS matches,
+    first(image_path ORDER BY n) FILTER (WHERE image_path IS NOT NULL) AS image_path FROM (
+      SELECT source, label_path, 0 AS n, CASE source WHEN 'btcv' THEN replace(label_path, '/label/label', '/img/img')
+        WHEN 'amos' THEN replace(label_path, '/labels', '/images')
+        ELSE regexp_replace(replace(label_path, '/labels', '/images'), '\\.nii\\.gz$', '_0000.nii.gz') END AS want FROM v_label_path
+      UNION ALL SELECT source, label_path, 1, replace(label_path, '/labels', '/images') FROM v_label_path WHERE source LIKE 'raos%') l
+    LEFT JOIN v_image_path ON image_path = want GROUP BY ALL""")
+def pair_images(t: Tables) -> DataFrame:
+    return registry.pair_images(t.base("v_label_path"), t.base("v_image_path"))
+
+
+@query("eval_case_id", """SELECT doc_id, scan, CASE WHEN d = 'BTCV' AND stem LIKE 'img%' THEN 'btcv_label' || substr(stem, 4)
+      WHEN d = 'FLARE' AND stem LIKE '%\\_0000' ESCAPE '\\' THEN left(stem, length(stem) - 5)
+      WHEN d = 'AMOS' AND starts_with(stem, 'amos_') THEN stem END AS evaluation_case_id
+    FROM (SELECT *, regexp_replace(scan, '\\.nii\\.gz$', '') AS stem FROM (
+      SELECT doc_id, ['AMOS', 'BTCV', 'FLARE'][doc_id % 3 + 1] AS d,
+        ['amos_', 'img', 'FLARE22_Tr_', 'img'][doc_id % 4 + 1] || doc_id || ['_0000', ''][doc_id % 2 + 1] || '.nii.gz' AS scan
+      FROM documents))""")
+def eval_case_id(t: Tables) -> DataFrame:
+    k = F.col("doc_id")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    scan = F.concat(pick(["amos_", "img", "FLARE22_Tr_", "img"]), k, pick(["_0000", ""]), F.lit(".nii.gz"))
+    return t.table("documents").select("doc_id", scan.alias("scan"), text.eval_case_id(
+        pick(["AMOS", "BTCV", "FLARE"]), scan).alias("evaluation_case_id"))
+
+
+@query("group_name", """SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN 'raos' || doc_id % 4 END AS group_name,
+    source || '-' || doc_id || '-x' AS name FROM documents""")
+def group_name(t: Tables) -> DataFrame:
+    folder = F.concat(F.lit("Real/Images(Set"), F.when(F.col("doc_id") % 4 > 0, (F.col("doc_id") % 4).cast("string"))
+                      .otherwise("X"), F.lit(")/labelsTr"))
+    return t.table("documents").select("doc_id", text.group_name(folder).alias("group_name"),
+                                       text.dashed(F.concat_ws(".", "source", "doc_id", F.lit("x"))).alias("name"))
+
+
+@query("canonical_key", """SELECT p_partkey, array_to_string(list_sort(list_filter(string_split(replace(regexp_replace(
+    lower(p_type || '_Vertebrae  ' || p_name || '__L' || p_size), '[_\\s]+', ' ', 'g'), 'vertebrae', 'vertebra'), ' '),
+    lambda w: w <> '')), ' ') AS key FROM part""")
+def canonical_key(t: Tables) -> DataFrame:
+    name = F.concat("p_type", F.lit("_Vertebrae  "), "p_name", F.lit("__L"), "p_size")
+    return t.table("part").select("p_partkey", text.canonical_key(name).alias("key"))
+
+
+_NAMES = "CASE page_id % 8 WHEN 0 THEN '/' || stem WHEN 1 THEN stem || '/../x' WHEN 2 THEN 'a\\b' || page_id " \
+         "WHEN 3 THEN stem || '//y' WHEN 4 THEN 'C:/' || stem WHEN 5 THEN './' || stem ELSE stem END"
+
+
+@query("unsafe_names", f"""SELECT page_id, name FROM (SELECT page_id, {_NAMES} AS name FROM (
+    SELECT page_id, regexp_replace(url, '^https?://', '') AS stem FROM pages))
+    WHERE page_id % 8 < 6 OR contains(name, ':') OR ends_with(name, '/') OR contains(name, '//') OR contains(name, '\\')
+      OR contains('/' || name || '/', '/../') OR contains('/' || name || '/', '/./')""")
+def unsafe_names(t: Tables) -> DataFrame:
+    stem = F.regexp_replace("url", "^https?://", "")
+    k = F.col("page_id") % 8
+    name = (F.when(k == 0, F.concat(F.lit("/"), stem)).when(k == 1, F.concat(stem, F.lit("/../x")))
+            .when(k == 2, F.concat(F.lit("a\\b"), "page_id")).when(k == 3, F.concat(stem, F.lit("//y")))
+            .when(k == 4, F.concat(F.lit("C:/"), stem)).when(k == 5, F.concat(F.lit("./"), stem)).otherwise(stem))
+    return t.table("pages").select("page_id", name.alias("name")).where(text.unsafe_name(F.col("name")))
+
+
+@query("bad_ids", """SELECT c_custkey, id FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_name
+    ELSE 's' || CAST(c_custkey AS VARCHAR) END AS id FROM customer) WHERE NOT regexp_full_match(id, 's[0-9]{4}')""")
+def bad_ids(t: Tables) -> DataFrame:
+    c = t.table("customer")
+    name = F.when(F.col("c_custkey") % 5 == 0, F.col("c_name")).otherwise(F.concat(F.lit("s"), "c_custkey"))
+    return c.select("c_custkey", name.alias("id")).where(~text.full_match(F.col("id"), r"s\d{4}"))
+
+
+@query("eol_hash", """SELECT doc_id, sha256(stored) AS raw, sha256(replace(stored, chr(13) || chr(10), chr(10))) AS lf,
+    true AS matches FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END
+    AS stored FROM documents)""")
+def eol_hash(t: Tables) -> DataFrame:
+    stored = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    known = F.sha2(F.replace("text", F.lit("\r\n"), F.lit("\n")), 256)
+    hashes = t.table("documents").select("doc_id", text.eol_hashes(stored).alias("h"), known.alias("known"))
+    return hashes.select("doc_id", F.col("h")[0].alias("raw"), F.col("h")[1].alias("lf"),
+                         F.array_contains("h", F.col("known")).alias("matches"))
+
+
+@query("log_tail", """SELECT doc_id, line_no, right(regexp_replace(line, 'th[A-Za-z0-9]+', '[redacted]', 'g'), 80) AS line FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS rn FROM (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+      FROM documents) WHERE regexp_matches(line, 'tion|Error|que')) WHERE rn <= 10""")
+def log_tail(t: Tables) -> DataFrame:
+    lines = t.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    last = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("line_no")))
+    kept = lines.where(F.col("line").rlike("tion|Error|que")).withColumn("_n", last).where("_n <= 10")
+    return kept.select("doc_id", F.col("line_no").cast("long").alias("line_no"),
+                       text.redact(F.col("line"), "th[A-Za-z0-9]+", 80).alias("line"))
+
+
+@query("log_ids", """SELECT DISTINCT unnest(regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1)) AS id FROM pages""")
+def log_ids(t: Tables) -> DataFrame:
+    return tables.log_ids(t.table("pages").select(F.col("html").alias("value")), 'href="/([A-Za-z]+)"')
+
+
+@query("split_from_json", """SELECT conv_id, turn, fold, part, id AS name FROM (
+    SELECT conv_id, turn, unnest([0, 0, 0, 1, 1]) AS fold, unnest(['train', 'train', 'val', 'train', 'val']) AS part,
+           unnest(['a' || conv_id, 'b' || turn, 'c' || role, 'd' || conv_id, 'e' || turn]) AS id FROM conversations)""")
+def split_from_json(t: Tables) -> DataFrame:
+    doc = F.format_string('[{"train":["a%d","b%d"],"val":["c%s"]},{"train":["d%d"],"val":["e%d"]}]',
+                          "conv_id", "turn", "role", "conv_id", "turn")
+    docs = t.table("conversations").select("conv_id", "turn", doc.alias("value"))
+    parsed = docs.withColumn("folds", F.from_json("value", "array<struct<train:array<string>,val:array<string>>>"))
+    return tables.split_from_folds(parsed, ["conv_id", "turn"])
+
+
+@query("union_columns", """SELECT s_suppkey AS id, s_name AS name, NULL AS segment, s_acctbal AS balance FROM supplier
+    UNION ALL BY NAME SELECT c_custkey AS id, c_mktsegment AS segment FROM customer""")
+def union_columns(t: Tables) -> DataFrame:
+    a = t.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
+                                   F.col("s_acctbal").alias("balance"))
+    b = t.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    return sets.union_columns(a, b)
+
+
+@query("replace_shard", """SELECT shard, count(*) AS n, round(sum(corr), 4) AS total FROM (
+    SELECT shard, corr FROM v_overlap WHERE shard NOT IN ('shard2', 'shard3')
+    UNION ALL SELECT shard, corr + 1 FROM v_overlap WHERE shard IN ('shard2', 'shard3') AND match_type = 'exact') GROUP BY 1""")
+def replace_shard(t: Tables) -> DataFrame:
+    path = _scratch(t, "overlap")
+    rows = t.base("v_overlap").drop("o_orderkey")
+    tables.replace_shard(rows, path)
+    again = rows.where("shard IN ('shard2', 'shard3') AND match_type = 'exact'").withColumn("corr", F.col("corr") + 1)
+    for _ in range(2):  # repeating it changes nothing
+        tables.replace_shard(again, path)
+    return t.spark.read.parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("n"),
+                                                           F.round(F.sum("corr"), 4).alias("total"))
+
+
+# Splits --------------------------------------------------------------------------------------------------------------
+
+def strata_sql(cases: str) -> str:
+    return f"""(SELECT c.*, CASE WHEN count(*) OVER (PARTITION BY source, thick, size) >= 10 THEN source || '|' || thick || '|' || size
+        WHEN count(*) OVER (PARTITION BY source, size) >= 10 THEN source || '|' || size ELSE source END AS stratum FROM (
+          SELECT c.*, CASE WHEN slice_thickness_mm <= 2 THEN '<=2 mm' WHEN slice_thickness_mm <= 4 THEN '2-4 mm' ELSE '4-5 mm' END AS thick,
+            CASE WHEN volume = 0 THEN 'none' WHEN volume <= lo THEN 'small' WHEN volume <= hi THEN 'medium' ELSE 'large' END AS size
+          FROM {cases} c CROSS JOIN (SELECT quantile_cont(volume, 1/3) AS lo, quantile_cont(volume, 2/3) AS hi
+            FROM {cases} WHERE volume > 0)) c)"""
+
+
+def folds_sql(cases: str) -> str:
+    return f"""(SELECT *, (row_number() OVER (ORDER BY f, md5('12345|' || source || '|' || case_id), source, case_id) - 1) % 5 AS fold
+        FROM (SELECT *, min(source || chr(0) || case_id) OVER (PARTITION BY stratum) AS f FROM {strata_sql(cases)}))"""
+
+
+_OUTER = folds_sql("v_case")
+_DEV = f"(SELECT source, case_id, name, slice_thickness_mm, volume FROM {_OUTER} WHERE fold > 0)"
+_ROLES = f"""(SELECT source, case_id, name, slice_thickness_mm, volume, stratum, 'test' AS role, NULL AS fold FROM {_OUTER} WHERE fold = 0
+    UNION ALL SELECT source, case_id, name, slice_thickness_mm, volume, stratum, CASE WHEN fold = 0 THEN 'validation' ELSE 'train' END, fold
+    FROM {folds_sql(_DEV)})"""
+
+
+def _cases(t: Tables) -> DataFrame:
+    return t.base("v_case").drop("doc_id")
+
+
+@query("strata", f"SELECT source, case_id, stratum FROM {strata_sql('v_case')}")
+def strata(t: Tables) -> DataFrame:
+    return folds.strata(_cases(t)).select("source", "case_id", "stratum")
+
+
+@query("folds", f"SELECT source, case_id, stratum, CAST(fold AS INT) AS fold FROM {_OUTER}")
+def folds_query(t: Tables) -> DataFrame:
+    return folds.five_folds(_cases(t)).select("source", "case_id", "stratum", "fold")
+
+
+@query("split_roles", f"SELECT source, case_id, stratum, role, CAST(fold AS INT) AS fold FROM {_ROLES}")
+def split_roles(t: Tables) -> DataFrame:
+    return folds.split_roles(_cases(t)).select("source", "case_id", "stratum", "role", "fold")
+
+
+@query("balance", f"""SELECT role, count(*) AS cases, count(*) FILTER (WHERE volume > 0) AS with_glands,
+    count(*) FILTER (WHERE slice_thickness_mm <= 2) AS thin, count(*) FILTER (WHERE slice_thickness_mm > 2 AND slice_thickness_mm <= 4) AS middle,
+    count(*) FILTER (WHERE slice_thickness_mm > 4) AS thick, round(coalesce(median(volume) FILTER (WHERE volume > 0), 0), 6) AS median_volume
+    FROM {_ROLES} GROUP BY 1""")
+def balance(t: Tables) -> DataFrame:
+    return folds.balance(materialise(folds.split_roles(_cases(t)))).withColumn("median_volume", r6("median_volume"))
+
+
+@query("stratum_mix", f"""SELECT '(all)' AS role, stratum, count(*) AS cases FROM {_ROLES} GROUP BY ALL
+    UNION ALL SELECT role, stratum, count(*) FROM {_ROLES} GROUP BY ALL""")
+def stratum_mix(t: Tables) -> DataFrame:
+    return folds.stratum_mix(folds.split_roles(_cases(t)))
+
+
+@query("split_table", f"""SELECT f AS fold, CASE WHEN fold = f THEN 'val' ELSE 'train' END AS part, name
+    FROM {_ROLES} CROSS JOIN (SELECT CAST(unnest(range(5)) AS INT) AS f) WHERE role <> 'test'""")
+def split_table(t: Tables) -> DataFrame:
+    return folds.split_table(folds.split_roles(_cases(t)), F.col("name"))
+
+
+@query("split_violations", """
+    SELECT 1 AS fold, name, unnest(['test case in fold']) AS problem FROM v_build b WHERE role = 'test'
+      AND name IN (SELECT name FROM v_split WHERE fold = 1)
+    UNION ALL SELECT f, name, 'missing from fold' FROM v_build CROSS JOIN (SELECT CAST(unnest(range(5)) AS INT) AS f)
+      WHERE role = 'train' AND (f, name) NOT IN (SELECT fold, name FROM v_split)
+    UNION ALL SELECT fold, name, 'not a kept case' FROM v_split WHERE name NOT IN (SELECT name FROM v_build WHERE role IN ('train', 'test'))
+    UNION ALL SELECT 2, name, 'in both parts' FROM v_split WHERE fold = 2 AND name LIKE '%7' AND part = 'train'""")
+def split_violations(t: Tables) -> DataFrame:
+    split = t.base("v_split")
+    also_val = split.where("fold = 2 AND part = 'train' AND name LIKE '%7'").withColumn("part", F.lit("val"))
+    return folds.split_violations(split.unionByName(also_val), t.base("v_build").select("name", "role"))
+
+
+@query("membership", """SELECT c.name, source, case_id, coalesce(CASE part WHEN 'val' THEN 'validation' ELSE part END,
+    CASE role WHEN 'test' THEN 'test' END, 'excluded_from_dataset902') AS split FROM v_case c
+    LEFT JOIN (SELECT name, part FROM v_split WHERE fold = 0) USING (name)
+    LEFT JOIN (SELECT name, role FROM v_build WHERE role = 'test') b USING (name)""")
+def membership(t: Tables) -> DataFrame:
+    known = provenance.roles(t.base("v_build"), t.base("v_split"))
+    return provenance.with_membership(t.base("v_case").select("name", "source", "case_id"), known)
+
+
+_OLD = """CASE WHEN b.role = 'test' THEN 'test' WHEN b.role = 'train' AND s.name IS NOT NULL THEN 'val' ELSE 'train' END"""
+
+
+@query("inherit_roles", f"""SELECT c.name, {_OLD} AS role, b.name IS NULL AS is_new FROM v_case c
+    LEFT JOIN (SELECT * FROM v_build WHERE role IN ('train', 'test') AND name NOT LIKE '%3') b USING (name)
+    LEFT JOIN (SELECT name FROM v_split WHERE fold = 0 AND part = 'val') s USING (name)""")
+def inherit_roles(t: Tables) -> DataFrame:
+    old = t.base("v_build").where("name NOT LIKE '%3'")
+    return provenance.inherit_roles(t.base("v_case").select("name"), old, t.base("v_split"))
+
+
+@query("lost_cases", "SELECT name, role FROM v_build WHERE role IN ('train', 'test') AND name IN (SELECT name FROM v_case WHERE slice_thickness_mm > 4)")
+def lost_cases(t: Tables) -> DataFrame:
+    candidates = t.base("v_case").where("slice_thickness_mm <= 4").select("name")
+    return provenance.lost_cases(candidates, t.base("v_build")).select("name", "role")
+
+
+@query("provenance", """SELECT c.name, c.source, c.case_id, scan AS scan_decision, CASE WHEN c.source <> 'en' THEN 'yes' ELSE 'no (own labels)' END AS pseudo_label,
+    coalesce(o.role, 'excluded') AS first_finetune,
+    coalesce(n.role, 'excluded (fragmented, left/right or > 5 mm)') AS second_finetune, coalesce(n.reason, '') AS second_finetune_exclusion,
+    CASE WHEN o.role = 'test' THEN 'yes' ELSE '' END AS comparison_test,
+    CASE WHEN o.role = 'test' AND c.source <> 'en' THEN 'yes' ELSE '' END AS comparison_matched,
+    CASE WHEN c.source IN ('de', 'fr') THEN 'yes' ELSE '' END AS comparison_external,
+    CASE WHEN c.source = 'es' THEN 'yes' ELSE '' END AS comparison_flare
+    FROM (SELECT *, CASE WHEN slice_thickness_mm > 4 THEN 'excluded' ELSE 'kept_with_adrenal' END AS scan FROM v_case) c
+    LEFT JOIN (SELECT * FROM v_build WHERE role <> 'failed') o USING (name)
+    LEFT JOIN (SELECT name, role, CASE WHEN role = 'failed' THEN 'bad file' ELSE '' END AS reason FROM v_build WHERE name NOT LIKE '%1') n USING (name)""")
+def provenance_query(t: Tables) -> DataFrame:
+    scan = F.when(F.col("slice_thickness_mm") > 4, "excluded").otherwise("kept_with_adrenal")
+    build = t.base("v_build")
+    new = build.where("name NOT LIKE '%1'").withColumn("reason", F.when(F.col("role") == "failed", "bad file").otherwise(""))
+    return provenance.provenance(t.base("v_case").withColumn("scan", scan), build.where("role <> 'failed'"), new,
+                                 "en", ("de", "fr"), "es")
+
+
+# Overlap -------------------------------------------------------------------------------------------------------------
+
+WIDTH = len(LETTERS)
+
+
+def _scans(t: Tables) -> DataFrame:
+    """Letter counts of each whole text as the descriptor, its md5 as the hash."""
+    raw = F.array(*[F.col(f"n_{c}").cast("double") for c in LETTERS])
+    rows = t.base("v_scan").select("ordinal", "id", "dataset", "md5", F.array("shape_x").alias("shape"), "is_gold",
+                                   raw.alias("raw"))
+    return overlap.zscored(rows, "raw", "v").drop("raw")
+
+
+_MATCH_SQL = """
+    SELECT s.id, g.dataset AS gold_dataset, g.id AS gold_scan, 'exact' AS match_type, 1e0 AS corr, x.n AS gold_copies
+    FROM v_scan s JOIN (SELECT md5, min(ordinal) AS o, count(*) AS n FROM v_scan WHERE is_gold = 1 GROUP BY 1) x USING (md5)
+    JOIN v_scan g ON g.ordinal = x.o WHERE s.is_gold = 0
+    UNION ALL
+    SELECT id, gold_dataset, gold_scan, CASE WHEN r > 97e-2 AND shape_x = gx THEN 'shape+corr' ELSE 'corr-only' END, r, 1
+    FROM (SELECT s.id, s.shape_x, g.dataset AS gold_dataset, g.id AS gold_scan, g.shape_x AS gx,
+                 round(list_dot_product(s.v, g.v) / 16, 9) AS r,
+                 row_number() OVER (PARTITION BY s.id ORDER BY round(list_dot_product(s.v, g.v) / 16, 9) DESC, g.ordinal) AS rn
+          FROM o_unit s JOIN o_unit g ON g.is_gold = 1 AND s.is_gold = 0
+          WHERE s.md5 NOT IN (SELECT md5 FROM v_scan WHERE is_gold = 1))
+    WHERE rn = 1 AND ((r > 97e-2 AND shape_x = gx) OR r > 99e-2)"""
+
+
+@query("overlap_match", f"SELECT id, gold_dataset, gold_scan, match_type, round(corr, 6) AS corr, gold_copies FROM ({_MATCH_SQL})")
+def overlap_match(t: Tables) -> DataFrame:
+    scans = _scans(t)
+    matches = overlap.overlap_match(scans.where("is_gold = 0"), scans.where("is_gold = 1"), WIDTH)
+    return matches.withColumn("corr", r6("corr"))
+
+
+@query("copy_members", """SELECT md5, CASE is_gold WHEN 1 THEN 'gold' ELSE 'scan' END AS side, id FROM v_scan
+    WHERE md5 IN (SELECT md5 FROM v_scan GROUP BY 1 HAVING count(DISTINCT is_gold) = 2)""")
+def copy_members(t: Tables) -> DataFrame:
+    scans = t.base("v_scan")
+    return overlap.copy_members(scans.where("is_gold = 0"), scans.where("is_gold = 1"))
+
+
+@query("zscore_vectors", """SELECT vec_id, round((e[1] - m) / s, 6) AS first, round((e[len(e)] - m) / s, 6) AS last FROM (
+    SELECT vec_id, e, list_avg(e) AS m, sqrt(list_avg(list_transform(e, lambda x: (x - list_avg(e)) * (x - list_avg(e))))) AS s
+    FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings))""")
+def zscore_vectors(t: Tables) -> DataFrame:
+    z = overlap.zscored(t.table("embeddings"), "embedding", "v")
+    return z.select("vec_id", r6(F.col("v")[0]).alias("first"), r6(F.element_at("v", -1)).alias("last"))
+
+
+_GEOMETRY = "(SELECT *, list_sort([a, b, 20]) AS gs, list_sort([u, 7e-1, w]) AS gz FROM v_geometry)"
+
+
+@query("geometry_match", f"""SELECT s.id, count(*) AS matches, min(c.id) AS first_match FROM {_GEOMETRY} s JOIN {_GEOMETRY} c
+    ON s.gs = c.gs AND s.gz = c.gz WHERE s.p_partkey % 3 = 0 AND c.p_partkey % 3 > 0 GROUP BY 1""")
+def geometry_match(t: Tables) -> DataFrame:
+    scans, collection = _geometries(t)
+    return overlap.geometry_match(scans, collection).select("id", "matches", "first_match")
+
+
+def _geometries(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Every other scan stores its axes in another order."""
+    g = t.base("v_geometry")
+    turn = F.col("p_partkey") % 2 == 0
+    shape = F.when(turn, F.array("a", "b", F.lit(20))).otherwise(F.array(F.lit(20), "a", "b"))
+    zooms = F.when(turn, F.array("u", F.lit(0.7), "w")).otherwise(F.array("w", "u", F.lit(0.7)))
+    keyed = g.select("id", "p_partkey", overlap.geometry_key(shape, zooms).alias("geometry"))
+    return keyed.where("p_partkey % 3 = 0"), keyed.where("p_partkey % 3 > 0")
+
+
+@query("geometry_members", f"""SELECT id FROM {_GEOMETRY} c WHERE p_partkey % 3 > 0 AND (gs, gz) IN
+    (SELECT gs, gz FROM {_GEOMETRY} WHERE p_partkey % 3 = 0)""")
+def geometry_members(t: Tables) -> DataFrame:
+    return overlap.geometry_members(*_geometries(t)).select("id")
+
+
+def _methods(t: Tables) -> tuple[DataFrame, DataFrame]:
+    rows = t.table("part").select(F.col("p_type").alias("source"), F.concat(F.lit("p"), "p_partkey").alias("case_id"),
+                                  "p_partkey", "p_size")
+    shifted = F.col("p_size") + F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(0)
+    return (rows.where("p_partkey % 3 = 0").select("source", "case_id", F.col("p_size").alias("match_id")),
+            rows.where("p_partkey % 2 = 0").select("source", "case_id", shifted.alias("match_id")))
+
+
+@query("method_agreement", """SELECT p_type AS source, count(*) FILTER (WHERE p_partkey % 6 = 0) AS both_methods,
+    count(*) FILTER (WHERE p_partkey % 6 = 0 AND p_partkey % 5 > 0) AS same_id, count(*) FILTER (WHERE p_partkey % 3 = 0 AND p_partkey % 2 > 0) AS only_a,
+    count(*) FILTER (WHERE p_partkey % 2 = 0 AND p_partkey % 3 > 0) AS only_b, count(*) AS either
+    FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0 GROUP BY 1""")
+def method_agreement(t: Tables) -> DataFrame:
+    return overlap.method_agreement(*_methods(t))
+
+
+@query("contamination", """SELECT p_type AS source, count(*) AS cases, count(*) FILTER (WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0) AS found
+    FROM part WHERE p_partkey % 7 = 0 GROUP BY 1""")
+def contamination(t: Tables) -> DataFrame:
+    test = t.table("part").where("p_partkey % 7 = 0").select(F.col("p_type").alias("source"),
+                                                             F.concat(F.lit("p"), "p_partkey").alias("case_id"))
+    return overlap.contamination(test, *_methods(t))
+
+
+@query("shape_candidates", """SELECT id, cost, n AS candidates, first AS first_candidate FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY cost) AS rn FROM (
+      SELECT c.id, f.nx + f.ny + f.nz - c.nx - c.ny - c.nz AS cost, count(*) AS n, min(f.id) AS first
+      FROM v_grown c JOIN v_grown f ON f.nx BETWEEN c.nx AND c.nx + 2 AND f.ny BETWEEN c.ny AND c.ny + 2 AND f.nz BETWEEN c.nz AND c.nz + 2
+      WHERE c.p_partkey % 4 = 0 AND f.p_partkey % 4 > 0 AND f.nx + f.ny + f.nz - c.nx - c.ny - c.nz <= 2 GROUP BY ALL)) WHERE rn = 1""")
+def shape_candidates(t: Tables) -> DataFrame:
+    shapes = t.base("v_grown")
+    return overlap.shape_candidates(shapes.where("p_partkey % 4 = 0"), shapes.where("p_partkey % 4 > 0"))
+
+
+_STATUS_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocabulary.EVIDENCE_STATUS.items())
+
+
+@query("evidence_status", f"""SELECT atlas_bdmap_id, match_type, CASE match_type {_STATUS_SQL} END AS evidence_status,
+    corr BETWEEN 97e-2 AND 1 AS corr_in_range FROM v_overlap""")
+def evidence_status(t: Tables) -> DataFrame:
+    return overlap.with_evidence(t.base("v_overlap")).select("atlas_bdmap_id", "match_type", "evidence_status", "corr_in_range")
+
+
+def _exports(t: Tables) -> tuple[DataFrame, DataFrame]:
+    rows = t.base("v_overlap")
+    return rows.where("o_orderkey % 2 = 0").drop("o_orderkey"), rows.where("o_orderkey % 2 = 1 OR o_orderkey % 50 = 0").drop("o_orderkey")
+
+
+_UNION_SQL = "(SELECT * FROM v_overlap WHERE o_orderkey % 2 = 0 UNION ALL SELECT * FROM v_overlap WHERE o_orderkey % 2 = 1 OR o_orderkey % 50 = 0)"
+
+
+@query("union_exports", f"""SELECT 'atlas_bdmap_id' AS "column", atlas_bdmap_id AS value, count(*) AS n FROM {_UNION_SQL} GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT 'gold_scan', gold_dataset || '/' || gold_scan, count(*) FROM {_UNION_SQL} GROUP BY ALL HAVING count(*) > 1""")
+def union_exports(t: Tables) -> DataFrame:
+    return overlap.union_exports(*_exports(t))[1]
+
+
+@query("match_crosstab", """SELECT gold_dataset, count(*) FILTER (WHERE match_type = 'exact') AS exact,
+    count(*) FILTER (WHERE match_type = 'shape+corr') AS "shape+corr", count(*) FILTER (WHERE match_type = 'corr-only') AS "corr-only"
+    FROM v_overlap GROUP BY 1""")
+def match_crosstab(t: Tables) -> DataFrame:
+    return report.crosstab(t.base("v_overlap"), "gold_dataset", "match_type", list(vocabulary.EVIDENCE_STATUS))
+
+
+@query("subset_check", """SELECT shard, gold_dataset, gold_scan, atlas_bdmap_id, match_type FROM v_overlap WHERE o_orderkey % 2 = 0
+    EXCEPT ALL SELECT shard, gold_dataset, gold_scan, atlas_bdmap_id, match_type FROM v_overlap WHERE o_orderkey % 2 = 1 OR o_orderkey % 50 = 0""")
+def subset_check(t: Tables) -> DataFrame:
+    part, whole = _exports(t)
+    return sets.not_contained(part, whole).drop("corr")
+
+
+# Sets and work -------------------------------------------------------------------------------------------------------
+
+@query("membership_diff", """SELECT name, 'only_a' AS side FROM (SELECT name FROM v_build WHERE role = 'train' EXCEPT SELECT name FROM v_split WHERE fold = 1)
+    UNION ALL SELECT name, 'only_b' FROM (SELECT name FROM v_split WHERE fold = 1 EXCEPT SELECT name FROM v_build WHERE role = 'train')""")
+def membership_diff(t: Tables) -> DataFrame:
+    return sets.membership_diff(t.base("v_build").where("role = 'train'"), t.base("v_split").where("fold = 1"), "name")
+
+
+@query("ordered_equal", """SELECT event_id AS position, a AS left_value, b AS right_value FROM (SELECT event_id, event_type AS a FROM events WHERE event_id % 31 <> 0)
+    FULL JOIN (SELECT event_id, CASE WHEN event_id % 101 = 0 THEN 'other' ELSE event_type END AS b FROM events WHERE event_id % 37 <> 0) USING (event_id)
+    WHERE a IS DISTINCT FROM b""")
+def ordered_equal(t: Tables) -> DataFrame:
+    e = t.table("events").select(F.col("event_id").alias("position"), F.col("event_type").alias("value"))
+    k = F.col("position")
+    changed = e.where(k % 37 != 0).withColumn("value", F.when(k % 101 == 0, "other").otherwise(F.col("value")))
+    return sets.ordered_difference(e.where(k % 31 != 0), changed, "position", "value")
+
+
+def _hashed(t: Tables) -> DataFrame:
+    return t.base("v_file").select("page_id", "prefix", "name", F.octet_length(F.col("content").cast("binary")).cast("long").alias("size"),
+                                   F.sha2("content", 256).alias("sha256"))
+
+
+@query("pending", """SELECT name, sha256(content) AS sha256 FROM v_file WHERE page_id % 3 = 0 OR page_id % 5 = 0""")
+def pending(t: Tables) -> DataFrame:
+    files = _hashed(t)
+    k = F.col("page_id")
+    done = files.where(k % 3 != 0).withColumn("sha256", F.when(k % 5 == 0, "changed").otherwise(F.col("sha256")))
+    return work.pending(files.select("name", "sha256"), done)
+
+
+@query("reusable", "SELECT name FROM v_file WHERE page_id % 2 = 0 AND page_id % 3 = 0 AND page_id % 5 > 0")
+def reusable(t: Tables) -> DataFrame:
+    files, k = t.base("v_file"), F.col("page_id")
+    return work.reusable(files.where(k % 2 == 0).select("name"), files.where(k % 3 == 0), files.where(k % 5 == 0))
+
+
+@query("limit_per_source", "SELECT source, case_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY case_id) AS n FROM v_case) WHERE n <= 7")
+def limit_per_source(t: Tables) -> DataFrame:
+    return work.limit_per_source(t.base("v_case").select("source", "case_id"), 7)
+
+
+@query("round_robin", "SELECT source, case_id, CAST((row_number() OVER (ORDER BY source, case_id) - 1) % 4 AS INT) AS worker FROM v_case")
+def round_robin(t: Tables) -> DataFrame:
+    return work.round_robin(t.base("v_case").select("source", "case_id"), 4, ["source", "case_id"])
+
+
+@query("batches", """SELECT source, case_id, CASE WHEN n = 1 THEN 0 ELSE 1 + (n - 2) // 48 END AS batch FROM (
+    SELECT *, row_number() OVER (ORDER BY source, case_id) AS n FROM v_case)""")
+def batches(t: Tables) -> DataFrame:
+    return work.batches(t.base("v_case").select("source", "case_id"), 48, ["source", "case_id"])
+
+
+@query("median_pick", """SELECT name, CAST(octet_length(encode(content)) AS BIGINT) AS size FROM v_file
+    ORDER BY octet_length(encode(content)), name LIMIT 1 OFFSET (SELECT count(*) // 2 FROM v_file)""")
+def median_pick(t: Tables) -> DataFrame:
+    return work.median_pick(_hashed(t).select("name", "size"), "size", "name")
+
+
+LIMIT = 20000
+
+
+@query("size_groups", f"""SELECT prefix, name, size, g AS archive FROM (WITH RECURSIVE f AS (
+      SELECT prefix, name, octet_length(encode(content)) AS size, row_number() OVER (PARTITION BY prefix ORDER BY name) AS n FROM v_file),
+    w AS (SELECT prefix, name, size, n, CAST(0 AS BIGINT) AS g, CAST(size AS BIGINT) AS total FROM f WHERE n = 1 UNION ALL
+      SELECT f.prefix, f.name, f.size, f.n, CASE WHEN w.total + f.size > {LIMIT} THEN w.g + 1 ELSE w.g END,
+             CASE WHEN w.total + f.size > {LIMIT} THEN f.size ELSE w.total + f.size END
+      FROM w JOIN f ON f.prefix = w.prefix AND f.n = w.n + 1) SELECT * FROM w)""")
+def size_groups(t: Tables) -> DataFrame:
+    return work.size_groups(_hashed(t).select("prefix", "name", "size"), LIMIT)
+
+
+@query("size_by_suffix", """SELECT suffix, count(*) AS members, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes FROM v_file
+    JOIN (VALUES ('top'), ('1'), ('5'), ('x')) AS s(suffix) ON ends_with(name, suffix) GROUP BY 1""")
+def size_by_suffix(t: Tables) -> DataFrame:
+    return report.size_by_suffix(_hashed(t), ["top", "1", "5", "x"])
+
+
+# Manifests -----------------------------------------------------------------------------------------------------------
+
+_ENTRY = """(SELECT page_id, name, octet_length(encode(content)) AS size, sha256(content) AS sha256,
+    sha1(encode('blob ' || octet_length(encode(content))) || '\\x00'::BLOB || encode(content)) AS git_sha1 FROM v_file)"""
+
+
+def _inventory(t: Tables) -> DataFrame:
+    return manifest.file_inventory(t.base("v_file").select("name", F.col("content").cast("binary").alias("content")))
+
+
+def content_sql(entries: str, kind: str, recipe: str) -> str:
+    return f"""SELECT sha256('1|{kind}|{recipe}|' || sha256(string_agg(h, '' ORDER BY b))) AS id FROM (
+        SELECT b, sha256(string_agg(h, '' ORDER BY name)) AS h FROM (
+          SELECT name, CAST('0x' || substr(md5(name), 1, 3) AS INT) AS b,
+                 sha256(name || chr(1) || size || chr(1) || sha256 || chr(1) || git_sha1) AS h FROM {entries}) GROUP BY b)"""
+
+
+@query("file_inventory", f"SELECT name, CAST(size AS BIGINT) AS size, sha256, git_sha1 FROM {_ENTRY}")
+def file_inventory(t: Tables) -> DataFrame:
+    return _inventory(t)
+
+
+@query("content_id", f"SELECT 1 AS version, 'preprocessed' AS kind, 'r1' AS recipe, id AS content_id FROM ({content_sql(_ENTRY, 'preprocessed', 'r1')})")
+def content_id(t: Tables) -> DataFrame:
+    return manifest.content_id(_inventory(t), "preprocessed", "r1")
+
+
+@query("recipe_id", f"SELECT id AS recipe_id FROM ({content_sql(_ENTRY, 'recipe', '')})")
+def recipe_id(t: Tables) -> DataFrame:
+    return manifest.recipe_id(t.base("v_file").select("name", F.col("content").cast("binary").alias("content")))
+
+
+@query("completion_record", f"""SELECT id AS content_id, (SELECT count(*) FROM v_file) AS files FROM ({content_sql(_ENTRY, 'outputs', 'r1')})""")
+def completion_record(t: Tables) -> DataFrame:
+    """The record is written after the outputs and read back; it carries their id and number."""
+    path = _scratch(t, "record")
+    stored = materialise(_inventory(t))
+    manifest.content_id(stored, "outputs", "r1").withColumn("files", F.lit(stored.count())).write.json(path)
+    return t.spark.read.schema("content_id string, files bigint").json(path)
+
+
+_TAMPERED = f"""(SELECT page_id, CASE WHEN page_id % 19 = 0 THEN '../' || name ELSE name END AS name,
+    CASE WHEN page_id % 11 = 0 THEN -1 ELSE size END AS size, CASE WHEN page_id % 7 = 0 THEN left(sha256, 63) ELSE sha256 END AS sha256,
+    CASE WHEN page_id % 13 = 0 THEN NULL ELSE git_sha1 END AS git_sha1 FROM
+    (SELECT page_id, replace(name, ':', '') AS name, size, sha256, git_sha1 FROM {_ENTRY}))"""
+
+
+@query("manifest_violations", f"""SELECT name, problem FROM (
+    SELECT name, unnest([CASE WHEN page_id % 19 = 0 OR contains(name, '//') OR ends_with(name, '/') OR contains(name, ':') THEN 'unsafe name' END,
+      CASE WHEN page_id % 11 = 0 THEN 'bad size' END, CASE WHEN page_id % 7 = 0 THEN 'bad sha256' END,
+      CASE WHEN page_id % 13 = 0 THEN 'bad git_sha1' END, CASE WHEN NOT starts_with(name, 'https') THEN 'unexpected path' END]) AS problem
+    FROM {_TAMPERED}) WHERE problem IS NOT NULL""")
+def manifest_violations(t: Tables) -> DataFrame:
+    k = t.base("v_file").select(F.col("name").alias("_name"), "page_id")
+    rows = _inventory(t).withColumnRenamed("name", "_name").join(k, "_name").withColumn(
+        "name", F.replace("_name", F.lit(":"), F.lit("")))
+    p = F.col("page_id")
+    bad = (rows.withColumn("name", F.when(p % 19 == 0, F.concat(F.lit("../"), "name")).otherwise(F.col("name")))
+           .withColumn("size", F.when(p % 11 == 0, -1).otherwise(F.col("size")))
+           .withColumn("sha256", F.when(p % 7 == 0, F.left("sha256", F.lit(63))).otherwise(F.col("sha256")))
+           .withColumn("git_sha1", F.when(p % 13 != 0, F.col("git_sha1"))))
+    return manifest.manifest_violations(bad, ["https"])
+
+
+@query("verify_manifest", """SELECT name, CASE WHEN page_id % 17 = 0 THEN 'unexpected' WHEN page_id % 23 = 0 THEN 'missing'
+    WHEN page_id % 13 = 0 THEN 'size' WHEN page_id % 11 = 0 THEN 'hash' ELSE 'ok' END AS status FROM v_file
+    WHERE NOT (page_id % 17 = 0 AND page_id % 23 = 0)""")
+def verify_manifest(t: Tables) -> DataFrame:
+    keyed = _inventory(t).join(t.base("v_file").select("name", "page_id"), "name")
+    k = F.col("page_id")
+    large = k % 2 == 0  # large files carry a sha256, the others a blob id
+    actual = keyed.where(k % 23 != 0).select(
+        "name", F.when(k % 13 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+        F.when(large, F.when(k % 11 == 0, "x").otherwise(F.col("sha256"))).alias("lfs_sha256"),
+        F.when(~large, F.when(k % 11 == 0, "x").otherwise(F.col("git_sha1"))).alias("blob_id"))
+    return manifest.verify(keyed.where(k % 17 != 0), actual)
+
+
+@query("bundle_missing", """SELECT want AS name FROM (
+    SELECT unnest(CASE role WHEN 'train' THEN ['c/' || name || '.b2nd', 'c/' || name || '_seg.b2nd', 'c/' || name || '.pkl',
+      'gt_segmentations/' || name || '.nii.gz'] ELSE ['imagesTs/' || name || '_0000.nii.gz', 'labelsTs/' || name || '.nii.gz'] END) AS want
+    FROM v_build WHERE role <> 'failed' UNION ALL SELECT unnest(['dataset.json', 'splits_final.json']))
+    WHERE want NOT IN (SELECT 'c/' || name || '.b2nd' FROM v_build WHERE role = 'train' AND name NOT LIKE '%4')
+      AND want NOT IN (SELECT 'labelsTs/' || name || '.nii.gz' FROM v_build WHERE role = 'test') AND want <> 'dataset.json'""")
+def bundle_missing(t: Tables) -> DataFrame:
+    cases = t.base("v_build").where("role <> 'failed'").select("name", "role")
+    there = cases.where("role = 'train'").select(F.concat(F.lit("c/"), "name", F.lit(".b2nd")).alias("name"),
+                                                 F.when(F.col("name").endswith("4"), 0).otherwise(9).alias("size"))
+    tests = cases.where("role = 'test'").select(F.concat(F.lit("labelsTs/"), "name", F.lit(".nii.gz")).alias("name"),
+                                                F.lit(9).alias("size"))
+    fixed = fixed_table(t.spark, [("dataset.json", 5)], ["name", "size"])
+    return manifest.bundle_missing(cases, there.unionByName(tests).unionByName(fixed),
+                                   ["dataset.json", "splits_final.json"], "c")
+
+
+@query("count_gate", """SELECT source, coalesce(n, 0) AS found, total FROM (SELECT event_type AS source, count(*) AS n FROM events GROUP BY 1)
+    FULL JOIN (VALUES ('signup', CAST(5 AS BIGINT)), ('view', (SELECT count(*) FROM events WHERE event_type = 'view')), ('absent', 3)) AS e(source, total)
+    USING (source) WHERE coalesce(n, 0) IS DISTINCT FROM total""")
+def count_gate(t: Tables) -> DataFrame:
+    events = t.table("events").select(F.col("event_type").alias("source"))
+    views = events.where("source = 'view'").groupBy("source").agg(F.count(F.lit(1)).alias("total"))
+    expected = fixed_table(t.spark, [("signup", 5), ("absent", 3)], ["source", "total"]).unionByName(views)
+    return manifest.count_gate(events, expected)
+
+
+# Progress ------------------------------------------------------------------------------------------------------------
+
+_EXPECT = [("click", 2000), ("view", 100), ("error", 1000000), ("none", 5)]
+_EXPECT_SQL = ", ".join(f"('{s}', {n})" for s, n in _EXPECT)
+
+
+@query("progress", f"""SELECT source, coalesce(n, 0) AS verified, CAST(total AS BIGINT) AS total, round(100 * coalesce(n, 0) / CAST(total AS DOUBLE), 1) AS percent,
+    CASE WHEN total IS NULL OR coalesce(n, 0) > total THEN 'ERROR' WHEN coalesce(n, 0) = total THEN 'COMPLETE'
+         WHEN coalesce(n, 0) = 0 THEN 'WAITING' ELSE 'IN_PROGRESS' END AS state
+    FROM (SELECT source, count(*) AS n FROM v_entry WHERE status = 'ok' GROUP BY 1)
+    FULL JOIN (VALUES {_EXPECT_SQL}) AS e(source, total) USING (source)""")
+def progress(t: Tables) -> DataFrame:
+    expected = fixed_table(t.spark, _EXPECT, ["source", "total"])
+    return report.progress(t.base("v_entry").where("status = 'ok'"), expected)
+
+
+@query("verdict", """SELECT CAST(sum(n) AS BIGINT) AS verified, CAST(sum(m) AS BIGINT) AS total, CAST(sum(m) - sum(n) AS BIGINT) AS bad,
+    round(100 * sum(n) / CAST(sum(m) AS DOUBLE), 1) AS percent, 'ERROR' AS state
+    FROM (SELECT count(*) FILTER (WHERE status = 'ok') AS n, count(*) AS m FROM v_entry GROUP BY source)""")
+def verdict(t: Tables) -> DataFrame:
+    entries = t.base("v_entry")
+    expected = entries.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
+    return report.verdict(entries, expected, claimed_complete=False)
+
+
+@query("time_left", """SELECT user_id, elapsed_s / completed AS seconds_per_case, elapsed_s / completed * (pending - completed) / 3600 AS hours_left
+    FROM (SELECT user_id, count(*) FILTER (WHERE event_type <> 'error') AS completed, count(*) * 2 AS pending,
+          CAST(count(*) AS DOUBLE) * 30 AS elapsed_s FROM events GROUP BY 1) WHERE completed > 0""")
+def time_left(t: Tables) -> DataFrame:
+    done = t.table("events").groupBy("user_id").agg(
+        F.count_if(F.col("event_type") != "error").alias("completed"), (F.count(F.lit(1)) * 2).alias("pending"),
+        (F.count(F.lit(1)).cast("double") * 30).alias("elapsed_s")).where("completed > 0")
+    return report.time_left(done).select("user_id", "seconds_per_case", "hours_left")
+
+
+@query("progress_stream", f"""SELECT source, count(*) AS verified, total, round(100 * count(*) / CAST(total AS DOUBLE), 1) AS percent,
+    CASE WHEN count(*) = total THEN 'COMPLETE' WHEN count(*) > total THEN 'ERROR' ELSE 'IN_PROGRESS' END AS state
+    FROM v_entry JOIN (VALUES {_EXPECT_SQL}) AS e(source, total) USING (source) GROUP BY source, total""")
+def progress_stream(t: Tables) -> DataFrame:
+    """Entries arrive as JSON files, some of them twice; the stream counts each once."""
+    landed, out = _scratch(t, "entries"), f"counts_{uuid.uuid4().hex}"
+    entries = t.base("v_entry").select("source", "name", "sha256", "event_id")
+    entries.unionByName(entries.where("event_id % 3 = 0")).drop("event_id").write.json(landed)
+    counts = streams.verified_counts(streams.manifest_stream(t.spark, landed, files_per_batch=4))
+    run = (counts.writeStream.outputMode("complete").format("memory").queryName(out)
+           .option("checkpointLocation", _scratch(t, "stream")).trigger(availableNow=True).start())
+    run.awaitTermination()
+    return streams.with_progress(t.spark.table(out), fixed_table(t.spark, _EXPECT, ["source", "total"]))
+
+
+@query("resume_scores", """SELECT source, count(*) AS cases, round(sum(volume), 4) AS volume FROM v_case GROUP BY 1""")
+def resume_scores(t: Tables) -> DataFrame:
+    """Two runs over a growing folder: the second scores only what the first has not."""
+    landed, output, state = _scratch(t, "cases"), _scratch(t, "scores"), _scratch(t, "state")
+    schema = "source string, case_id string, volume double"
+    cases = t.base("v_case").select("source", "case_id", "volume")
+    double = lambda batch: batch.withColumn("score", F.col("volume") * 2)
+    for part in (cases.where("length(case_id) % 2 = 0"), cases):
+        part.write.mode("append").json(landed)
+        stream = t.spark.readStream.schema(schema).json(landed)
+        streams.resume(stream, double, output, state).awaitTermination()
+    return t.spark.read.parquet(output).groupBy("source").agg(
+        F.count(F.lit(1)).alias("cases"), F.round(F.sum("score") / 2, 4).alias("volume"))

@@ -494,19 +494,24 @@ def deepest_voxel(t: Tables) -> DataFrame:
 # Fingerprints ------------------------------------------------------------------------------------------------------
 
 def _ct(t: Tables) -> DataFrame:
-    """Columns of eight values; -1000 where no voxel was measured."""
-    cell = F.map_from_entries(F.collect_list(F.struct("z", "hu")))
-    return t.base("v_ct").groupBy("source", "case_id", "x", "y").agg(cell.alias("m")).select(
-        "source", "case_id", "x", "y", F.transform(F.sequence(F.lit(0), F.lit(7)),
-                                                   lambda z: F.coalesce(F.element_at("m", z), F.lit(-1000))).alias("hu"))
+    """Every case has 8 × 8 columns of eight values; -1000 where no voxel was measured."""
+    key = ["source", "case_id", "x", "y"]
+    cells = t.base("v_ct").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("z", "hu"))).alias("m"))
+    side = F.explode(F.sequence(F.lit(0), F.lit(7)))
+    grid = t.base("v_header").select("source", "case_id", side.alias("x")).select("*", side.alias("y"))
+    value = lambda z: F.coalesce(F.element_at("m", z), F.lit(-1000))
+    return grid.join(cells, key, "left").select(*key, F.transform(F.sequence(F.lit(0), F.lit(7)), value).alias("hu"))
 
 
-@query("fingerprints")
+@query("fingerprints", """SELECT h.source, h.case_id, shape, md5, v_first, v_last, v_moment FROM v_header h
+    LEFT JOIN o_digest USING (source, case_id) LEFT JOIN o_descriptor USING (source, case_id)""")
 def fingerprints_query(t: Tables) -> DataFrame:
     out = fingerprints.fingerprints(_ct(t), t.header, 8)
+    moment = F.aggregate(F.arrays_zip("v", F.sequence(F.lit(0), F.size("v") - 1).alias("i")), F.lit(0.0),
+                         lambda a, s: a + s["v"] * s["i"])
     return out.select("source", "case_id", F.array_join(F.transform("shape", lambda n: n.cast("string")), "x")
-                      .alias("shape"), "md5", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4)
-                      .alias("power"))
+                      .alias("shape"), "md5", F.round(F.col("v")[0], 4).alias("v_first"),
+                      F.round(F.element_at("v", -1), 4).alias("v_last"), F.round(moment / 1000, 3).alias("v_moment"))
 
 
 @query("window_norm", """SELECT l_orderkey, l_linenumber, least(greatest(hu, -1000), 1000) AS clipped, hu > -100 AND hu < 100 AS inside,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +33,12 @@ def split_from_json(spark: SparkSession, path: str) -> DataFrame:
     return split_from_folds(doc)
 
 
-def split_from_folds(doc: DataFrame) -> DataFrame:
-    per_fold = doc.select(F.posexplode("folds").alias("fold", "f"))
+def split_from_folds(doc: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, fold, part, name) from a column ``folds`` of parsed documents."""
+    per_fold = doc.select(*keys, F.posexplode("folds").alias("fold", "f"))
     parts = F.map_from_arrays(F.array(F.lit("train"), F.lit("val")), F.array("f.train", "f.val"))
-    return (per_fold.select("fold", F.explode(parts).alias("part", "names"))
-            .select("fold", "part", F.explode("names").alias("name")))
+    return (per_fold.select(*keys, "fold", F.explode(parts).alias("part", "names"))
+            .select(*keys, "fold", "part", F.explode("names").alias("name")))
 
 
 def members_from_json(spark: SparkSession, path: str) -> DataFrame:
