@@ -42,7 +42,7 @@ def run_edges(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
 def connected(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, node, root) for every node that has an edge; equal roots mean connected.
 
-    Each round hooks every node to its smallest neighbour, follows the hooks four steps, and contracts the graph to
+    Each round hooks every node to its smallest neighbour, follows the hooks two steps, and contracts the graph to
     the labels that remain. Any map that stays inside a component keeps contraction exact, so no round needs to
     converge by itself. The graph shrinks geometrically; each round's map is written to the shared folder, and the
     maps are composed from the smallest back, so no join meets a label that a whole component already shares.
@@ -54,10 +54,8 @@ def connected(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         both = edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(*keys, F.col("a").alias("node")).agg(F.min("b").alias("_m")).select(
             *keys, "node", F.least("node", "_m").alias("up"))
-        for _ in range(2):
-            above = hook.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"))
-            hook = hook.join(above, [*keys, "up"]).select(*keys, "node", F.col("_up").alias("up"))
-        hook = materialise(hook)
+        above = hook.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"))
+        hook = materialise(hook.join(above, [*keys, "up"]).select(*keys, "node", F.col("_up").alias("up")))
         maps.append(hook)
         ends = edges
         for end in ("a", "b"):

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from runvox import vocabulary
 from runvox.scale import materialise
 
-BLOCK = 256
-SALTS = 16
+BLOCK = 256  # vectors per matrix product side
+SHARE = 4096  # vectors of one cell per task key
 
 
 def clip(value: Column, low: float, high: float) -> Column:
@@ -90,7 +90,7 @@ def best_correlation(scans: DataFrame, gold: DataFrame, width: int, above: float
     the lowest gold key. Exact: two vectors with r > above differ by less than sqrt(2 - 2 above) as unit vectors, so
     their projections on any direction do too. Cells of that width make candidates meet by equi-join, gold being
     offered to neighbour cells. Inside a cell, blocks of vectors meet blocks, one matrix product each, and a block
-    pair returns one row per scan: pairs are never listed. A hot cell is spread over ``SALTS`` keys.
+    pair returns one row per scan: pairs are never listed. A hot cell is spread over as many keys as its load needs.
     """
     step = float(np.sqrt(2 - 2 * above)) + 1e-6
     norm = float(np.sqrt(width))
@@ -102,15 +102,19 @@ def best_correlation(scans: DataFrame, gold: DataFrame, width: int, above: float
 
     c = [f"c{i}" for i in range(dims)]
     one = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
-    left = _pack(cells(scans).withColumn("salt", salt).repartition(*c, "salt"), [*c, "salt"])
     near = cells(gold.withColumnRenamed("gold_key", "key"))
     for name in c:
         near = near.withColumn("_d", F.explode(one)).withColumn(name, F.col(name) + F.col("_d")).drop("_d")
-    spread = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
-    packed = _pack(near.withColumn("part", spread).repartition(*c, "part"), [*c, "part"]).select(
-        *c, F.col("ids").alias("gold_ids"), F.col("m").alias("gold_m"))
-    right = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = cells(scans)
+    # a cell gets one more salt for every SHARE scans in it and one more part for every SHARE gold vectors
+    shares = lambda df, name: df.groupBy(*c).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias(name))
+    load = shares(placed, "salts").join(shares(near, "parts"), c)
+    within = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    left = _pack(placed.join(load, c).withColumn("salt", within("salts")).repartition(*c, "salt"), [*c, "salt"])
+    packed = _pack(near.join(load, c).withColumn("part", within("parts")).repartition(*c, "part"),
+                   [*c, "part", "salts"])
+    right = packed.select(*c, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+                          F.col("ids").alias("gold_ids"), F.col("m").alias("gold_m"))
     met = left.join(right, [*c, "salt"]).select("ids", "m", "gold_ids", "gold_m")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

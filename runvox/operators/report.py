@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runvox.scale import exact_quantiles
+from runvox.scale import exact_quantiles, materialise
 
 POOLED = "(all)"
 
@@ -31,9 +31,12 @@ def medians(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFr
 
 def summarise(scores: DataFrame, levels: Sequence[Sequence[str]], metrics: Sequence[str],
               counts: dict[str, Column]) -> DataFrame:
-    """Counts, mean and median of each metric for every level; nulls are not scored."""
+    """Counts, mean and median of each metric for every level; nulls are not scored.
+
+    Means and medians read the scores separately, so the scores are stored first.
+    """
     keys = sorted({c for level in levels for c in level})
-    rows = with_levels(scores, levels)
+    rows = with_levels(materialise(scores), levels)
     plain = rows.groupBy(*keys).agg(*[e.alias(n) for n, e in counts.items()],
                                     *[F.avg(m).alias(f"{m}_mean") for m in metrics])
     return plain.join(medians(rows, keys, metrics), keys, "left")
@@ -78,6 +81,7 @@ def teacher_pivot(scores: DataFrame, teachers: Sequence[str], must_have: str) ->
     """Mean Dice and median volume ratio per organ and source, one column per teacher; only groups that
     ``must_have`` scored."""
     key = ["organ", "source"]
+    scores = materialise(scores)
     mean = scores.groupBy(*key).agg(
         *[F.avg(F.when(F.col("teacher") == t, F.col("dice"))).alias(f"{t}_dice_mean") for t in teachers],
         F.count_if(F.col("teacher") == must_have).alias("n"))
@@ -90,7 +94,7 @@ def teacher_pivot(scores: DataFrame, teachers: Sequence[str], must_have: str) ->
 
 def external_table(scores: DataFrame, models: Sequence[str]) -> DataFrame:
     """Per organ and model: mean Dice and median signed volume error %, blanks ignored."""
-    rows = scores.where(F.col("model").isin(list(models)) & F.col("dice").isNotNull())
+    rows = materialise(scores.where(F.col("model").isin(list(models)) & F.col("dice").isNotNull()))
     mean = rows.groupBy("organ").agg(*[F.avg(F.when(F.col("model") == m, F.col("dice"))).alias(f"{m}_dice_mean")
                                        for m in models])
     middle = exact_quantiles(rows, ["organ", "model"], "volume_error_pct", {"m": 0.5})

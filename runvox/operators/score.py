@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runvox.operators.cohort import dense
 from runvox.operators.runs import length
-from runvox.scale import fixed_table
+from runvox.scale import fixed_table, materialise
 from runvox.schemas import CASE_KEY, RUN_KEY
 
 
@@ -123,26 +123,33 @@ def _area(parts: Column, s: Column) -> Column:
 def surface_cells(runs: DataFrame, header: DataFrame, elements: DataFrame) -> DataFrame:
     """(source, case_id, organ, x, y, z, area, zooms): 2×2×2 cells the surface of a mask passes through.
 
-    Each run is sent to the four cell columns it borders; a cell column then holds at most four voxel columns, and
-    only cells with a mixed code leave the row. Interior voxels are never listed outside it.
+    Each run is sent to the four cell columns it borders; a cell column then holds at most four voxel columns. Its
+    code can only change where a run starts or ends, so codes are found per stretch between such places, and only
+    stretches of mixed code are taken apart into cells. Interior voxels are never listed.
     """
-    corner = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in product((0, 1), repeat=2)])
+    corner = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(16 ** dx * 4 ** dy).alias("w"))
+                       for dx, dy in product((0, 1), repeat=2)])
     # cell (x, y, z) has voxel corners x-1..x, y-1..y, z-1..z; corner bit = 4*dx + 2*dy + dz
     near = (runs.withColumn("_c", F.explode(corner))
             .select(*RUN_KEY, (F.col("x") + 1 - F.col("_c.dx")).alias("x"), (F.col("y") + 1 - F.col("_c.dy")).alias("y"),
-                    (F.col("_c.dx") * 4 + F.col("_c.dy") * 2).alias("bit"), "z0", "z1"))
-    column = near.groupBy(*RUN_KEY, "x", "y").agg(
-        F.collect_list(F.struct("bit", "z0", "z1")).alias("_r"), F.min("z0").alias("_lo"), F.max("z1").alias("_hi"))
-
-    def code(z):
-        bit = lambda r, dz: F.when((r["z0"] <= z - 1 + dz) & (z - 1 + dz <= r["z1"]),
-                                   F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2.0), r["bit"] + dz)).otherwise(F.lit(0.0))
-        return F.aggregate("_r", F.lit(0.0), lambda acc, r: acc + bit(r, 0) + bit(r, 1)).cast("int")
-
-    cells = F.filter(F.transform(F.sequence(F.col("_lo"), F.col("_hi") + 1),
-                                 lambda z: F.struct(z.alias("z"), code(z).alias("code"))),
-                     lambda c: (c["code"] > 0) & (c["code"] < 255))
-    return (column.select(*RUN_KEY, "x", "y", F.inline(cells)).join(F.broadcast(elements), "code")  # 254 fixed rows
+                    F.col("_c.w").alias("w"), "z0", "z1"))
+    column = near.groupBy(*RUN_KEY, "x", "y").agg(F.collect_list(F.struct("w", "z0", "z1")).alias("_r"))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.transform("_r", lambda r: r["z0"]),
+                                                  F.transform("_r", lambda r: r["z1"] + 1))))
+    covered = F.transform("_cuts", lambda z: F.aggregate(
+        F.filter("_r", lambda r: (r["z0"] <= z) & (z <= r["z1"])), F.lit(0), lambda acc, r: acc + r["w"]))
+
+    def stretches(z, i):
+        below, here = F.coalesce(F.get("_m", i - 1), F.lit(0)), F.get("_m", i)
+        stop = F.coalesce(F.get("_cuts", i + 1) - 1, z)
+        return F.array(F.struct(z.alias("a"), z.alias("b"), (below + 2 * here).alias("code")),
+                       F.struct((z + 1).alias("a"), stop.alias("b"), (3 * here).alias("code")))
+
+    mixed = F.filter(F.flatten(F.transform("_cuts", stretches)),
+                     lambda s: (s["code"] > 0) & (s["code"] < 255) & (s["a"] <= s["b"]))
+    cells = (column.withColumn("_cuts", cuts).withColumn("_m", covered).select(*RUN_KEY, "x", "y", F.inline(mixed))
+             .select(*RUN_KEY, "x", "y", F.explode(F.sequence("a", "b")).alias("z"), "code"))
+    return (cells.join(F.broadcast(elements), "code")  # 254 fixed rows
             .join(header.select(*CASE_KEY, "zooms"), CASE_KEY)
             .select(*RUN_KEY, "x", "y", "z", "zooms", _area(F.col("parts"), F.col("zooms")).alias("area")))
 
@@ -157,7 +164,9 @@ def surface_dice(truth: DataFrame, prediction: DataFrame, header: DataFrame, org
     elements = surface_elements(header.sparkSession)
     reach = float(max(tolerances))
     cell = [*RUN_KEY, "x", "y", "z"]
-    sides = {"t": surface_cells(truth, header, elements), "p": surface_cells(prediction, header, elements)}
+    # each surface is both measured and offered to the other, so it is stored once
+    sides = {"t": materialise(surface_cells(truth, header, elements)),
+             "p": materialise(surface_cells(prediction, header, elements))}
     steps = lambda i: F.sequence(-F.floor(reach / F.col("zooms")[i]).cast("int"),
                                  F.floor(reach / F.col("zooms")[i]).cast("int"))
 

@@ -220,7 +220,7 @@ ORACLE = {
         md5(nx || 'x' || ny || 'x' || nz || 'x' || md5(string_agg(h, ',' ORDER BY x))) AS md5 FROM (
           SELECT source, case_id, nx, ny, nz, x, md5(string_agg(h, ',' ORDER BY y)) AS h FROM (
             SELECT source, case_id, nx, ny, nz, x, y, md5(string_agg(CAST(hu AS VARCHAR), ',' ORDER BY z)) AS h
-            FROM o_std GROUP BY ALL) GROUP BY ALL) GROUP BY ALL""",
+            FROM o_std GROUP BY ALL) GROUP BY ALL) GROUP BY source, case_id, nx, ny, nz""",
     "o_sample": """SELECT s.source, s.case_id, i, j, k, sum(least(greatest(hu, -200), 300) * (1 - abs(i * (nx - 1) / 7e0 - x))
           * (1 - abs(j * (ny - 1) / 7e0 - y)) * (1 - abs(k * (nz - 1) / 7e0 - z))) AS v
         FROM o_std s JOIN (SELECT unnest(range(8)) AS i) ON abs(i * (nx - 1) / 7e0 - x) < 1
