@@ -120,8 +120,8 @@ def _area(parts: Column, s: Column) -> Column:
         sq(n["nx"] * s[1] * s[2]) + sq(n["ny"] * s[0] * s[2]) + sq(n["nz"] * s[0] * s[1])))
 
 
-def surface_cells(runs: DataFrame, header: DataFrame, elements: DataFrame) -> DataFrame:
-    """(source, case_id, organ, x, y, z, area, zooms): 2×2×2 cells the surface of a mask passes through.
+def surface_cells(runs: DataFrame) -> DataFrame:
+    """(source, case_id, organ, x, y, z, code): 2×2×2 cells the surface of a mask passes through.
 
     Each run is sent to the four cell columns it borders; a cell column then holds at most four voxel columns. Its
     code can only change where a run starts or ends, so codes are found per stretch between such places, and only
@@ -147,11 +147,20 @@ def surface_cells(runs: DataFrame, header: DataFrame, elements: DataFrame) -> Da
 
     mixed = F.filter(F.flatten(F.transform("_cuts", stretches)),
                      lambda s: (s["code"] > 0) & (s["code"] < 255) & (s["a"] <= s["b"]))
-    cells = (column.withColumn("_cuts", cuts).withColumn("_m", covered).select(*RUN_KEY, "x", "y", F.inline(mixed))
-             .select(*RUN_KEY, "x", "y", F.explode(F.sequence("a", "b")).alias("z"), "code"))
-    return (cells.join(F.broadcast(elements), "code")  # 254 fixed rows
-            .join(header.select(*CASE_KEY, "zooms"), CASE_KEY)
-            .select(*RUN_KEY, "x", "y", "z", "zooms", _area(F.col("parts"), F.col("zooms")).alias("area")))
+    return (column.withColumn("_cuts", cuts).withColumn("_m", covered).select(*RUN_KEY, "x", "y", F.inline(mixed))
+            .select(*RUN_KEY, "x", "y", F.explode(F.sequence("a", "b")).alias("z"), "code"))
+
+
+def offsets_within(header: DataFrame, reach: float) -> DataFrame:
+    """(source, case_id, near): lattice offsets no farther than ``reach`` mm, with their distance, per case."""
+    zoom = F.col("zooms")
+    steps = lambda i: F.sequence(-F.floor(reach / zoom[i]).cast("int"), F.floor(reach / zoom[i]).cast("int"))
+    mm = lambda i, d: d * zoom[i] * (d * zoom[i])
+    offset = lambda x, y, z: F.struct(x.alias("dx"), y.alias("dy"), z.alias("dz"),
+                                      F.sqrt(mm(0, x) + mm(1, y) + mm(2, z)).alias("mm"))
+    box = F.flatten(F.transform(steps(0), lambda x: F.flatten(F.transform(
+        steps(1), lambda y: F.transform(steps(2), lambda z: offset(x, y, z))))))
+    return header.select(*CASE_KEY, F.filter(box, lambda o: o["mm"] <= reach).alias("near"))
 
 
 def surface_dice(truth: DataFrame, prediction: DataFrame, header: DataFrame, organs: Sequence[str],
@@ -159,37 +168,33 @@ def surface_dice(truth: DataFrame, prediction: DataFrame, header: DataFrame, org
     """Normalised surface Dice per tolerance (mm): 0 if exactly one side is empty, null if both are.
 
     Only distances up to the largest tolerance matter, so each cell is offered to the few lattice offsets in reach
-    and the two surfaces meet by equi-join on the cell.
+    and the two surfaces meet by equi-join on the cell. Cells are counted per code; areas are worked out on the counts.
     """
-    elements = surface_elements(header.sparkSession)
-    reach = float(max(tolerances))
     cell = [*RUN_KEY, "x", "y", "z"]
+    offsets = offsets_within(header, float(max(tolerances)))
     # each surface is both measured and offered to the other, so it is stored once
-    sides = {"t": materialise(surface_cells(truth, header, elements)),
-             "p": materialise(surface_cells(prediction, header, elements))}
-    steps = lambda i: F.sequence(-F.floor(reach / F.col("zooms")[i]).cast("int"),
-                                 F.floor(reach / F.col("zooms")[i]).cast("int"))
+    sides = {"t": materialise(surface_cells(truth)), "p": materialise(surface_cells(prediction))}
 
     def offered(cells: DataFrame) -> DataFrame:
-        spread = (cells.withColumn("dx", F.explode(steps(0))).withColumn("dy", F.explode(steps(1)))
-                  .withColumn("dz", F.explode(steps(2))))
-        mm = lambda i, d: F.col(d) * F.col("zooms")[i] * F.col(d) * F.col("zooms")[i]
-        return (spread.withColumn("mm", F.sqrt(mm(0, "dx") + mm(1, "dy") + mm(2, "dz"))).where(F.col("mm") <= reach)
-                .select(*RUN_KEY, *[(F.col(c) + F.col(f"d{c}")).alias(c) for c in ("x", "y", "z")], "mm")
+        return (cells.join(offsets, CASE_KEY).withColumn("_o", F.explode("near"))
+                .select(*RUN_KEY, *[(F.col(c) + F.col(f"_o.d{c}")).alias(c) for c in ("x", "y", "z")], "_o.mm")
                 .groupBy(*cell).agg(F.min("mm").alias("mm")))
 
-    parts = []
+    names = [f"n_{i}" for i in range(len(tolerances))]
+    counts = []
     for mine, other in (("t", "p"), ("p", "t")):
         near = sides[mine].join(offered(sides[other]), cell, "left")
-        parts.append(near.groupBy(*RUN_KEY).agg(
-            F.sum("area").alias("area"), F.lit(mine).alias("side"),
-            *[F.sum(F.when(F.col("mm") <= t, F.col("area")).otherwise(0.0)).alias(f"in_{i}")
-              for i, t in enumerate(tolerances)]))
-    total = parts[0].unionByName(parts[1]).groupBy(*RUN_KEY).agg(
-        F.sum("area").alias("area"), F.count(F.lit(1)).alias("sides"),
-        *[F.sum(f"in_{i}").alias(f"in_{i}") for i in range(len(tolerances))])
-    nsd = [F.when(F.col("sides") == 1, 0.0).when(F.col("sides") == 2, F.col(f"in_{i}") / F.col("area"))
-           .alias(f"surface_dice_{t}mm") for i, t in enumerate(tolerances)]
+        counts.append(near.groupBy(*RUN_KEY, "code").agg(
+            F.count(F.lit(1)).alias("n"), F.lit(mine).alias("side"),
+            *[F.count_if(F.col("mm") <= t).alias(n) for n, t in zip(names, tolerances, strict=True)]))
+    elements = surface_elements(header.sparkSession)
+    total = (counts[0].unionByName(counts[1]).join(F.broadcast(elements), "code")  # 254 fixed rows
+             .join(header.select(*CASE_KEY, "zooms"), CASE_KEY)
+             .withColumn("area", _area(F.col("parts"), F.col("zooms"))).groupBy(*RUN_KEY)
+             .agg(F.sum(F.col("n") * F.col("area")).alias("area"), F.count_distinct("side").alias("sides"),
+                  *[F.sum(F.col(n) * F.col("area")).alias(n) for n in names]))
+    nsd = [F.when(F.col("sides") == 1, 0.0).when(F.col("sides") == 2, F.col(n) / F.col("area"))
+           .alias(f"surface_dice_{t}mm") for n, t in zip(names, tolerances, strict=True)]
     return dense(header, organs).join(total, RUN_KEY, "left").select(*RUN_KEY, *nsd)
 
 
