@@ -19,17 +19,14 @@ def thickness_group(mm: Column) -> Column:
 def strata(cases: DataFrame, minimum: int = vocabulary.MINIMUM_GROUP) -> DataFrame:
     """``stratum`` per case: source | thickness | volume third, coarser where a level has too few cases.
 
-    ``cases(source, case_id, slice_thickness_mm, volume)``. The two cut points are a one-row table; the level counts
-    come from one grouping by the finest level, rolled up on that small result.
+    ``cases(source, case_id, slice_thickness_mm, volume)``. The two cut points are scalars; the level counts come
+    from one grouping by the finest level, rolled up on that small result.
     """
-    cut = exact_quantiles(cases.where(F.col("volume") > 0), [], "volume", {"low": 1 / 3, "high": 2 / 3})
-    cut = F.broadcast(cut.withColumn("_one", F.lit(1)))  # a single row
+    cut = materialise(exact_quantiles(cases.where(F.col("volume") > 0), [], "volume", {"low": 1 / 3, "high": 2 / 3}))
+    low, high = cut.select("low").scalar(), cut.select("high").scalar()
     v = F.col("volume")
-    size = (F.when(v == 0, "none").when(v <= F.col("low"), "small").when(v <= F.col("high"), "medium")
-            .otherwise("large"))
-    sized = (cases.withColumn("_one", F.lit(1)).join(cut, "_one", "left")
-             .withColumn("_thick", thickness_group(F.col("slice_thickness_mm"))).withColumn("_size", size)
-             .drop("low", "high", "_one"))
+    size = F.when(v == 0, "none").when(v <= low, "small").when(v <= high, "medium").otherwise("large")
+    sized = cases.withColumn("_thick", thickness_group(F.col("slice_thickness_mm"))).withColumn("_size", size)
     fine = sized.groupBy("source", "_thick", "_size").agg(F.count(F.lit(1)).alias("_n"))
     mid = fine.groupBy("source", "_size").agg(F.sum("_n").alias("_m"))
     label = (F.when(F.col("_n") >= minimum, F.concat_ws("|", "source", "_thick", "_size"))

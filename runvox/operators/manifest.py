@@ -65,8 +65,8 @@ def header_violations(header: DataFrame, files: DataFrame, kind: str, recipe: st
                       version: int = 1) -> DataFrame:
     """Problems of the manifest header (version, kind, recipe, content_id): wrong values, or an id that the entries
     do not give."""
-    again = content_id(files, kind, recipe or "").select(F.col("content_id").alias("_id"))
-    one = header.withColumn("_k", F.lit(1)).join(again.withColumn("_k", F.lit(1)), "_k", "left")
+    again = content_id(files, kind, recipe or "").select("content_id").scalar()
+    one = header.withColumn("_id", again)
     problems = [F.when((F.col("version") != version) | (F.col("kind") != kind), "unsupported manifest"),
                 F.when(F.col("recipe") != recipe, "recipe changed") if recipe else None,
                 F.when(F.col("_id").isNull(), "empty manifest"),

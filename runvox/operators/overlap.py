@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,8 +10,9 @@ from pyspark.sql import functions as F
 from runvox import vocabulary
 from runvox.scale import materialise
 
-BLOCK = 256  # vectors per matrix product side
-SHARE = 4096  # vectors of one cell per task key
+SHARE = 4096  # vectors of one cell that meet in one group
+SHARE_VALUES = 1 << 24  # most values of such a group, 128 MB: fewer vectors where they are long
+BLOCK = 512  # rows of one product
 
 
 def clip(value: Column, low: float, high: float) -> Column:
@@ -68,20 +67,6 @@ def _axes(width: int, dims: int) -> list[list[float]]:
     return (np.sqrt(2 / width) * np.cos(np.pi * k * (np.arange(width) + 0.5) / width)).tolist()
 
 
-def _pack(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bounded blocks of vectors of one cell: a partition's rows of a cell are cut into blocks of ``BLOCK``."""
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, part in batch.groupby(keys, sort=False):
-                for start in range(0, len(part), BLOCK):
-                    block = part.iloc[start:start + BLOCK]
-                    yield pd.DataFrame([{**dict(zip(keys, key, strict=True)), "ids": block["key"].tolist(),
-                                         "m": np.stack(block["v"].to_numpy()).astype("<f8").tobytes()}])
-
-    schema = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes) + ", ids array<bigint>, m binary"
-    return rows.sortWithinPartitions(*keys).mapInPandas(pack, schema)
-
-
 def best_correlation(scans: DataFrame, gold: DataFrame, width: int, above: float, dims: int = 3,
                      digits: int = 9) -> DataFrame:
     """(key, gold_key, corr): for every scan vector the gold vector of highest correlation, if it exceeds ``above``.
@@ -89,9 +74,11 @@ def best_correlation(scans: DataFrame, gold: DataFrame, width: int, above: float
     ``scans(key, v)``, ``gold(gold_key, v)`` with z-scored vectors of length ``width``; ties (to ``digits``) go to
     the lowest gold key. Exact: two vectors with r > above differ by less than sqrt(2 - 2 above) as unit vectors, so
     their projections on any direction do too. Cells of that width make candidates meet by equi-join, gold being
-    offered to neighbour cells. Inside a cell, blocks of vectors meet blocks, one matrix product each, and a block
-    pair returns one row per scan: pairs are never listed. A hot cell is spread over as many keys as its load needs.
+    offered to neighbour cells. Inside a cell whole groups of vectors meet in one matrix product, which returns one row
+    per scan: pairs are never listed. A cell with many scans or many gold vectors is cut into groups of bounded size on
+    both sides, so a hot cell is many tasks.
     """
+    share = max(1, min(SHARE, SHARE_VALUES // width))
     step = float(np.sqrt(2 - 2 * above)) + 1e-6
     norm = float(np.sqrt(width))
 
@@ -106,30 +93,32 @@ def best_correlation(scans: DataFrame, gold: DataFrame, width: int, above: float
     for name in c:
         near = near.withColumn("_d", F.explode(one)).withColumn(name, F.col(name) + F.col("_d")).drop("_d")
     placed = cells(scans)
-    # a cell gets one more salt for every SHARE scans in it and one more part for every SHARE gold vectors
-    shares = lambda df, name: df.groupBy(*c).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias(name))
-    load = shares(placed, "salts").join(shares(near, "parts"), c)
-    within = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    left = _pack(placed.join(load, c).withColumn("salt", within("salts")).repartition(*c, "salt"), [*c, "salt"])
-    packed = _pack(near.join(load, c).withColumn("part", within("parts")).repartition(*c, "part"),
-                   [*c, "part", "salts"])
-    right = packed.select(*c, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-                          F.col("ids").alias("gold_ids"), F.col("m").alias("gold_m"))
-    met = left.join(right, [*c, "salt"]).select("ids", "m", "gold_ids", "gold_m")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for ids, m, gids, gm in batch.itertuples(index=False):
-                a = np.frombuffer(m, "<f8").reshape(len(ids), width)
-                order = np.argsort(gids)
-                b = np.frombuffer(gm, "<f8").reshape(len(gids), width)[order]
-                r = np.round(a @ b.T / width, digits)
-                top = r.argmax(axis=1)
-                best = pd.DataFrame({"key": ids, "gold_key": np.asarray(gids)[order][top],
-                                     "corr": r[np.arange(len(ids)), top]})
-                yield best[best["corr"] > above]
-
-    found = met.mapInPandas(compare, "key bigint, gold_key bigint, corr double")
+    groups = lambda df, name: df.groupBy(*c).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias(name))
+    load = groups(placed, "salts").join(groups(near, "parts"), c)
+    one_of = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    group = [*c, "salt", "part"]
+    left = placed.join(load, c).withColumn("salt", one_of("salts")).withColumn("part", each("parts"))
+    right = near.join(load, c).withColumn("part", one_of("parts")).withColumn("salt", each("salts"))
+
+    def compare(some: pd.DataFrame, golden: pd.DataFrame) -> pd.DataFrame:
+        if some.empty or golden.empty:
+            return pd.DataFrame({"key": [], "gold_key": [], "corr": []})
+        golden = golden.sort_values("key")
+        b, names = np.stack(golden["v"].to_numpy()), golden["key"].to_numpy()
+        found = []
+        for start in range(0, len(some), BLOCK):
+            rows = some.iloc[start:start + BLOCK]
+            r = np.round(np.stack(rows["v"].to_numpy()) @ b.T / width, digits)
+            top = r.argmax(axis=1)
+            found.append(pd.DataFrame({"key": rows["key"].to_numpy(), "gold_key": names[top],
+                                       "corr": r[np.arange(len(rows)), top]}))
+        best = pd.concat(found)
+        return best[best["corr"] > above]
+
+    found = (left.select(*group, "key", "v").groupBy(*group)
+             .cogroup(right.select(*group, "key", "v").groupBy(*group))
+             .applyInPandas(compare, "key bigint, gold_key bigint, corr double"))
     best = F.max(F.struct(F.col("corr"), (-F.col("gold_key")).alias("g")))
     return found.groupBy("key").agg(best.alias("_b")).select(
         "key", (-F.col("_b.g")).alias("gold_key"), F.col("_b.corr").alias("corr"))

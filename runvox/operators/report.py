@@ -123,12 +123,12 @@ def verdict(entries: DataFrame, expected: DataFrame, claimed_complete: bool) ->
     """One row: the run's state. Any entry whose check failed, any unexpected path or count, or a completion flag
     that the counts do not bear out makes it ``ERROR``. ``entries(source, status)`` comes from manifest verification.
     """
-    bad = entries.agg(F.count_if(F.col("status") != "ok").alias("bad"))
+    bad = entries.agg(F.count_if(F.col("status") != "ok")).scalar()
     table = progress(entries.where(F.col("status") == "ok"), expected)
     counts = table.agg(F.sum("verified").alias("verified"), F.sum("total").alias("total"),
                        F.count_if(F.col("state") == "ERROR").alias("errors"),
                        F.count_if(F.col("state") != "COMPLETE").alias("open"))
-    whole = counts.withColumn("_k", F.lit(1)).join(bad.withColumn("_k", F.lit(1)), "_k")
+    whole = counts.withColumn("bad", bad)
     state = (F.when((F.col("bad") > 0) | (F.col("errors") > 0), "ERROR")
              .when(F.lit(claimed_complete) & (F.col("open") > 0), "ERROR")
              .when(F.lit(claimed_complete), "COMPLETE").otherwise("IN_PROGRESS"))

@@ -167,26 +167,29 @@ def surface_dice(truth: DataFrame, prediction: DataFrame, header: DataFrame, org
                  tolerances: Sequence[float]) -> DataFrame:
     """Normalised surface Dice per tolerance (mm): 0 if exactly one side is empty, null if both are.
 
-    Only distances up to the largest tolerance matter, so each cell is offered to the few lattice offsets in reach
-    and the two surfaces meet by equi-join on the cell. Cells are counted per code; areas are worked out on the counts.
+    The two surfaces meet first by equi-join on the cell: where both pass through a cell the distance is 0. Only the
+    cells of one side alone look around, and only as far as the largest tolerance, again by equi-join on the few
+    lattice offsets in reach. Cells are counted per code; areas are worked out on the counts.
     """
     cell = [*RUN_KEY, "x", "y", "z"]
     offsets = offsets_within(header, float(max(tolerances)))
-    # each surface is both measured and offered to the other, so it is stored once
-    sides = {"t": materialise(surface_cells(truth)), "p": materialise(surface_cells(prediction))}
-
-    def offered(cells: DataFrame) -> DataFrame:
-        return (cells.join(offsets, CASE_KEY).withColumn("_o", F.explode("near"))
-                .select(*RUN_KEY, *[(F.col(c) + F.col(f"_o.d{c}")).alias(c) for c in ("x", "y", "z")], "_o.mm")
-                .groupBy(*cell).agg(F.min("mm").alias("mm")))
-
+    met = materialise(surface_cells(truth).withColumnRenamed("code", "t").join(
+        surface_cells(prediction).withColumnRenamed("code", "p"), cell, "full_outer"))
     names = [f"n_{i}" for i in range(len(tolerances))]
     counts = []
     for mine, other in (("t", "p"), ("p", "t")):
-        near = sides[mine].join(offered(sides[other]), cell, "left")
-        counts.append(near.groupBy(*RUN_KEY, "code").agg(
-            F.count(F.lit(1)).alias("n"), F.lit(mine).alias("side"),
-            *[F.count_if(F.col("mm") <= t).alias(n) for n, t in zip(names, tolerances, strict=True)]))
+        here = met.where(F.col(mine).isNotNull())
+        found = here.groupBy(*RUN_KEY, F.col(mine).alias("code")).agg(
+            F.count(F.lit(1)).alias("n"), *[F.count(other).alias(n) for n in names])
+        moved = [(F.col(c) + F.col(f"_o.d{c}")).alias(c) for c in ("x", "y", "z")]
+        around = (here.where(F.col(other).isNull()).join(offsets, CASE_KEY).withColumn("_o", F.explode("near"))
+                  .select(*RUN_KEY, F.struct("x", "y", "z").alias("from"), *moved, F.col(mine).alias("code"), "_o.mm"))
+        hits = around.join(met.where(F.col(other).isNotNull()).select(*cell), cell)
+        nearest = hits.groupBy(*RUN_KEY, "from", "code").agg(F.min("mm").alias("mm"))
+        close = nearest.groupBy(*RUN_KEY, "code").agg(
+            F.lit(0).cast("long").alias("n"),
+            *[F.count_if(F.col("mm") <= t).alias(n) for n, t in zip(names, tolerances, strict=True)])
+        counts.append(found.unionByName(close).withColumn("side", F.lit(mine)))
     elements = surface_elements(header.sparkSession)
     total = (counts[0].unionByName(counts[1]).join(F.broadcast(elements), "code")  # 254 fixed rows
              .join(header.select(*CASE_KEY, "zooms"), CASE_KEY)

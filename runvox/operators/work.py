@@ -42,8 +42,8 @@ def batches(rows: DataFrame, size: int, order: Sequence[str], probe: int = 1) ->
 def median_pick(rows: DataFrame, size: str, tie: str) -> DataFrame:
     """The row at index n // 2 in order of size."""
     placed = ranked(rows, [size, tie])
-    middle = placed.agg(F.floor(F.count(F.lit(1)) / 2).alias("position"))  # one row
-    return placed.join(F.broadcast(middle), "position").drop("position")
+    middle = placed.agg(F.floor(F.count(F.lit(1)) / 2)).scalar()
+    return placed.where(F.col("position") == middle).drop("position")
 
 
 def size_groups(files: DataFrame, limit: int, prefix: str = "prefix") -> DataFrame:
