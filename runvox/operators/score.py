@@ -96,10 +96,10 @@ def _loops(code: int) -> list[list[tuple[float, float, float]]]:
     return loops
 
 
-def surface_elements(spark: SparkSession) -> DataFrame:
-    """(code, parts): for each neighbour code the area vectors of its boundary triangles at unit spacing.
+def surface_triangles() -> list[tuple[int, float, float, float]]:
+    """(code, nx, ny, nz): area vectors of the boundary triangles of each mixed neighbour code at unit spacing.
 
-    Derived by rule for all 254 mixed codes: marching-cube polygons, cut into triangles from their first corner.
+    Derived by rule for all 254 codes: marching-cube polygons, cut into triangles from their first corner.
     """
     rows = []
     for code in range(1, 255):
@@ -109,7 +109,12 @@ def surface_elements(spark: SparkSession) -> DataFrame:
                 a, b = [p[i] - o[i] for i in range(3)], [q[i] - o[i] for i in range(3)]
                 rows.append((code, abs(a[1] * b[2] - a[2] * b[1]) / 2, abs(a[2] * b[0] - a[0] * b[2]) / 2,
                              abs(a[0] * b[1] - a[1] * b[0]) / 2))
-    flat = fixed_table(spark, rows, ["code", "nx", "ny", "nz"])
+    return rows
+
+
+def surface_elements(spark: SparkSession) -> DataFrame:
+    """(code, parts): the triangles of each code as one array."""
+    flat = fixed_table(spark, surface_triangles(), ["code", "nx", "ny", "nz"])
     return flat.groupBy("code").agg(F.collect_list(F.struct(*[F.col(n).cast("double").alias(n)
                                                               for n in ("nx", "ny", "nz")])).alias("parts"))
 
@@ -151,6 +156,11 @@ def surface_cells(runs: DataFrame) -> DataFrame:
             .select(*RUN_KEY, "x", "y", F.explode(F.sequence("a", "b")).alias("z"), "code"))
 
 
+def surface_column(tolerance: float) -> str:
+    """``surface_dice_0_5mm`` for 0.5: a name without a dot needs no quoting."""
+    return f"surface_dice_{str(tolerance).replace('.', '_')}mm"
+
+
 def offsets_within(header: DataFrame, reach: float) -> DataFrame:
     """(source, case_id, near): lattice offsets no farther than ``reach`` mm, with their distance, per case."""
     zoom = F.col("zooms")
@@ -197,7 +207,7 @@ def surface_dice(truth: DataFrame, prediction: DataFrame, header: DataFrame, org
              .agg(F.sum(F.col("n") * F.col("area")).alias("area"), F.count_distinct("side").alias("sides"),
                   *[F.sum(F.col(n) * F.col("area")).alias(n) for n in names]))
     nsd = [F.when(F.col("sides") == 1, 0.0).when(F.col("sides") == 2, F.col(n) / F.col("area"))
-           .alias(f"surface_dice_{t}mm") for n, t in zip(names, tolerances, strict=True)]
+           .alias(surface_column(t)) for n, t in zip(names, tolerances, strict=True)]
     return dense(header, organs).join(total, RUN_KEY, "left").select(*RUN_KEY, *nsd)
 
 

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runvox.operators.score import surface_triangles
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 ORGANS = ["adrenal_left", "adrenal_right", "kidney_left", "kidney_right", "liver", "spleen", "aorta"]
@@ -230,6 +232,23 @@ ORACLE = {
         round(max(v) FILTER (WHERE i + j + k = 21), 4) AS v_last, round(sum(v * (i * 64 + j * 8 + k)) / 1e3, 3) AS v_moment FROM (
           SELECT source, case_id, i, j, k, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS v FROM o_sample
           WINDOW w AS (PARTITION BY source, case_id)) GROUP BY ALL""",
+    "o_triangle": "SELECT code, CAST(nx AS DOUBLE) AS nx, CAST(ny AS DOUBLE) AS ny, CAST(nz AS DOUBLE) AS nz FROM (VALUES "
+                  + ", ".join(map(str, surface_triangles())) + ") AS t(code, nx, ny, nz)",
+    "o_area": """SELECT source, case_id, code, t, sum(sqrt((nx * 9e-1 * t) * (nx * 9e-1 * t) + (ny * 8e-1 * t) * (ny * 8e-1 * t)
+        + (nz * 8e-1 * 9e-1) * (nz * 8e-1 * 9e-1))) AS area FROM v_header CROSS JOIN o_triangle GROUP BY ALL""",
+    **{f"o_{side}cell": f"""SELECT c.*, area, t FROM (
+        SELECT source, case_id, organ, x + 1 - dx AS x, y + 1 - dy AS y, z + 1 - dz AS z,
+               CAST(sum(1 << (4 * dx + 2 * dy + dz)) AS INT) AS code
+        FROM {view} CROSS JOIN (SELECT CAST(unnest(range(2)) AS INT) AS dx) CROSS JOIN (SELECT CAST(unnest(range(2)) AS INT) AS dy)
+        CROSS JOIN (SELECT CAST(unnest(range(2)) AS INT) AS dz) GROUP BY ALL HAVING sum(1 << (4 * dx + 2 * dy + dz)) < 255) c
+        JOIN o_area USING (source, case_id, code)""" for side, view in (("t", "v_truth"), ("p", "v_pred"))},
+    "o_near": " UNION ALL ".join(f"""
+        SELECT '{a}' AS side, m.source, m.case_id, m.organ, m.x, m.y, m.z, m.area,
+               min(sqrt(((m.x - n.x) * 8e-1) * ((m.x - n.x) * 8e-1) + ((m.y - n.y) * 9e-1) * ((m.y - n.y) * 9e-1)
+                        + ((m.z - n.z) * m.t) * ((m.z - n.z) * m.t))) AS mm
+        FROM o_{a}cell m LEFT JOIN o_{b}cell n ON n.source = m.source AND n.case_id = m.case_id AND n.organ = m.organ
+          AND abs(m.x - n.x) <= 1 AND abs(m.y - n.y) <= 1 AND abs(m.z - n.z) <= 1 GROUP BY ALL"""
+                                 for a, b in (("t", "p"), ("p", "t"))),
     "o_vector": "SELECT *, [" + ", ".join(f"CAST(n_{c} AS DOUBLE)" for c in LETTERS) + "] AS raw FROM v_scan",
     "o_centred": "SELECT *, list_transform(raw, lambda x: x - list_avg(raw)) AS c FROM o_vector",
     "o_unit": """SELECT *, CASE WHEN list_sum(list_transform(c, lambda x: x * x)) > 0

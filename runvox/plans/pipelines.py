@@ -12,6 +12,7 @@ from runvox import vocabulary
 from runvox.functions.text import case_name
 from runvox.operators import cohort, components, geometry, labels, provenance, score
 from runvox.scale import materialise
+from runvox.schemas import RUN_KEY
 
 
 @dataclass
@@ -50,6 +51,13 @@ def score_predictions(truth: DataFrame, prediction: DataFrame, header: DataFrame
     return score.volume_metrics(score.confusion(truth, prediction, header, organs))
 
 
+def score_scans(truth: DataFrame, prediction: DataFrame, header: DataFrame, organs: Sequence[str],
+                tolerances: Sequence[float] = tuple(vocabulary.TOLERANCES_MM)) -> DataFrame:
+    """Volume metrics and surface Dice of every case and organ: the full score row."""
+    volumes = score_predictions(truth, prediction, header, organs)
+    return volumes.join(score.surface_dice(truth, prediction, header, organs, tolerances), RUN_KEY)
+
+
 def score_raw(structures: DataFrame, structure_map: DataFrame, prediction: DataFrame, header: DataFrame,
               organs: Sequence[str], membership: DataFrame) -> DataFrame:
     """Organs scored against raw, uncleaned masks that may overlap, tagged with the part of the split."""

@@ -11,7 +11,7 @@ from runvox.operators.runs import length, voxels_to_runs
 from runvox.plans import pipelines
 from runvox.plans.catalog import Tables, query, r6
 from runvox.plans.derived import ORGANS, PREFIXES
-from runvox.scale import fixed_table
+from runvox.scale import fixed_table, materialise
 from runvox.sources import volumes
 
 IDS = {o: i + 1 for i, o in enumerate(ORGANS)}
@@ -349,9 +349,18 @@ def reference_assisted(t: Tables) -> DataFrame:
         "source", "case_id", "organ", *map(r6, METRICS), "miss")
 
 
-@query("surface_dice")
+_NSD = [score.surface_column(x) for x in vocabulary.TOLERANCES_MM]
+_NSD_SQL = ", ".join(f"""CASE WHEN count(DISTINCT side) = 1 THEN 0e0 WHEN count(DISTINCT side) = 2
+    THEN sum(CASE WHEN mm <= {x} THEN area ELSE 0 END) / sum(area) END AS {n}"""
+                     for x, n in zip(vocabulary.TOLERANCES_MM, _NSD, strict=True))
+_NSD_VIEW = f"""(SELECT h.source, h.case_id, g.organ, {_NSD_SQL} FROM v_header h CROSS JOIN o_organ g
+    LEFT JOIN o_near n ON n.source = h.source AND n.case_id = h.case_id AND n.organ = g.organ GROUP BY ALL)"""
+
+
+@query("surface_dice", f"SELECT source, case_id, organ, {', '.join(f'round({n}, 6) AS {n}' for n in _NSD)} FROM {_NSD_VIEW}")
 def surface_dice(t: Tables) -> DataFrame:
-    return score.surface_dice(t.runs("v_truth"), t.runs("v_pred"), t.header, ORGANS, vocabulary.TOLERANCES_MM)
+    out = score.surface_dice(t.runs("v_truth"), t.runs("v_pred"), t.header, ORGANS, vocabulary.TOLERANCES_MM)
+    return out.select("source", "case_id", "organ", *map(r6, _NSD))
 
 
 _TEACHER_SQL = """SELECT teacher, source, case_id, organ, 2e0 * b / (t + p) AS dice,
@@ -437,6 +446,17 @@ def report_aorta(t: Tables) -> DataFrame:
     return _rounded(report.score_summary(_scores(t), ["aorta"]))
 
 
+_FULL_SQL = f"(SELECT * FROM o_metric JOIN {_NSD_VIEW} USING (source, case_id, organ))"
+
+
+@query("report_surface", _summary_sql("'(all)' AS source, organ", "organ", [*_SUMMARY, *_NSD], _SCORED, view=_FULL_SQL)
+       + " UNION ALL BY NAME "
+       + _summary_sql("source, organ", "source, organ", [*_SUMMARY, *_NSD], _SCORED, view=_FULL_SQL))
+def report_surface(t: Tables) -> DataFrame:
+    rows = pipelines.score_scans(materialise(t.runs("v_truth")), materialise(t.runs("v_pred")), t.header, ORGANS)
+    return _rounded(report.score_summary(rows, surface=_NSD))
+
+
 _MEMBER_SQL = """(SELECT *, CASE length(case_id) WHEN 2 THEN 'train' WHEN 3 THEN 'validation'
     ELSE 'excluded_from_dataset902' END AS split FROM o_metric)"""
 _SPLIT_METRICS = ["dice", "volume_error_ml", "absolute_volume_error_ml", "volume_error_pct", "absolute_volume_error_pct"]
