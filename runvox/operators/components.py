@@ -80,9 +80,8 @@ def label_components(runs: DataFrame, keys: Sequence[str] = RUN_KEY) -> DataFram
     """
     keys = list(keys)
     masks = materialise(runs.select(*keys).distinct().withColumn("mask", F.monotonically_increasing_id()))
-    nodes = runs.join(masks, keys).withColumn("node", _node())
-    graph = materialise(nodes.select("mask", "x", "y", "z0", "z1", "node"))
-    roots = connected(run_edges(graph, ["mask"]), ["mask"])
+    nodes = materialise(runs.join(masks, keys).withColumn("node", _node()))
+    roots = connected(run_edges(nodes.select("mask", "x", "y", "z0", "z1", "node"), ["mask"]), ["mask"])
     return (nodes.join(roots, ["mask", "node"], "left")
             .withColumn("component", F.coalesce("root", "node")).drop("mask", "node", "root"))
 
