@@ -56,7 +56,7 @@ class Words:
     def hashes(self, seed: int = 0) -> np.ndarray:
         """One 64-bit hash per word, of all its bytes."""
         length = self.ends - self.starts
-        h = mixed(length.astype(np.uint64) + np.uint64(seed) * _B)
+        h = mixed(length.astype(np.uint64) + np.uint64(seed << 32))
         left, at, rows = length, self.starts, np.arange(len(length))
         while len(rows):
             h[rows] = mixed(h[rows] ^ (self._bytes_at(at, np.minimum(left, 8)) * _A))
