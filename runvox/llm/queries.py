@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runvox.llm import minhash, mixing, packing, substrings, toxicity, warc
+from runvox.llm import covertree, minhash, mixing, packing, substrings, toxicity, warc
 from runvox.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_mixing_sources")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+#: All pairs of equal label by cosine, in double precision, and their closure.
+_OP7 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION
+          SELECT r.a, p.b FROM reach r JOIN p ON p.a = r.b),
+lowest AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM lowest LEFT JOIN n USING (vec_id)"""
+
+
+@query("op7_embedding_near_dedup", _OP7)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
