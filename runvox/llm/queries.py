@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runvox.llm import covertree, minhash, mixing, packing, substrings, toxicity, warc
+from runvox.llm import chat, covertree, minhash, mixing, packing, quality, substrings, toxicity, urlfilter, warc
 from runvox.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,90 @@ FROM lowest LEFT JOIN n USING (vec_id)"""
 @query("op7_embedding_near_dedup", _OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+_LAST_DAY = 1000
+
+
+def _day(key: Column) -> Column:
+    """A day from 0 to 999 that follows from a string."""
+    return (F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("long") % _LAST_DAY).cast("int")
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated lists derived from the pages: every host and its domain enter and leave the block list, and every host with
+    a first path step the allow list, on days that follow from their names."""
+    named = pages.select(urlfilter.url_keys("url").alias("k")).where("k IS NOT NULL")
+    keys = named.select(F.explode("k").alias("key")).distinct()
+    listed = keys.withColumn("list", F.when(F.col("key").contains("/"), "allow").otherwise("block"))
+    turns = listed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    return turns.select("list", "key", F.when(F.col("turn") % 2 == 0, "add").otherwise("remove").alias("action"),
+                        _day(F.concat_ws("|", "list", "key", F.col("turn").cast("string"))).alias("at"))
+
+
+_OP1 = r"""
+WITH c AS (
+  SELECT page_id, ('0x' || substr(md5('page|' || page_id), 1, 7))::BIGINT % 1000 AS fetched,
+         regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1) AS host,
+         regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]+(/[^/?#]+)', 1) AS step FROM pages),
+p AS (SELECT *, string_split(host, '.') AS l FROM c),
+k AS (SELECT DISTINCT page_id, fetched, unnest(list_concat(list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:], '.')),
+        CASE WHEN step <> '' THEN [host || step] ELSE [] END)) AS key FROM p WHERE host <> ''),
+named AS (SELECT DISTINCT key, CASE WHEN contains(key, '/') THEN 'allow' ELSE 'block' END AS list FROM k),
+e AS (SELECT list, key, ('0x' || substr(md5(list || '|' || key || '|' || t), 1, 7))::BIGINT % 1000 AS day, t % 2 AS gone
+      FROM named, range(6) r(t)),
+state AS (SELECT list, key, day, max(gone) AS gone FROM e GROUP BY ALL),
+m AS (SELECT k.page_id, list FROM k ASOF JOIN state ON k.key = state.key AND k.fetched >= state.day WHERE gone = 0),
+n AS (SELECT page_id, sum((list = 'block')::INT) AS b, sum((list = 'allow')::INT) AS a FROM m GROUP BY page_id)
+SELECT page_id, fetched::INT AS fetched, coalesce(b, 0)::BIGINT AS n_block, coalesce(a, 0)::BIGINT AS n_allow,
+       coalesce(b, 0) > 0 AND coalesce(a, 0) = 0 AS blocked
+FROM c LEFT JOIN n USING (page_id)"""
+
+
+@query("op1_url_filters", _OP1)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", _day(F.concat(F.lit("page|"), F.col("page_id").cast("string"))).alias("fetched"))
+    return urlfilter.judged(captures, list_entries(pages), _LAST_DAY)
+
+
+_OP5 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, string_split(t, chr(10)) AS l FROM t),
+c AS (SELECT doc_id, t, w, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+             list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+             len(regexp_extract_all(t, '[0-9]')) AS digits, len(regexp_extract_all(t, '[!?]')) AS marks,
+             len(regexp_extract_all(t, '[{}\[\]\\^~=]')) AS brackets FROM w),
+g AS (SELECT doc_id, unnest(range(1, n_words - 6)) AS i, w FROM c WHERE n_words >= 8),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS v FROM g),
+twice AS (SELECT doc_id, i FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, v) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) s(k) GROUP BY doc_id),
+a AS (SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+             coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines, digits, marks, brackets FROM c LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words
+            OR 100 * n_dup_lines > 30 * n_lines OR 5 * digits > word_chars OR 2 * marks > n_words
+            OR 10 * brackets > n_words) AS kept
+FROM b"""
+
+
+@query("op5_quality_cascade", _OP5)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
+def marked_conversation(spark: SparkSession) -> DataFrame:
+    """Conversation -7, whose texts hold marks of a chat template."""
+    said = F.lit("\\### Assistant: </turn> ok")
+    two = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return two
+
+
+@query("op9_chat_windows")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(turns.unionByName(marked_conversation(spark)))
