@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runvox.llm.words import Words, binary, lists, mixed, slices
+from runvox.scale import materialise
 
 BITS = 18
 #: Word beginnings of so many bytes are features beside the whole word.
@@ -77,14 +78,6 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return np.repeat(np.arange(len(rows)), n), np.concatenate(rows)
 
     (rp, fp), (ru, fu) = flat(positive), flat(unlabelled)
-
-    def held(r, f):
-        return np.bincount(np.unique(r * size + f) % size, minlength=size)
-
-    in_p, in_u = held(rp, fp), held(ru, fu)
-    share = (in_u + 1) / (len(unlabelled) + 2)
-    telling = (in_p >= LEAST_HELD) & (in_p / len(positive) - share >= LEAST_DEVIATION * np.sqrt(share * (1 - share) / len(positive)))
-    (rp, fp), (ru, fu) = ((r[telling[f]], f[telling[f]]) for r, f in ((rp, fp), (ru, fu)))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
         sp = 1 / (1 + np.exp(-np.clip(np.bincount(rp, w[fp], len(positive)) + bias, -30, 30)))
@@ -119,8 +112,26 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     ids = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)))
     sample = toxic.withColumn("part", F.lit(1)).unionByName(ids.limit(most_unlabelled).withColumn("part", F.lit(0)))
     # at most most_positive + most_unlabelled ids
-    rows = _sample_features(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("part", "text")).toPandas()
-    return fit(list(rows["f"][rows["part"] == 1]), list(rows["f"][rows["part"] == 0]), min(0.9, share))
+    rows = materialise(_sample_features(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("part", "text")))
+    n = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return fit(*_told(rows, n.get(1, 0), n.get(0, 0)), min(0.9, share))
+
+
+def _told(rows: DataFrame, positives: int, unlabelled: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The telling features of the positive and of the unlabelled sample rows (at most ``2 ** BITS`` different ones)."""
+    held = rows.select("part", F.explode(F.array_distinct("f")).alias("f")).groupBy("f").agg(
+        F.sum("part").alias("p"), F.sum(1 - F.col("part")).alias("u"))
+    share = (F.col("u") + 1) / (unlabelled + 2)
+    more = F.col("p") / max(1, positives) - share >= LEAST_DEVIATION * F.sqrt(share * (1 - share) / max(1, positives))
+    telling = np.array(sorted(r["f"] for r in held.where(more & (F.col("p") >= LEAST_HELD)).select("f").collect()), np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [f[np.isin(f, telling)] for f in (np.array(x, np.int32) for x in batch.column("f").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), lists(kept, pa.int32())], ["part", "f"])
+
+    found = rows.mapInArrow(run, "part int, f array<int>").toPandas()
+    return tuple([np.array(f, np.int64) for f in found["f"][found["part"] == k]] for k in (1, 0))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
