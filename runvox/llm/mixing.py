@@ -92,8 +92,8 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
          .withColumn("epochs", F.floor(F.col("words") / size)).withColumn("rest", F.col("words") - F.col("epochs") * size)
          .withColumn("blocks", F.ceil(size / block))
          .withColumn("slots", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / block)))
-    shards = s.agg(F.sum("slots").alias("n")).select(F.greatest(F.lit(1), F.ceil(F.col("n") / shard)).cast("long").alias("shards"))
-    s = s.join(F.broadcast(shards))  # a single row
+    total = s.agg(F.sum("slots").alias("n")).first()["n"] or 0
+    s = s.withColumn("shards", F.lit(max(1, -(-total // shard))).cast("long"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
