@@ -17,11 +17,12 @@ def all_close(a: Column, b: Column, atol: float = 1e-3, rtol: float = 1e-5) -> C
 
 
 def grid_agreement(first: DataFrame, second: DataFrame, atol: float = 1e-3, rtol: float = 1e-5) -> DataFrame:
-    """One row per case of ``first`` with ``same_shape``, ``same_affine`` and ``agrees``."""
+    """One row per case of ``first`` with ``same_shape``, ``same_affine`` and ``agrees``; an absent or null grid
+    agrees with nothing."""
     b = second.select(*CASE_KEY, F.col("shape").alias("_shape"), F.flatten("affine").alias("_affine"))
-    return (first.join(b, CASE_KEY)
-            .withColumn("same_shape", F.col("shape") == F.col("_shape"))
-            .withColumn("same_affine", all_close(F.flatten("affine"), F.col("_affine"), atol, rtol))
+    return (first.join(b, CASE_KEY, "left")
+            .withColumn("same_shape", F.coalesce(F.col("shape") == F.col("_shape"), F.lit(False)))
+            .withColumn("same_affine", F.coalesce(all_close(F.flatten("affine"), F.col("_affine"), atol, rtol), F.lit(False)))
             .withColumn("agrees", F.col("same_shape") & F.col("same_affine"))
             .select(*CASE_KEY, "same_shape", "same_affine", "agrees"))
 

@@ -28,12 +28,11 @@ def cases_from_folders(files: DataFrame, folders: DataFrame) -> DataFrame:
     """
     known = folders.withColumn("_folder", F.concat_ws("/", "source", "folder"))
     parts = F.split(F.regexp_replace("path", r"/[^/]*$", ""), "/")
-    tail = lambda d: F.array_join(F.slice(parts, F.greatest(F.size(parts) - d + 1, F.lit(1)), d), "/")
-    longest = 5  # source plus the deepest folder of the dimension, with room to spare
-    tried = (files.where(F.col("path").rlike(SUFFIX))
-             .withColumn("_folder", F.explode(F.array(*[tail(d) for d in range(2, longest + 1)]))))
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda d: F.array_join(F.slice(parts, F.size(parts) - d + 1, d), "/"))
+    tried = (files.where(F.col("path").rlike(SUFFIX) & (F.size(parts) >= 2))
+             .withColumn("_folder", F.explode(tails)))
     case = F.regexp_replace(F.element_at(F.split("path", "/"), -1), SUFFIX, "")
-    return tried.join(known, "_folder").select("source", case.alias("case_id"), "official_split", "path").distinct()
+    return tried.join(known, "_folder").select("source", case.alias("case_id"), "official_split", "path")
 
 
 def cases_from_metadata(spark: SparkSession, path: str, source: str) -> DataFrame:

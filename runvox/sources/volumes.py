@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runvox.operators.runs import union_runs
 from runvox.sources.nifti import read_header, read_volume, runs_of
 
 HEADER = ("source string, case_id string, structure string, shape array<int>, zooms array<double>, "
@@ -15,7 +17,6 @@ HEADER = ("source string, case_id string, structure string, shape array<int>, zo
 RUNS = "source string, case_id string, structure string, label int, x int, y int, z0 int, z1 int"
 COLUMNS = "source string, case_id string, x int, y int, hu array<smallint>"
 _ROWS = 200_000
-_FAILURES = (ValueError, OSError, EOFError, KeyError, IndexError)
 
 
 def volume_files(spark: SparkSession, path: str, glob: str = "*.nii.gz", **tags: str) -> DataFrame:
@@ -36,7 +37,7 @@ def headers(files: DataFrame) -> DataFrame:
                 try:
                     h = read_header(r.content)
                     row |= {"shape": h["shape"][:3], "zooms": h["zooms"], "affine": h["affine"].tolist()}
-                except _FAILURES as error:
+                except Exception as error:  # whatever a damaged file does, it becomes a row
                     row["error"] = repr(error)
                 out.append(row)
             yield pd.DataFrame(out, columns=list(row))
@@ -44,19 +45,29 @@ def headers(files: DataFrame) -> DataFrame:
     return files.select("source", "case_id", "structure", "content").mapInPandas(read, HEADER)
 
 
-def label_runs(files: DataFrame) -> DataFrame:
-    """Runs of equal label of each file; a mask file is a label file with the single label 1.
+def _labels(content: bytes, masks: bool) -> np.ndarray:
+    """Whole-number labels of a file; of a mask file, whatever is above zero is 1."""
+    _, data = read_volume(content)
+    if masks:
+        return data > 0
+    if data.dtype.kind == "f" and not (np.isfinite(data).all() and (data == np.rint(data)).all()):
+        raise ValueError("labels are not whole numbers")
+    return data
 
-    Files that cannot be decoded give no rows here and an ``error`` row in ``read_errors``.
+
+def label_runs(files: DataFrame, masks: bool = False) -> DataFrame:
+    """Runs of equal label of each file; with ``masks``, of its values above zero, as label 1.
+
+    Files that cannot be decoded, and label files with values that are not whole numbers, give no rows here and an
+    ``error`` row in ``read_errors``.
     """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 try:
-                    _, data = read_volume(r.content)
-                except _FAILURES:
+                    table = pd.DataFrame(runs_of(_labels(r.content, masks)))
+                except Exception:
                     continue
-                table = pd.DataFrame(runs_of(data))
                 for start in range(0, len(table), _ROWS):
                     part = table.iloc[start:start + _ROWS]
                     yield part.assign(source=r.source, case_id=r.case_id, structure=r.structure)[
@@ -65,14 +76,14 @@ def label_runs(files: DataFrame) -> DataFrame:
     return files.select("source", "case_id", "structure", "content").mapInPandas(read, RUNS)
 
 
-def read_errors(files: DataFrame) -> DataFrame:
+def read_errors(files: DataFrame, masks: bool = False) -> DataFrame:
     """(source, case_id, structure, error) of every file that cannot be decoded whole."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 try:
-                    read_volume(r.content)
-                except _FAILURES as error:
+                    _labels(r.content, masks)
+                except Exception as error:  # whatever a damaged file does, it becomes a row
                     yield pd.DataFrame([{"source": r.source, "case_id": r.case_id, "structure": r.structure,
                                          "error": repr(error)}])
 
@@ -87,7 +98,7 @@ def ct_columns(files: DataFrame) -> DataFrame:
             for r in batch.itertuples(index=False):
                 try:
                     _, data = read_volume(r.content)
-                except _FAILURES:
+                except Exception:
                     continue
                 for x in range(data.shape[0]):
                     plane = data[x].astype("int16")
@@ -98,8 +109,8 @@ def ct_columns(files: DataFrame) -> DataFrame:
 
 
 def foreground(runs: DataFrame) -> DataFrame:
-    """Mask files: any non-zero value is foreground (touching runs of different values stay valid runs)."""
-    return runs.where(F.col("label") > 0).drop("label")
+    """Mask files: any non-zero value is foreground; touching runs of different values become one run."""
+    return union_runs(runs.where(F.col("label") > 0), ["source", "case_id", "structure"])
 
 
 def write_by_source(table: DataFrame, path: str) -> None:

@@ -181,3 +181,61 @@ def test_resume_scores_each_case_once(spark, tmp_path):
     run()
     got = [r.case_id for r in spark.read.parquet(out).collect()]
     assert sorted(got) == ["a", "b", "boom", "c", "d"] and seen.count("a") == 1
+
+
+def test_damaged_and_float_volumes(spark):
+    """Every damage becomes an error row; masks are tested before casting; touching labels are one piece."""
+    import gzip
+    import struct
+
+    import numpy as np
+
+    from runvox.sources import volumes
+
+    def volume(data):
+        head = bytearray(352)
+        struct.pack_into("<i", head, 0, 348)
+        struct.pack_into("<8h", head, 40, 3, *data.shape, 1, 1, 1, 1)
+        struct.pack_into("<hh", head, 70, 16, 32)
+        struct.pack_into("<8f", head, 76, 1, 1, 1, 1, 1, 1, 1, 1)
+        struct.pack_into("<f", head, 108, 352)
+        struct.pack_into("<h", head, 254, 1)
+        for at, row in ((280, (1, 0, 0, 0)), (296, (0, 1, 0, 0)), (312, (0, 0, 1, 0))):
+            struct.pack_into("<4f", head, at, *row)
+        head[344:348] = b"n+1\0"
+        return gzip.compress(bytes(head) + data.astype("<f4").tobytes(order="F"))
+
+    half = np.zeros((2, 2, 6), np.float32)
+    half[0, 0, 1:4] = 0.5
+    steps = np.zeros((2, 2, 6), np.float32)
+    steps[0, 0, 1:3], steps[0, 0, 3:5] = 1, 2
+    good = volume(steps)
+    rows = [("s", "half", "m", volume(half)), ("s", "steps", "m", good)]
+    rng = np.random.default_rng(0)
+    for k in range(40):
+        bad = bytearray(good)
+        bad[rng.integers(10, len(bad))] ^= 255
+        rows.append(("s", f"bad{k}", "m", bytes(bad)))
+    files = spark.createDataFrame(rows, "source string, case_id string, structure string, content binary")
+    volumes.headers(files).collect()
+    errors = {r.case_id for r in volumes.read_errors(files).collect()}
+    assert "half" in errors and "steps" not in errors and len(errors) > 20
+    assert {r.case_id for r in volumes.label_runs(files).collect()}.isdisjoint(errors)
+    masks = {r.case_id: (r.z0, r.z1) for r in volumes.label_runs(files.where("case_id IN ('half', 'steps')"), masks=True).collect()}
+    assert masks == {"half": (1, 3), "steps": (1, 4)}
+    one = volumes.foreground(volumes.label_runs(files.where("case_id = 'steps'"))).collect()
+    assert len(one) == 1
+
+
+def test_deep_folders_and_missing_grids(spark):
+    from runvox.operators import geometry
+    from runvox.sources import registry
+
+    files = spark.createDataFrame([("/r/src/a/b/c/d/e/f/case1.nii.gz",), ("/case0.nii.gz",)], "path string")
+    folders = spark.createDataFrame([("src", "a/b/c/d/e/f", "train")], "source string, folder string, official_split string")
+    assert [r.case_id for r in registry.cases_from_folders(files, folders).collect()] == ["case1"]
+    grid = "source string, case_id string, shape array<int>, affine array<array<double>>"
+    eye = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]]
+    first = spark.createDataFrame([("s", "a", [1, 1, 1], eye), ("s", "b", [1, 1, 1], eye), ("s", "c", [1, 1, 1], eye)], grid)
+    second = spark.createDataFrame([("s", "a", [1, 1, 1], eye), ("s", "b", [1, 1, 1], None)], grid)
+    assert sorted(r.case_id for r in geometry.grid_mismatch(first, second).collect()) == ["b", "c"]
