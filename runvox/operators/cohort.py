@@ -68,16 +68,19 @@ def wide_decisions(decisions: DataFrame, glands: Sequence[str] = vocabulary.GLAN
 
 def case_outcome(decisions: DataFrame, sides: DataFrame, header: DataFrame,
                  glands: Sequence[str] = vocabulary.GLANDS, max_slice_mm: float = vocabulary.MAX_SLICE_MM) -> DataFrame:
-    """The cohort row: gland columns, ``sides`` and ``scan``. A header that carries an ``error`` yields ``error``."""
+    """The cohort row: gland columns, ``sides`` and ``scan``. A header that carries an ``error`` yields ``error``, and
+    its gland columns are null: a case that could not be read was not judged."""
     any_of = lambda test: F.array_contains(F.array(*[test(F.col(g)) for g in glands]), True)
     thickness = F.round(F.array_max("zooms"), 3)
-    error = F.col("error") if "error" in header.columns else F.lit("")
+    error = F.coalesce("error", F.lit("")) if "error" in header.columns else F.lit("")
     head = header.select(*CASE_KEY, thickness.alias("slice_thickness_mm"), error.alias("error"))
     excluded = (F.col("slice_thickness_mm") > max_slice_mm) | (F.col("sides") != "ok") \
         | any_of(lambda d: d.startswith("exclude"))
     scan = (F.when(F.col("error") != "", "error").when(excluded, "excluded")
             .when(~any_of(lambda d: d != "absent"), "kept_no_adrenal").otherwise("kept_with_adrenal"))
-    return (head.join(wide_decisions(decisions, glands), CASE_KEY).join(sides, CASE_KEY).withColumn("scan", scan))
+    wide = wide_decisions(decisions, glands)
+    judged = {c: F.when(F.col("error") == "", F.col(c)) for c in wide.columns if c not in CASE_KEY}
+    return head.join(wide, CASE_KEY).join(sides, CASE_KEY).withColumn("scan", scan).withColumns(judged)
 
 
 def training_exclusion(decisions: DataFrame, glands: Sequence[str] = vocabulary.GLANDS) -> DataFrame:

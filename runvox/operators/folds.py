@@ -61,14 +61,15 @@ def five_folds(cases: DataFrame) -> DataFrame:
 def split_roles(cases: DataFrame) -> DataFrame:
     """Fold 0 of all cases is the test set; the rest is stratified afresh and its fold 0 validates.
 
-    ``role``: test / validation / train; ``fold``: the case's fold in the second division (null for test).
+    ``role``: test / validation / train; ``fold``: the case's fold in the second division (null for test);
+    ``stratum``: the one it was dealt by; ``overall_stratum``: its stratum among all cases, for reports over all parts.
     """
-    outer = materialise(five_folds(cases))
-    test = outer.where("fold = 0").select(*cases.columns, "stratum", F.lit("test").alias("role"),
+    outer = materialise(five_folds(cases)).withColumn("overall_stratum", F.col("stratum"))
+    test = outer.where("fold = 0").select(*cases.columns, "stratum", "overall_stratum", F.lit("test").alias("role"),
                                           F.lit(None).cast("int").alias("fold"))
-    inner = five_folds(outer.where("fold <> 0").select(*cases.columns))
+    inner = five_folds(outer.where("fold <> 0").select(*cases.columns, "overall_stratum"))
     role = F.when(F.col("fold") == 0, "validation").otherwise("train")
-    return test.unionByName(inner.select(*cases.columns, "stratum", role.alias("role"), "fold"))
+    return test.unionByName(inner.select(*cases.columns, "stratum", "overall_stratum", role.alias("role"), "fold"))
 
 
 def balance(split: DataFrame) -> DataFrame:
@@ -82,7 +83,8 @@ def balance(split: DataFrame) -> DataFrame:
 
 
 def stratum_mix(split: DataFrame) -> DataFrame:
-    """Cases per stratum in each part, and over all parts."""
+    """Cases per stratum in each part, and over all parts; strata are those of all cases at once."""
+    split = split.withColumn("stratum", F.col("overall_stratum"))
     return with_levels(split, [["stratum"], ["role", "stratum"]]).groupBy("role", "stratum").agg(
         F.count(F.lit(1)).alias("cases"))
 

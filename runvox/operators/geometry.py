@@ -108,13 +108,12 @@ def swap_gate(measured: DataFrame, header: DataFrame, left: str, right: str, key
               one_in: int = 20) -> DataFrame:
     """Per collection: scans whose left organ lies right of the right one, and whether they are too many.
 
-    Along array x after reorientation to RAS, so only the direction of the axis matters.
+    Centres are compared along the world x axis, whichever array axis runs along it.
     """
-    sign = F.signum(F.col("affine")[0][0])
-    sides = measured.where(F.col("organ").isin(left, right)).groupBy(*CASE_KEY).agg(
-        *[F.max(F.when(F.col("organ") == o, F.col("x_sum") / F.col("voxels"))).alias(n)
-          for o, n in ((left, "_l"), (right, "_r"))])
-    wrong = F.coalesce(F.col("_l") * sign > F.col("_r") * sign, F.lit(False))
+    at = world_x(measured.where(F.col("organ").isin(left, right)), header)
+    sides = at.groupBy(*CASE_KEY).agg(*[F.max(F.when(F.col("organ") == o, F.col("world_x"))).alias(n)
+                                        for o, n in ((left, "_l"), (right, "_r"))])
+    wrong = F.coalesce(F.col("_l") > F.col("_r"), F.lit(False))
     return (header.join(sides, CASE_KEY, "left").groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("scans"), F.count_if(wrong).alias("swapped"))
             .withColumn("looks_swapped", F.col("swapped") > F.floor(F.col("scans") / one_in)))

@@ -59,10 +59,19 @@ def log_ids(lines: DataFrame, pattern: str, group: int = 1) -> DataFrame:
     return lines.select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(group))).alias("id")).distinct()
 
 
-def replace_shard(rows: DataFrame, path: str) -> None:
-    """Write rows partitioned by shard: shards present in ``rows`` are replaced, all others stay. Safe to repeat."""
-    (rows.repartition("shard").sortWithinPartitions(*[c for c in rows.columns if c != "shard"])
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path))
+def replace_shard(rows: DataFrame, path: str, shards: Sequence[str] = ()) -> None:
+    """Write rows partitioned by shard: shards present in ``rows`` are replaced, all others stay. Safe to repeat.
+
+    ``shards`` names the shards that were run again (plain names, as they stand in the folder); those that have no rows
+    any more are emptied. A shard with many rows is written by several tasks.
+    """
+    kept = [c for c in rows.columns if c != "shard"]
+    (rows.hint("rebalance", "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("shard").parquet(path))
+    if shards:
+        present = {r["shard"] for r in rows.where(F.col("shard").isin(list(shards))).select("shard").distinct().collect()}
+        for shard in sorted(set(shards) - present):
+            rows.select(*kept).where(F.lit(False)).write.mode("overwrite").parquet(f"{path}/shard={shard}")
 
 
 def completion_record(spark: SparkSession, outputs: str, record: str, facts: dict[str, str]) -> DataFrame:

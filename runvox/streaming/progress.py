@@ -24,11 +24,13 @@ def verified_counts(entries: DataFrame) -> DataFrame:
 
 
 def with_progress(counts: DataFrame, expected: DataFrame) -> DataFrame:
-    """Adds total, percent and state from the expected inventory (a fixed, small table)."""
-    state = F.when(F.col("verified") == F.col("total"), "COMPLETE").when(
-        F.col("verified") > F.col("total"), "ERROR").otherwise("IN_PROGRESS")
-    return counts.join(expected, "source").withColumn(
-        "percent", F.round(100 * F.col("verified") / F.col("total"), 1)).withColumn("state", state)
+    """Total, percent and state from the expected inventory (a fixed, small table). Every source is kept: one that
+    nobody expects is an error, one without files waits."""
+    state = (F.when(F.col("total").isNull() | (F.col("verified") > F.col("total")), "ERROR")
+             .when(F.col("verified") == F.col("total"), "COMPLETE")
+             .when(F.col("verified") == 0, "WAITING").otherwise("IN_PROGRESS"))
+    return (counts.join(expected, "source", "full_outer").fillna(0, ["verified"])
+            .withColumn("percent", F.round(100 * F.col("verified") / F.col("total"), 1)).withColumn("state", state))
 
 
 def resume(cases: DataFrame, score: Callable[[DataFrame], DataFrame], output: str, checkpoint: str) -> StreamingQuery:

@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from runvox import vocabulary
 from runvox.operators import cohort, components, geometry
 from runvox.plans import pipelines
@@ -80,3 +82,28 @@ def test_tolerance_follows_the_second_operand(header_table):
     agrees = lambda a, b, **k: geometry.grid_agreement(a, b, **k).first().agrees
     assert agrees(grid(1000.0), grid(1000.0109)) and not agrees(grid(1000.0), grid(1000.0109), rtol=0.0)
     assert not agrees(grid(0.0), grid(0.0), atol=-1.0) and not agrees(grid(0.0), grid(0.0, (4, 4, 5)))
+
+
+def test_unreadable_case_is_not_judged(run_table, header_table):
+    runs = run_table({("s", n, "adrenal_left"): _block(KEEP) for n in ("good", "bad")})
+    header = header_table({("s", n): (GRID, (1, 1, 1), None) for n in ("good", "bad")}).withColumn(
+        "error", F.when(F.col("case_id") == "bad", "broken file").otherwise(""))
+    sizes = components.component_sizes(components.label_components(runs))
+    touch = geometry.edge_touch(geometry.extents(runs), header)
+    decisions = cohort.gland_decisions(cohort.component_profile(sizes), touch, header)
+    sides = header.select("source", "case_id", F.lit("ok").alias("sides"))
+    got = {r.case_id: r for r in cohort.case_outcome(decisions, sides, header).collect()}
+    assert (got["bad"].scan, got["bad"].adrenal_left, got["bad"].adrenal_left_components) == ("error", None, None)
+    assert (got["good"].scan, got["good"].adrenal_left) == ("kept_with_adrenal", "keep")
+
+
+def test_swap_gate_sees_permuted_axes(run_table, header_table):
+    """World x runs along array y, once in each direction; only the scan whose left organ lies right counts."""
+    low, high = _block(((2, 5), (2, 5), (2, 5))), _block(((2, 5), (20, 23), (2, 5)))
+    permuted = [[0, 1, 0, 0], [1, 0, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]
+    flipped = [[0, -1, 0, 29], [1, 0, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]
+    masks = {"right order": (low, high, permuted), "swapped": (high, low, permuted), "flipped": (low, high, flipped)}
+    runs = run_table({("s", n, o): m for n, (left, right, _) in masks.items() for o, m in (("l", left), ("r", right))})
+    header = header_table({("s", n): (GRID, (1, 1, 1), a) for n, (_, _, a) in masks.items()})
+    got = geometry.swap_gate(geometry.extents(runs), header, "l", "r", ["case_id"]).collect()
+    assert {r.case_id: r.swapped for r in got} == {"right order": 0, "swapped": 1, "flipped": 1}

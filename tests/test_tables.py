@@ -239,3 +239,19 @@ def test_deep_folders_and_missing_grids(spark):
     first = spark.createDataFrame([("s", "a", [1, 1, 1], eye), ("s", "b", [1, 1, 1], eye), ("s", "c", [1, 1, 1], eye)], grid)
     second = spark.createDataFrame([("s", "a", [1, 1, 1], eye), ("s", "b", [1, 1, 1], None)], grid)
     assert sorted(r.case_id for r in geometry.grid_mismatch(first, second).collect()) == ["b", "c"]
+
+
+def test_replaced_shards_keep_no_old_rows(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    tables.replace_shard(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "shard string, v int"), path)
+    tables.replace_shard(spark.createDataFrame([("a", 9)], "shard string, v int"), path, ["a", "b"])
+    assert sorted(map(tuple, spark.read.parquet(path).select("shard", "v").collect())) == [("a", 9), ("c", 3)]
+    tables.replace_shard(spark.createDataFrame([("b", 4)], "shard string, v int"), path, ["b"])
+    assert sorted(map(tuple, spark.read.parquet(path).select("shard", "v").collect())) == [("a", 9), ("b", 4), ("c", 3)]
+
+
+def test_progress_keeps_every_source(spark):
+    counts = spark.createDataFrame([("a", 2), ("b", 3), ("x", 1)], "source string, verified long")
+    expected = spark.createDataFrame([("a", 2), ("b", 4), ("c", 5)], "source string, total long")
+    got = {r.source: (r.verified, r.total, r.state) for r in streams.with_progress(counts, expected).collect()}
+    assert got == {"a": (2, 2, "COMPLETE"), "b": (3, 4, "IN_PROGRESS"), "c": (0, 5, "WAITING"), "x": (1, None, "ERROR")}
