@@ -8,6 +8,7 @@ counts allow. The documents, ranked by length over the cluster, then take the pl
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,6 +26,9 @@ CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a Python worker remembers; beyond that it starts over.
 REMEMBERED = 600_000
+#: Letters without marks of their own, then ASCII signs other than the apostrophe: this tokenizer folds case and ends a
+#: token between the two, so such a word has the ids of its lower-cased letters and those of its signs.
+_LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class _Ids(dict):
@@ -34,15 +38,26 @@ class _Ids(dict):
     def __init__(self, path: str) -> None:
         super().__init__()
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.parts: dict[str, bytes] = {"": b""}
 
     def learn(self, words: set[bytes]) -> None:
         if len(self) > REMEMBERED:
             self.clear()
-        new = [w for w in words if w not in self]
-        for a in range(0, len(new), 4096):
-            part = new[a:a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[w] = array("I", e.ids).tobytes()
+        if len(self.parts) > REMEMBERED:
+            self.parts = {"": b""}
+        new = {}
+        for w in words:
+            if w not in self:
+                text = w.decode()
+                found = _LETTERS_SIGNS.fullmatch(text)
+                new[w] = (found[1].lower(), found[2]) if found else (text, "")
+        missing = list({p for pair in new.values() for p in pair if p not in self.parts})
+        for a in range(0, len(missing), 4096):
+            some = missing[a:a + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.parts[p] = array("I", e.ids).tobytes()
+        for w, (letters, signs) in new.items():
+            self[w] = self.parts[letters] + self.parts[signs]
 
 
 _IDS: dict[str, _Ids] = {}

@@ -150,6 +150,15 @@ def test_packing(spark, docs, texts):
     assert len(rows) <= len(gaps)
 
 
+def test_ids_of_words_are_those_of_the_text():
+    ids = packing._Ids(TOKENIZER)
+    for t in ("Don't stop, É! x's <|endoftext|> a<|endoftext|>.", "e\u0301\u0308 ß. İx \u0301a ΑΣ Aª, µ¹", "", " \t", "a.b... (855) Ab=\u0338"):
+        words = t.encode().split()
+        ids.learn(set(words))
+        want = np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert b"".join(ids[w] for w in words) == want
+
+
 def test_packing_plan_uses_every_length():
     counts = {60: 5, 45: 3, 40: 7, 30: 2, 29: 4, 11: 1, 1: 3, 100: 2}
     used = Counter()
