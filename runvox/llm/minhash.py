@@ -6,8 +6,10 @@ decide. Documents with equal sets are one node, so copies never meet each other.
 
 A list stands for a run of neighbouring retained values rather than one value: a passage that thousands of documents
 share then opens few lists unless it fills most of a document. Similar documents share several runs, so each document
-leaves out its longest lists, as in prefix filtering. At a similarity of 0.8 or more, sets of up to ``SKETCH`` shingles
-(which are retained whole) always meet; larger ones miss each other with a probability below 1e-5 at 0.8 and 1e-7 at 0.85.
+leaves out its longest lists, as in prefix filtering. One value that only one of two sets has breaks up to three runs,
+too many for sets of up to six shingles; these open lists of single values. At a similarity of 0.8 or more, sets of up to
+``SKETCH`` shingles (which are retained whole) always meet; larger ones miss each other with a probability below 1e-5 at
+0.8 and 1e-7 at 0.85. Lower thresholds are refused: the run lengths don't hold for them.
 
 Only components are wanted, so a large group of similar documents needs no list of all its pairs: in each list one
 leader meets the others, and links contract the graph. What is left are pairs of documents of one list in different
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,9 +34,13 @@ from runvox.operators.components import connected
 from runvox.scale import materialise
 
 SKETCH = 64
+LEAST_PERCENT = 80
 #: (from size, to size, run, spare): sets in this range open a list per ``run`` neighbouring values; similar ones share
-#: more than ``spare`` of them. The ranges overlap by more than similar sets can differ in size.
-RUNS = ((3, 36, 3, 1), (25, None, 4, 1))
+#: more than ``spare`` of them (None: as many as the threshold lets a set leave out). Every two similar sets are in one
+#: range that holds for them: with ``x`` values in one set only, a union of ``u`` leaves ``u - x - (x + 1) * (run - 1)``
+#: common runs at least, which is 2 or more for run 3 from u = 7 on and for run 4 from u = 25 on. Different sets with a
+#: smaller union have 4 to 6 values.
+RUNS = ((4, 6, 1, None), (6, 36, 3, 1), (25, None, 4, 1))
 #: Documents that share lists get longer sketches. Pairs whose union sketch has a share of common values this far below
 #: the threshold are not compared in full; a pair at the threshold falls there with a probability of about 1e-6.
 LONG_SKETCH, SLACK = 256, 0.12
@@ -166,13 +173,16 @@ def links(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Data
 
     ``nodes``: (doc, n, sketch), distinct sets; ``docs``: (doc, text).
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"similar sets surely meet from {LEAST_PERCENT} percent on, not at {percent}")
     parts = []
     for low, high, run, spare in RUNS:
         runs = F.expr(f"transform(sequence(1, size(sketch) - {run - 1}), i -> xxhash64(slice(sketch, i, {run})))")
         inside = (F.col("n") >= low) & (F.col("n") <= high if high else F.lit(True))
-        parts.append(nodes.where(inside).select("doc", "n", F.lit(spare).alias("spare"),
+        most = F.ceil(F.col("n") * percent / 100) - 1 if spare is None else F.lit(spare)
+        parts.append(nodes.where(inside).select("doc", "n", most.cast("int").alias("spare"),
                                                 F.explode(F.array_distinct(runs)).alias("list")))
-    every = parts[0].unionByName(parts[1])
+    every = reduce(DataFrame.unionByName, parts)
     shared = every.groupBy("list").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     chosen = every.join(shared, "list").groupBy("doc", "n", "spare").agg(
         F.sort_array(F.collect_list(F.struct("held", "list"))).alias("lists"), F.sum("held").alias("w"))

@@ -83,6 +83,29 @@ def test_minhash(docs, texts, shingle, percent):
     assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+@pytest.mark.parametrize(("shingle", "percent"), [(5, 80), (3, 85)])
+def test_minhash_meets_at_every_small_size(spark, shingle, percent):
+    """Sets of 1 to 40 shingles and the same text with words added behind or in front, up to and beyond the threshold."""
+    rows, family = [], {}
+    for n in range(1, 41):
+        for k in range(6):
+            base = [f"{n}.{k}.{j}" for j in range(n + shingle - 1)]
+            more = [f"x{j}.{n}.{k}" for j in range(n // 4 + 1)]
+            for extra in ([], more[:1], more[:-1], more):
+                family[len(rows)] = (n, k)
+                rows.append((len(rows), " ".join(base + extra if k % 2 else extra + base), "s", 0))
+    sets = {i: {tuple(t.split()[j:j + shingle]) for j in range(len(t.split()) - shingle + 1)} for i, t, _, _ in rows}
+    pairs = [(a, b) for a in sets for b in range(a + 1, a + 4) if family.get(b) == family[a]
+             and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), shingle, percent).collect()}
+    assert got == roots(sets, pairs)
+
+
+def test_minhash_refuses_thresholds_that_its_lists_do_not_hold_for(docs):
+    with pytest.raises(ValueError, match="80 percent"):
+        minhash.near_duplicates(docs, 5, 79)
+
+
 def test_minhash_crowded_list(spark):
     """A list with more documents than a block, whose members differ from the first one too much to link with it."""
     rnd = random.Random(1)
