@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from runvox.llm.words import Words, binary, mixed, slices
@@ -29,18 +29,18 @@ SHARE = 1.5
 MOST = 2.0
 
 
-def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, source, size): number of words per row (null: 0)."""
+def sized(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, *keep): number of words per row (null: 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binary(batch, "text")
             counts = [Words(texts[a:b]).counts for a, b in slices(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.concatenate(counts or [np.zeros(0, int)]))],
-                                             ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.concatenate(counts or [np.zeros(0, int)])),
+                                              *[batch.column(c) for c in keep]], ["doc_id", "source", "size", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       F.col(text).alias("text")).mapInArrow(run, "doc_id long, source string, size long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(text).alias("text"), *keep)
+    return own.mapInArrow(run, StructType([*own.select("doc_id", "source").schema.fields, StructField("size", LongType()), *own.select(*keep).schema.fields]))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -127,9 +127,9 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
     return each.mapInArrow(place, "sid long, shard long, slot long, epoch long, block long, take long")
 
 
-def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with their place ``at`` in the words of their source (stored), and the sources with targets (stored)."""
-    rows = materialise(ranked(materialise(sized(docs)), ["source", "doc_id", "size"], weight="size", into="place"))
+def _placed(docs: DataFrame, keep: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows with their ``place`` in the words of all sources (stored), and the sources with targets (stored)."""
+    rows = materialise(ranked(materialise(sized(docs, keep=keep)), ["source", "doc_id", "size", *ties], weight="size", into="place"))
     return rows, materialise(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("place").alias("first"))))
 
 
@@ -163,15 +163,19 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows like those of ``docs``: one per document and epoch in which words of it are taken.
 
     A document taken whole keeps its text; of others, the taken words are joined by spaces in order. ``n_chars``, where
-    there is such a column, is counted anew. Ids are expected to be distinct; rows that repeat an id share its words.
+    there is such a column, is counted anew. Rows without an id and rows that repeat one are rows of their own, with
+    the words that the mix takes from them. Equal tables give equal mixes: rows equal in source, id and size are ordered
+    by their texts.
     """
-    rows, sources = _placed(docs)
-    parts = (spans(rows, sources).where("doc_id IS NOT NULL").groupBy("doc_id", "epoch")
-             .agg(F.collect_list(F.struct("start", "words")).alias("spans")).groupBy(F.col("doc_id").alias("_doc"))
-             .agg(F.collect_list("spans").alias("copies")))
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows, sources = _placed(numbered.withColumn("_digest", F.xxhash64("text")), ("_row", "_digest"), ("_digest",))
+    # rows with words have places of their own
+    parts = (spans(rows, sources).groupBy("place", "epoch").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
+             .groupBy("place").agg(F.collect_list("spans").alias("copies"))
+             .join(rows.where("size > 0").select("place", "_row"), "place").select("_row", "copies"))
     names = [f"c{k}" for k in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
-    both = docs.join(parts, docs["doc_id"].cast("long") == F.col("_doc")).drop("_doc").toDF(*names, "copies")
+    both = numbered.join(parts, "_row").select(*[numbered[c] for c in docs.columns], "copies").toDF(*names, "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -260,6 +260,25 @@ def test_mixing(docs, texts):
     assert mixed == Counter({r.doc_id: r.taken for r in got if r.taken})
 
 
+def test_mixing_of_rows_without_or_with_repeated_ids(spark):
+    """Every source reaches its target, and each row gives the words that the mix takes from it."""
+    rows = [(None if k % 4 == 0 else k // 3, " ".join(f"r{k}.{j}" for j in range(30 + k)), f"s{k % 2}", k) for k in range(60)]
+    table = spark.createDataFrame(rows, DOCS)
+    report = mixing.mix_report(table).collect()
+    want = {len(words(rows[r.size - 30][1])): r.taken for r in report}
+    taken, total = Counter(), Counter()
+    for r in mixing.mixed_documents(table).collect():
+        n, own = len(words(r.text)), set(words(rows[r["rank"]][1]))
+        assert set(words(r.text)) <= own and r.doc_id == rows[r["rank"]][0]
+        taken[30 + r["rank"]] += n
+        total[r.source] += n
+    assert taken == Counter({size: n for size, n in want.items() if n})
+    targets = {f"s{r.size % 2}": r.target for r in report}
+    assert all(abs(total[s] - t) <= 1 for s, t in targets.items())
+    again = Counter((r["rank"], r.text) for r in mixing.mixed_documents(table.orderBy(F.desc("rank"))).collect())
+    assert again == Counter((r["rank"], r.text) for r in mixing.mixed_documents(table).collect())
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 100, 1025):
         x = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 9, np.uint64))
