@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from runvox.llm.words import Words, binary, lists, mixed, slices
 from runvox.scale import materialise
@@ -134,6 +135,14 @@ def _told(rows: DataFrame, positives: int, unlabelled: int) -> tuple[list[np.nda
     return tuple([np.array(f, np.int64) for f in found["f"][found["part"] == k]] for k in (1, 0))
 
 
+def _scores(texts: list[bytes | None], weights: np.ndarray, bias: float) -> np.ndarray:
+    margins = [np.zeros(0)]
+    for a, b in slices(texts):
+        owner, found = _features(texts[a:b])
+        margins.append(np.bincount(owner, weights[found], b - a) + bias)
+    return 1 / (1 + np.exp(-np.clip(np.concatenate(margins), -30, 30)))
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``.
 
@@ -146,12 +155,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = binary(batch, "text")
-            margins = [np.zeros(0)]
-            for a, b in slices(texts):
-                owner, found = _features(texts[a:b])
-                margins.append(np.bincount(owner, weights[found], b - a) + bias)
-            s = 1 / (1 + np.exp(-np.clip(np.concatenate(margins), -30, 30)))
+            s = _scores(binary(batch, "text"), weights, bias)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
@@ -160,6 +164,16 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, that are not predicted toxic."""
-    gone = score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs``, with all columns, that are not predicted toxic. Every row is judged by its own text, whatever
+    its id."""
+    w, bias = train(docs, labels)
+    weights = w.astype(np.float32)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(binary(batch, text), weights, bias) < THRESHOLD))
+
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)])
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)

@@ -216,6 +216,15 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == int(r.doc_id % 6 == 0) for r in held]) > 0.97
 
 
+def test_clean_judges_every_row_by_itself(spark):
+    rnd = random.Random(7)
+    rows = [(i, " ".join([f"w{rnd.randrange(300)}" for _ in range(40)] + ["vile"] * (i % 6 == 0)), "s", i) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i, *_ in rows], "doc_id long, toxic int")
+    rows += [(None, "vile w1", "s", 600), (None, "w1 w2", "s", 601), (1, "vile w2", "s", 602), (0, "w3 w4", "s", 603)]
+    kept = {r["rank"] for r in toxicity.clean(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert kept == {r for i, t, _, r in rows if "vile" not in t}
+
+
 def test_non_negative_risk_learns_from_hidden_positives():
     """Unlabelled text that holds positives does not make their feature look clean."""
     positive = [np.array([1])] * 40
