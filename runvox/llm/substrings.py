@@ -45,7 +45,7 @@ def _runs(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _scanned(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, n, sha, minimiser[], start[], count[]) per document: words, hash of the text as it is, super-k-mers."""
+    """(row, doc, n, sha, minimiser[], start[], windows[]) per row: words, hash of the text as it is, super-k-mers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,38 +61,40 @@ def _scanned(docs: DataFrame, width: int) -> DataFrame:
                     none = np.zeros(0, np.int64)
                     parts.append(_runs(own, width) if len(own) >= width else (none, none, none))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(counts, pa.int64()), pa.array(shas),
+                [batch.column("row"), batch.column("doc"), pa.array(counts, pa.int64()), pa.array(shas),
                  *[lists([p[k].astype(np.uint64) for p in parts], pa.int64()) for k in range(3)]],
-                ["doc", "n", "sha", "minimiser", "start", "windows"])
+                ["row", "doc", "n", "sha", "minimiser", "start", "windows"])
 
-    return docs.mapInArrow(run, "doc long, n long, sha string, minimiser array<long>, start array<long>, windows array<long>")
+    return docs.select("row", "doc", "text").mapInArrow(
+        run, "row long, doc long, n long, sha string, minimiser array<long>, start array<long>, windows array<long>")
 
 
 def _packed(chosen: DataFrame, width: int) -> DataFrame:
-    """(minimiser, salt, salts, doc, start, words): every chosen super-k-mer as one string."""
+    """(minimiser, salt, salts, row, doc, start, words): every chosen super-k-mer as one string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, docs = binary(batch, "text"), batch.column("doc").to_pylist()
+            texts, rows, docs = binary(batch, "text"), batch.column("row").to_pylist(), batch.column("doc").to_pylist()
             for r, runs in enumerate(batch.column("runs").to_pylist()):
                 own = texts[r].split()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x["minimiser"] for x in runs], pa.int64()), pa.array([x["salt"] for x in runs], pa.int32()),
-                     pa.array([x["salts"] for x in runs], pa.int32()), pa.array([docs[r]] * len(runs), pa.int64()),
+                     pa.array([x["salts"] for x in runs], pa.int32()), pa.array([rows[r]] * len(runs), pa.int64()),
+                     pa.array([docs[r]] * len(runs), pa.int64()),
                      pa.array([x["start"] for x in runs], pa.int64()),
                      pa.array([b" ".join(own[x["start"]:x["start"] + x["windows"] + width - 1]) for x in runs])],
-                    ["minimiser", "salt", "salts", "doc", "start", "words"])
+                    ["minimiser", "salt", "salts", "row", "doc", "start", "words"])
 
-    return chosen.select("doc", "text", "runs").mapInArrow(
-        run, "minimiser long, salt int, salts int, doc long, start long, words binary")
+    return chosen.select("row", "doc", "text", "runs").mapInArrow(
+        run, "minimiser long, salt int, salts int, row long, doc long, start long, words binary")
 
 
-def _joined(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first, number) of runs of neighbouring window starts."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)))) if len(doc) else np.zeros(0, int)
-    return doc[first], at[first], np.diff(np.append(first, len(doc)))
+def _joined(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, number) of runs of neighbouring window starts."""
+    order = np.lexsort((at, row))
+    row, at = row[order], at[order]
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)))) if len(row) else np.zeros(0, int)
+    return row[first], at[first], np.diff(np.append(first, len(row)))
 
 
 def _settled(group, h1, h2, doc, at) -> tuple[np.ndarray, np.ndarray]:
@@ -102,9 +104,9 @@ def _settled(group, h1, h2, doc, at) -> tuple[np.ndarray, np.ndarray]:
     return doc > lowest, doc == lowest
 
 
-_RUN = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("minimiser", pa.int64()),
+_RUN = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("minimiser", pa.int64()),
                   ("range", pa.int32()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64())),
-                  ("docs", pa.list_(pa.int64())), ("ats", pa.list_(pa.int64()))])
+                  ("rows", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("ats", pa.list_(pa.int64()))])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 14) -> Iterator[pa.Table]:
@@ -143,17 +145,16 @@ def _bucket_repeats(packed: DataFrame, width: int) -> DataFrame:
                 starts = part.column("start").to_numpy()
                 pieces = [(windows(a[f:e], width), windows(b[f:e], width)) for f, e in zip(words.first[:-1], words.first[1:], strict=True)]
                 number = np.array([len(p[0]) for p in pieces])
-                row = np.repeat(np.arange(len(number)), number)
+                piece = np.repeat(np.arange(len(number)), number)
                 h1, h2 = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
-                at = starts[row] + np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
-                doc, mini = part.column("doc").to_numpy()[row], part.column("minimiser").to_numpy()[row]
-                salts, salt = part.column("salts").to_numpy()[row], part.column("salt").to_numpy()[row]
-                order = np.lexsort((at, doc, h2, h1, salt, mini))
-                h1, h2, at, doc, mini, salts, salt = (x[order] for x in (h1, h2, at, doc, mini, salts, salt))
+                at = starts[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(number) - number, number)
+                row, doc, mini, salts, salt = (part.column(c).to_numpy()[piece] for c in ("row", "doc", "minimiser", "salts", "salt"))
+                order = np.lexsort((at, row, doc, h2, h1, salt, mini))
+                h1, h2, at, row, doc, mini, salts, salt = (x[order] for x in (h1, h2, at, row, doc, mini, salts, salt))
                 group = np.cumsum(np.concatenate(([0], (mini[1:] != mini[:-1]) | (salt[1:] != salt[:-1]))))
                 later, first = _settled(group, h1, h2, doc, at)
-                d, s, n = _joined(doc[later], at[later])
-                rows = [{"doc": x, "start": y, "windows": z} for x, y, z in zip(d.tolist(), s.tolist(), n.tolist(), strict=True)]
+                r, s, n = _joined(row[later], at[later])
+                rows = [{"row": x, "start": y, "windows": z} for x, y, z in zip(r.tolist(), s.tolist(), n.tolist(), strict=True)]
                 on = np.flatnonzero(first & (salts > 1))
                 if len(on):
                     part_of = (h1[on] % salts[on].astype(np.uint64)).astype(np.int32)
@@ -163,13 +164,13 @@ def _bucket_repeats(packed: DataFrame, width: int) -> DataFrame:
                     for u, v in zip(cuts, np.append(cuts[1:], len(on)), strict=True):
                         k = on[u:v]
                         rows.append({"minimiser": int(mini[k[0]]), "range": int(part_of[u]), "h1": h1[k].view(np.int64),
-                                     "h2": h2[k].view(np.int64), "docs": doc[k], "ats": at[k]})
+                                     "h2": h2[k].view(np.int64), "rows": row[k], "docs": doc[k], "ats": at[k]})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _RUN)
 
     return (packed.repartition("minimiser", "salt").sortWithinPartitions("minimiser", "salt")
-            .mapInArrow(run, "doc long, start long, windows long, minimiser long, range int, h1 array<long>, "
-                             "h2 array<long>, docs array<long>, ats array<long>"))
+            .mapInArrow(run, "row long, start long, windows long, minimiser long, range int, h1 array<long>, "
+                             "h2 array<long>, rows array<long>, docs array<long>, ats array<long>"))
 
 
 def _group_slices(table: pa.Table, texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -190,42 +191,42 @@ def _between_salts(shared: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, ["minimiser", "range"], 256):
-            parts = {c: table.column(c).to_pylist() for c in ("h1", "h2", "docs", "ats")}
+            parts = {c: table.column(c).to_pylist() for c in ("h1", "h2", "rows", "docs", "ats")}
             number = [len(x) for x in parts["docs"]]
             flat = {c: np.concatenate([np.array(x, np.int64) for x in v]) for c, v in parts.items()}
             mini, part = (np.repeat(table.column(c).to_numpy(), number) for c in ("minimiser", "range"))
-            order = np.lexsort((flat["ats"], flat["docs"], flat["h2"], flat["h1"], part, mini))
+            order = np.lexsort((flat["ats"], flat["rows"], flat["docs"], flat["h2"], flat["h1"], part, mini))
             mini, part = mini[order], part[order]
             flat = {c: v[order] for c, v in flat.items()}
             group = np.cumsum(np.concatenate(([0], (mini[1:] != mini[:-1]) | (part[1:] != part[:-1]))))
             later, _ = _settled(group, flat["h1"], flat["h2"], flat["docs"], flat["ats"])
-            d, s, n = _joined(flat["docs"][later], flat["ats"][later])
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(n, pa.int64())], ["doc", "start", "windows"])
+            r, s, n = _joined(flat["rows"][later], flat["ats"][later])
+            yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(s), pa.array(n, pa.int64())], ["row", "start", "windows"])
 
-    return (shared.select("minimiser", "range", "h1", "h2", "docs", "ats").repartition("minimiser", "range")
-            .sortWithinPartitions("minimiser", "range").mapInArrow(run, "doc long, start long, windows long"))
+    return (shared.select("minimiser", "range", "h1", "h2", "rows", "docs", "ats").repartition("minimiser", "range")
+            .sortWithinPartitions("minimiser", "range").mapInArrow(run, "row long, start long, windows long"))
 
 
 def repeats(docs: DataFrame, width: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scanned, texts, spans) of ``docs`` (doc, text; ids are distinct and not null).
+    """(scanned, texts, spans) of ``docs`` (row, doc, text; stored row numbers are distinct, ids may repeat, none is null).
 
-    scanned: (doc, n, sha) of every document; texts: (doc, text) of those that may hold repeats; spans: (doc, spans)
+    scanned: (row, doc, n, sha) of every row; texts: (row, text) of those that may hold repeats; spans: (row, spans)
     with the windows that a document with a smaller id has too, as (start, windows) pairs.
     """
     scanned = materialise(_scanned(docs, width))
-    runs = scanned.where("size(minimiser) > 0").select("doc", F.explode(F.arrays_zip("minimiser", "start", "windows")).alias("r"))
-    runs = runs.select("doc", "r.*")
+    runs = scanned.where("size(minimiser) > 0").select(
+        "row", "doc", F.explode(F.arrays_zip("minimiser", "start", "windows")).alias("r")).select("row", "doc", "r.*")
     several = (runs.groupBy("minimiser").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.count(F.lit(1)).alias("held"))
                .where("_lo < _hi").select("minimiser", F.ceil(F.col("held") / BUCKET).cast("int").alias("salts")))
-    salt = F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")
-    chosen = (runs.join(several, "minimiser").withColumn("salt", salt).groupBy("doc")
+    salt = F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")
+    chosen = (runs.join(several, "minimiser").withColumn("salt", salt).groupBy("row")
               .agg(F.collect_list(F.struct("minimiser", "start", "windows", "salt", "salts")).alias("runs")))
-    chosen = materialise(docs.join(chosen, "doc"))
+    chosen = materialise(docs.join(chosen, "row"))
     found = materialise(_bucket_repeats(_packed(chosen, width), width))
-    spans = (found.where("start IS NOT NULL").select("doc", "start", "windows")
+    spans = (found.where("start IS NOT NULL").select("row", "start", "windows")
              .unionByName(_between_salts(found.where("start IS NULL"))))
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    return scanned.select("doc", "n", "sha"), chosen.select("doc", "text"), spans
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    return scanned.select("row", "doc", "n", "sha"), chosen.select("row", "text"), spans
 
 
 def _kept(text: bytes, spans: list[dict], width: int) -> tuple[list[bytes], np.ndarray]:
@@ -238,8 +239,8 @@ def _kept(text: bytes, spans: list[dict], width: int) -> tuple[list[bytes], np.n
     return own, np.cumsum(change)[:-1] == 0
 
 
-def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL")
+def _columns(docs: DataFrame, row: str) -> DataFrame:
+    return docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc"), "text")
 
 
 def repeated_words(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -247,29 +248,26 @@ def repeated_words(docs: DataFrame, width: int = 50) -> DataFrame:
 
     Windows are judged on the input. A null or empty text has no words; so has none to remove. Repeats inside one
     document, and documents with fewer words than a window, stay. Rows that repeat an id never remove each other's
-    words. Rows without an id are returned unchanged and remove nothing. Other columns are not read; an empty table
+    words; each loses what its own text repeats. Rows without an id are returned unchanged and remove nothing. Other columns are not read; an empty table
     gives no rows.
     """
-    known = _columns(docs)
-    scanned, texts, spans = repeats(known, width)
+    numbered = materialise(_columns(docs.withColumn("_row", F.monotonically_increasing_id()), "_row"))
+    scanned, texts, spans = repeats(numbered.where("doc IS NOT NULL"), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, shas, sizes = [], [], []
+            removed, shas = [], []
             for text, found in zip(binary(batch, "text"), batch.column("spans").to_pylist(), strict=True):
                 own, keep = _kept(text, found, width)
-                sizes.append(len(own))
                 removed.append(int((~keep).sum()))
                 shas.append(hashlib.sha256(b" ".join([w for w, k in zip(own, keep.tolist(), strict=True) if k])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas)],
-                                             ["doc", "n", "gone", "new"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(removed, pa.int64()), pa.array(shas)], ["row", "gone", "new"])
 
-    changed = texts.join(spans, "doc").select("doc", "text", "spans").mapInArrow(run, "doc long, n long, gone long, new string")
-    # with repeated ids a changed row is matched by its number of words as well
-    out = scanned.join(changed.dropDuplicates(["doc", "n"]), ["doc", "n"], "left").select(
+    changed = texts.join(spans, "row").select("row", "text", "spans").mapInArrow(run, "row long, gone long, new string")
+    out = scanned.join(changed, "row", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_words"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("new", "sha").alias("kept_sha256"))
-    nameless = _scanned(docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc"), "text"), width)
+    nameless = _scanned(numbered.where("doc IS NULL"), width)
     return out.unionByName(nameless.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_words"),
                                            F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))
 
@@ -277,12 +275,11 @@ def repeated_words(docs: DataFrame, width: int = 50) -> DataFrame:
 def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """``docs`` with repeated words cut out of ``text`` (the rest joined by spaces) and ``n_chars``, where there is such
     a column, counted anew. Texts that lose nothing stay as they are; all rows and columns are kept."""
-    _, _, spans = repeats(_columns(docs), width)
-    spans = spans.select(F.col("doc").alias("_doc"), "spans")
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    _, _, spans = repeats(_columns(numbered, "_row").where("doc IS NOT NULL"), width)
     names = [f"c{k}" for k in range(len(docs.columns))]
-    both = docs.join(spans, docs["doc_id"].cast("long") == F.col("_doc"), "left").drop("_doc")
     text, found = names[docs.columns.index("text")], f"c{len(names)}"
-    both = both.toDF(*names, found)
+    both = numbered.join(spans.withColumnRenamed("row", "_row"), "_row", "left").select(*docs.columns, "spans").toDF(*names, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -148,6 +148,19 @@ def test_substrings(docs, texts, monkeypatch, bucket):
     assert cut[3].rank == 3
 
 
+def test_substrings_of_rows_that_repeat_an_id(spark):
+    """Every row loses what its own text repeats of smaller ids, whatever other rows of its id hold."""
+    passage = [f"p{j}" for j in range(60)]
+    rows = [(1, passage), (2, [f"a{j}" for j in range(90)] + passage), (2, ["b"] * 5), (2, [f"c{j}" for j in range(150)]),
+            (2, passage[:55]), (2, [f"d{j}" for j in range(95)] + passage[:55]), (None, passage)]
+    table = spark.createDataFrame([(i, " ".join(w), "s", k) for k, (i, w) in enumerate(rows)], DOCS)
+    kept = [rows[0][1], rows[1][1][:90], rows[2][1], rows[3][1], [], rows[5][1][:95], passage]
+    assert {r.rank: r.text for r in substrings.without_repeats(table).collect()} == {k: " ".join(w) for k, w in enumerate(kept)}
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeated_words(table).collect())
+    assert got == Counter((i, len(w), len(w) - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest())
+                          for (i, w), k in zip(rows, kept, strict=True))
+
+
 def test_packing(spark, docs, texts):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     got = packing.packed_documents(docs, TOKENIZER, 256).collect()
