@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runvox.llm import chat, covertree, minhash, mixing, packing, quality, substrings, toxicity, urlfilter, warc
-from runvox.llm.tables import table
+from runvox.llm import chat, covertree, minhash, mixing, packing, periodic, quality, substrings, toxicity, urlfilter, warc
+from runvox.llm.tables import table, word_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -197,3 +197,33 @@ def marked_conversation(spark: SparkSession) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(turns.unionByName(marked_conversation(spark)))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) in which a tenth of the texts repeat a stretch of their words to the end."""
+    words = word_list(F.col("text"))
+    n, h = F.size(words).cast("long"), F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    docs = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), n.alias("n"))
+    docs = docs.withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END"))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) DIV (3 + g % 8)"))
+    start, period = F.col("a").cast("int"), F.col("p").cast("int")
+    unit = F.slice(words, start + 1, period)
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    repeated = F.slice(F.flatten(F.array_repeat(unit, times)), F.lit(1), (F.col("n") - F.col("a")).cast("int"))
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), start), repeated), " ")
+    return docs.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.expr("""get(array_sort(runs, (x, y) -> CASE
+        WHEN x.length * y.period > y.length * x.period THEN -1 WHEN x.length * y.period < y.length * x.period THEN 1
+        WHEN x.start < y.start THEN -1 WHEN x.start > y.start THEN 1
+        WHEN x.period < y.period THEN -1 WHEN x.period > y.period THEN 1 ELSE 0 END), 0)""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed").select(
+        "doc_id", "n_runs", F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))

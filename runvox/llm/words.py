@@ -15,8 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A batch is worked off in slices of about this many text bytes, so temporary arrays stay small.
 SLICE_BYTES = 1 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Which bytes separate words.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -36,7 +37,7 @@ class Words:
     def __init__(self, texts: list[bytes | None]) -> None:
         self.blob = b"\n".join(t or b"" for t in texts)
         sizes = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
-        space = _SPACE[np.frombuffer(self.blob, np.uint8)]
+        space = SPACE[np.frombuffer(self.blob, np.uint8)]
         edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
         self.starts, self.ends = edges[0::2], edges[1::2]
         begins = np.concatenate(([0], np.cumsum(sizes + 1)))
