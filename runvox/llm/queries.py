@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runvox.llm import chat, covertree, minhash, mixing, packing, periodic, quality, substrings, toxicity, urlfilter, warc
+from runvox.llm import chat, covertree, lm, minhash, mixing, packing, periodic, quality, substrings, toxicity, urlfilter, warc
 from runvox.llm.tables import table, word_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +227,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_runs", F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
         F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_lm_scoring")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
