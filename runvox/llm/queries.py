@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runvox.llm import chat, covertree, lm, minhash, mixing, packing, periodic, quality, substrings, toxicity, urlfilter, warc
+from runvox.llm import chat, covertree, lm, minhash, mixing, negatives, packing, periodic, quality, substrings, toxicity, urlfilter, warc
 from runvox.llm.tables import table, word_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +232,31 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_lm_scoring")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
+#: All scores of every anchor.
+_OP12 = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS s
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b))::INT AS rank,
+       s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.s <= 100 * s.s AND s.s <= p.s QUALIFY rank <= 5"""
+
+
+def whole_vectors(rows: DataFrame) -> DataFrame:
+    """(vec_id, label, vector): components in 256ths, every seventh label moved on; rows with bad components are gone."""
+    good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rows.where(good).select("vec_id", label.alias("label"),
+                                   F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+
+
+@query("op12_hard_negatives", _OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(whole_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
