@@ -9,10 +9,12 @@ history to the next shorter one.
 The filter grows with the corpus, so it is kept in shards of the sequences' hash range, as many as ``SHARD_BYTES`` of text
 each ask for; an entry is a sequence's 32 bits behind the shard, whose collisions are much rarer than false positives. As
 long as all shards together have at most ``MOST_BROADCAST`` bytes they are broadcast, and workers probe them where the
-texts are. Beyond that size every probe travels to its shard and its level back; both ways give the same scores.
+texts are. Beyond that size each shard is sent to the worker that answers for it, and probes travel to it and levels back;
+both ways give the same scores.
 
 Texts are packed into slices first. A slice sends each of its distinct sequences once to its shard, so no frequent word
-makes a large group, and messages are packed arrays. Exact counts of words, for the base score, come back the same way.
+makes a large group, and messages are packed arrays of byte planes, which compress well. Exact counts of words, for the
+base score, come back the same way.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ PROBES = 8
 GROWTH = 1.5
 SLICE_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
-MOST_BROADCAST = 32 << 20
+MOST_BROADCAST = 10 << 20
 
 #: Least count of every level, from level 1 on.
 LEAST_COUNT = np.unique(np.ceil(GROWTH ** np.arange(105)).astype(np.int64))
@@ -87,26 +89,49 @@ class Sequences:
         return distinct, out
 
 
-def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each hash: equal parts of the hash range, so sorted hashes have sorted shards."""
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def _placed(h: np.ndarray, shards: int) -> np.ndarray:
+    """32 bits of shard and 32 bits of key: equal parts of the hash range, so sorted hashes are sorted by both."""
+    return (h >> np.uint64(32)) * np.uint64(shards) + ((h & _LOW) * np.uint64(shards) >> np.uint64(32))
 
 
-def _cuts(h: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
-    """(shard, from, to) of sorted hashes."""
-    own = shard_of(h, shards)
+def _cuts(placed: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of sorted places."""
+    own = (placed >> np.uint64(32)).astype(np.int64)
     edges = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1, [len(own)])) if len(own) else np.zeros(1, int)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         yield int(own[a]), a, b
 
 
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Numbers as bytes, all first bytes before all second ones."""
+    return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unplaned(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending 32-bit keys as differences."""
+    return _planes(np.diff(keys & _LOW, prepend=np.uint64(0)), "<u4")
+
+
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(data, "<u4").astype(np.uint64), dtype=np.uint64)
+
+
 def level_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEAST_COUNT, counts, "right")
 
 
-def _places(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
+def _hashed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     h = mixed(keys + np.uint64(level * int(_STEP) % (1 << 64)))
-    return ((h & _LOW) + np.uint64(probe) * (h >> np.uint64(32) | np.uint64(1))) % np.uint64(bits)
+    return h, h >> np.uint64(32) | np.uint64(1)
+
+
+def _place(first: np.ndarray, step: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    return (first + np.uint64(probe) * step & _LOW) * np.uint64(bits) >> np.uint64(32)
 
 
 def filled(keys: np.ndarray, levels: np.ndarray, probes: int) -> bytes:
@@ -115,8 +140,9 @@ def filled(keys: np.ndarray, levels: np.ndarray, probes: int) -> bytes:
     field = np.zeros(bits, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         keys, levels = keys[levels >= level], levels[levels >= level]
+        first, step = _hashed(keys, level)
         for probe in range(probes):
-            field[_places(keys, level, probe, bits)] = True
+            field[_place(first, step, probe, bits)] = True
     return np.packbits(field, bitorder="little").tobytes()
 
 
@@ -129,15 +155,18 @@ def probed(keys: np.ndarray, field: bytes | None, probes: int) -> np.ndarray:
     left, level = np.arange(len(keys)), 0
     while len(left) and level < len(LEAST_COUNT):
         level += 1
+        first, step = _hashed(keys[left], level)
         for probe in range(probes):
-            at = _places(keys[left], level, probe, 8 * len(field))
-            left = left[(field[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            at = _place(first, step, probe, 8 * len(field))
+            there = (field[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            left, first, step = left[there], first[there], step[there]
         out[left] = level
     return out
 
 
 def _packed(docs: DataFrame, text: str, key: str, held: Column) -> DataFrame:
-    """(slice, docs, held, texts, bytes, train): texts of about ``SLICE_BYTES`` per row, with the training tokens."""
+    """(slice, docs, held, sizes, texts, bytes, train): compressed texts of about ``SLICE_BYTES`` per row, with the number of
+    training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -148,13 +177,24 @@ def _packed(docs: DataFrame, text: str, key: str, held: Column) -> DataFrame:
                 train = int(counts[~np.array(held[a:b], bool)].sum())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number]), pa.array([batch.column("doc").slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
-                     pa.array([held[a:b]]), pa.array([[t or b"" for t in texts[a:b]]], pa.list_(pa.binary())),
+                     pa.array([held[a:b]]), pa.array([[len(t or b"") for t in texts[a:b]]], pa.list_(pa.int32())),
+                     pa.array([pa.compress(b"".join(t or b"" for t in texts[a:b]), "zstd", asbytes=True)]),
                      pa.array([sum(len(t or b"") for t in texts[a:b])]), pa.array([train])],
-                    ["slice", "docs", "held", "texts", "bytes", "train"])
+                    ["slice", "docs", "held", "sizes", "texts", "bytes", "train"])
                 number += 1
 
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text).alias("text"))
-    return materialise(rows.mapInArrow(run, "slice long, docs array<long>, held array<boolean>, texts array<binary>, bytes long, train long"))
+    return materialise(rows.mapInArrow(run, "slice long, docs array<long>, held array<boolean>, sizes array<int>, texts binary, bytes long, train long"))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[dict, Sequences]]:
+    """One row of packed texts after the other."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            ends = np.cumsum(row["sizes"]).tolist()
+            blob = pa.decompress(row.pop("texts"), ends[-1], "zstd", asbytes=True) if ends[-1] else b""
+            yield row, Sequences([blob[e - n:e] for n, e in zip(row["sizes"], ends, strict=True)], order)
 
 
 def _shards(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -170,58 +210,53 @@ def _shards(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
         yield held[0]["shard"], held
 
 
-def _joined(parts: list[bytes], kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), kind)
-
-
 def _learned(packed: DataFrame, order: int, shards: int, probes: int) -> DataFrame:
     """(shard, slice, payload, known): rows with a slice answer it with the counts of its words; the others hold the bits
     of each shard and the number of its training words."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.select(["slice", "held", "texts"]).to_pylist():
-                s = Sequences(row["texts"], order)
-                train = ~np.array(row["held"], bool)[s.owner]
-                words, index = np.unique(s.by_order[0][s.at], return_inverse=True)
-                times = np.bincount(index[train[s.at]], minlength=len(words)).astype("<u4")
-                events = []
-                for k, h in enumerate(s.by_order):
-                    events += [h[s.at[train[s.at]]]] if k else []
-                    events += [h[s.starts[train[s.starts]]]] if k < order - 1 else []
-                grams, held = np.unique(np.concatenate(events), return_counts=True) if events else (words[:0], times[:0])
-                out: dict[int, dict] = {}
-                for shard, a, b in _cuts(words, shards):
-                    out[shard] = {"words": words[a:b].tobytes(), "times": times[a:b].tobytes()}
-                for shard, a, b in _cuts(grams, shards):
-                    once, low = held[a:b] == 1, (grams[a:b] & _LOW).astype("<u4")
-                    out.setdefault(shard, {"words": b"", "times": b""}).update(
-                        once=low[once].tobytes(), more=low[~once].tobytes(), held=held[a:b][~once].astype("<u4").tobytes())
-                yield pa.RecordBatch.from_pylist(
-                    [{"shard": k, "slice": row["slice"], "once": b"", "more": b"", "held": b"", **v} for k, v in out.items()],
-                    pa.schema([("shard", pa.int32()), ("slice", pa.int64()), *[(c, pa.binary()) for c in ("words", "times", "once", "more", "held")]]))
+        for row, s in _slices(batches, order):
+            train = ~np.array(row["held"], bool)[s.owner]
+            words, index = np.unique(s.by_order[0][s.at], return_inverse=True)
+            times = np.bincount(index[train[s.at]], minlength=len(words))
+            events = []
+            for k, h in enumerate(s.by_order):
+                events += [h[s.at[train[s.at]]]] if k else []
+                events += [h[s.starts[train[s.starts]]]] if k < order - 1 else []
+            grams, held = np.unique(np.concatenate(events), return_counts=True) if events else (words[:0], times[:0])
+            out: dict[int, dict] = {}
+            for shard, a, b in _cuts(_placed(words, shards)):
+                out[shard] = {"words": _planes(words[a:b], "<u8"), "times": _planes(times[a:b], "<u4")}
+            grams = _placed(grams, shards)
+            for shard, a, b in _cuts(grams):
+                once = held[a:b] == 1
+                out.setdefault(shard, {"words": b"", "times": b""}).update(
+                    once=_steps(grams[a:b][once]), more=_steps(grams[a:b][~once]), held=_planes(held[a:b][~once], "<u4"))
+            yield pa.RecordBatch.from_pylist(
+                [{"shard": k, "slice": row["slice"], "once": b"", "more": b"", "held": b"", **v} for k, v in out.items()],
+                pa.schema([("shard", pa.int32()), ("slice", pa.int64()), *[(c, pa.binary()) for c in ("words", "times", "once", "more", "held")]]))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("shard", pa.int32()), ("slice", pa.int64()), ("payload", pa.binary()), ("known", pa.int64())])
         for shard, rows in _shards(batches):
-            words, times = (_joined([r[c] for r in rows], t) for c, t in (("words", "<u8"), ("times", "<u4")))
+            words, times = (np.concatenate([_unplaned(r[c], t) for r in rows]) for c, t in (("words", "<u8"), ("times", "<u4")))
             distinct, index = np.unique(words, return_inverse=True)
             total = np.bincount(index, times, len(distinct)).astype(np.int64)
-            once, more, held = (_joined([r[c] for r in rows], "<u4") for c in ("once", "more", "held"))
+            once, more = (np.concatenate([_keys(r[c]) for r in rows]) for c in ("once", "more"))
+            held = np.concatenate([_unplaned(r["held"], "<u4") for r in rows])
             known = total > 0
-            keys = np.concatenate((once, more, distinct[known] & _LOW)).astype(np.uint64)
             weights = np.concatenate((np.ones(len(once), np.int64), held, total[known]))
-            keys, place = np.unique(keys, return_inverse=True)
+            keys, place = np.unique(np.concatenate((once, more, _placed(distinct[known], shards) & _LOW)), return_inverse=True)
             field = filled(keys, level_of(np.bincount(place, weights, len(keys)).astype(np.int64)), probes)
             out, done = [{"shard": shard, "payload": field, "known": int(known.sum())}], 0
             for r in rows:
                 n = len(r["words"]) // 8
-                out.append({"shard": shard, "slice": r["slice"], "payload": total[index[done:done + n]].astype("<u8").tobytes()})
+                out.append({"shard": shard, "slice": r["slice"], "payload": _planes(total[index[done:done + n]], "<u8")})
                 done += n
             for a in range(0, len(out), 64):
                 yield pa.RecordBatch.from_pylist(out[a:a + 64], kind)
 
-    sent = packed.mapInArrow(send, "shard int, slice long, words binary, times binary, once binary, more binary, held binary")
+    sent = packed.select("slice", "held", "sizes", "texts").mapInArrow(send, "shard int, slice long, words binary, times binary, once binary, more binary, held binary")
     return materialise(sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(
         learn, "shard int, slice long, payload binary, known long"))
 
@@ -230,13 +265,12 @@ def _answered(packed: DataFrame, fields: DataFrame, order: int, shards: int, pro
     """(shard, slice, payload): the levels of the sequences that each slice asks for; probes travel to their shard."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                asked, _ = Sequences(row["texts"], order).asked()
-                parts = [(k, (asked[a:b] & _LOW).astype("<u4").tobytes()) for k, a, b in _cuts(asked, shards)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in parts], pa.int32()), pa.array([row["slice"]] * len(parts), pa.int64()),
-                     pa.array([p for _, p in parts], pa.binary())], ["shard", "slice", "payload"])
+        for row, s in _slices(batches, order):
+            asked = _placed(s.asked()[0], shards)
+            parts = [(k, _steps(asked[a:b])) for k, a, b in _cuts(asked)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in parts], pa.int32()), pa.array([row["slice"]] * len(parts), pa.int64()),
+                 pa.array([p for _, p in parts], pa.binary())], ["shard", "slice", "payload"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, field = None, None
@@ -247,15 +281,14 @@ def _answered(packed: DataFrame, fields: DataFrame, order: int, shards: int, pro
                 if number[i] is None:
                     at, field = k, payload
                 else:
-                    keys = np.frombuffer(payload, "<u4").astype(np.uint64)
-                    answers.append((k, number[i], probed(keys, field if k == at else None, probes).tobytes()))
+                    answers.append((k, number[i], probed(_keys(payload), field if k == at else None, probes).tobytes()))
             if answers:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*answers, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)],
                     ["shard", "slice", "payload"])
 
     kind = "shard int, slice long, payload binary"
-    asked = packed.select("slice", "texts").mapInArrow(send, kind)
+    asked = packed.select("slice", "sizes", "texts").mapInArrow(send, kind)
     both = asked.unionByName(fields.select("shard", F.lit(None).cast("long").alias("slice"), "payload"))
     # a shard's bits have no slice, so they come before its probes
     return both.repartition("shard").sortWithinPartitions("shard", F.col("slice").asc_nulls_first()).mapInArrow(answer, kind)
@@ -289,28 +322,27 @@ def scored(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id
     total = train + known + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = Sequences(row["texts"], order)
-                n, owner = len(row["docs"]), s.owner[s.at]
-                _, index = np.unique(s.by_order[0][s.at], return_inverse=True)
-                counts = _joined([r["payload"] for r in row["replies"] if r["kind"] == 0], "<u8").astype(np.int64)
-                base = np.bincount(owner, np.log10((counts + 1) / total)[index], n)
-                asked, places = s.asked()
-                if sent is None:
-                    levels = _joined([r["payload"] for r in row["replies"] if r["kind"] == 1], np.uint8)
-                else:
-                    levels = np.concatenate([probed(asked[a:b] & _LOW, sent.value.get(k), probes) for k, a, b in _cuts(asked, shards)])
-                held = COUNT_OF[levels]
-                p = (held[places[0][s.at]] + 1) / total
-                for k in range(1, order):
-                    history = held[places[k - 1][s.at - 1]]
-                    p = (np.minimum(held[places[k][s.at]], history) + mass * p) / (history + mass)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(s.tokens.astype(np.int64)),
-                     pa.array(np.bincount(owner[counts[index] > 0], minlength=n)), pa.array([train] * n, pa.int64()),
-                     pa.array(base), pa.array(np.bincount(owner, np.log10(np.minimum(p, 1.0)), n))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return packed.select("slice", "docs", "held", "texts").join(replies, "slice").drop("slice").mapInArrow(
+        for row, s in _slices(batches, order):
+            n, owner = len(row["docs"]), s.owner[s.at]
+            _, index = np.unique(s.by_order[0][s.at], return_inverse=True)
+            counts = np.concatenate([_unplaned(r["payload"], "<u8") for r in row["replies"] if r["kind"] == 0]).astype(np.int64)
+            base = np.bincount(owner, np.log10((counts + 1) / total)[index], n)
+            asked, places = s.asked()
+            if sent is None:
+                levels = np.frombuffer(b"".join([r["payload"] for r in row["replies"] if r["kind"] == 1]), np.uint8)
+            else:
+                asked = _placed(asked, shards)
+                levels = np.concatenate([probed(asked[a:b] & _LOW, sent.value.get(k), probes) for k, a, b in _cuts(asked)])
+            held = COUNT_OF[levels]
+            p = (held[places[0][s.at]] + 1) / total
+            for k in range(1, order):
+                history = held[places[k - 1][s.at - 1]]
+                p = (np.minimum(held[places[k][s.at]], history) + mass * p) / (history + mass)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(s.tokens.astype(np.int64)),
+                 pa.array(np.bincount(owner[counts[index] > 0], minlength=n)), pa.array([train] * n, pa.int64()),
+                 pa.array(base), pa.array(np.bincount(owner, np.log10(np.minimum(p, 1.0)), n))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return packed.select("slice", "docs", "held", "sizes", "texts").join(replies, "slice").drop("slice").mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
