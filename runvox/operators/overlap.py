@@ -171,15 +171,20 @@ def geometry_members(scans: DataFrame, collection: DataFrame) -> DataFrame:
 
 
 def method_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per source: cases found by both methods, with the same id, by one only, and by either.
+    """Per source: cases found by both methods, with a common id, by one only, and by either.
 
-    ``a``, ``b``: (source, case_id, match_id), one row per case.
+    ``a``, ``b``: (source, case_id, match_id), a row for each of the ids that a method finds for a case. Both sides meet as
+    inverted lists (case, id), so a case with many ids is never one row; rows without an id are not found.
     """
-    both = a.withColumnRenamed("match_id", "_a").join(b.withColumnRenamed("match_id", "_b"),
-                                                      ["source", "case_id"], "full_outer")
-    x, y = F.col("_a").isNotNull(), F.col("_b").isNotNull()
-    return both.groupBy("source").agg(
-        F.count_if(x & y).alias("both_methods"), F.count_if(F.col("_a") == F.col("_b")).alias("same_id"),
+    ids = ["source", "case_id", "match_id"]
+    both = (a.where("match_id IS NOT NULL").select(*ids, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
+            .unionByName(b.where("match_id IS NOT NULL").select(*ids, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+            .groupBy(*ids).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b")))
+    cases = both.groupBy("source", "case_id").agg(
+        F.max("_a").alias("_a"), F.max("_b").alias("_b"), F.max(F.col("_a") * F.col("_b")).alias("_same"))
+    x, y = F.col("_a") == 1, F.col("_b") == 1
+    return cases.groupBy("source").agg(
+        F.count_if(x & y).alias("both_methods"), F.count_if(F.col("_same") == 1).alias("same_id"),
         F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count(F.lit(1)).alias("either"))
 
 

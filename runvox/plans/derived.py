@@ -34,13 +34,25 @@ def _pick(values: list[str], k: str, start: int = 0) -> str:
     return f"CASE {k} {whens} ELSE '{values[-1]}' END"
 
 
-_M = "CASE WHEN l_linenumber = 2 THEN 4 ELSE 8 END"
-_SHIFT = "CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE 1 END"
 _KEY = f"{source_of('l_suppkey')} AS source, {case_of('l_suppkey')} AS case_id"
-_XYZ = (f"CAST(l_partkey % ({_M}) + {_SHIFT} + CASE WHEN l_linenumber IN (2, 4, 5) THEN 8 ELSE 0 END AS INT) AS x, "
-        f"CAST(CAST(l_quantity AS INT) % ({_M}) + {_SHIFT} AS INT) AS y, "
-        f"CAST(dayofyear(l_shipdate) % ({_M}) + {_SHIFT} AS INT) AS z")
-_VOXEL = f"{_KEY}, {_pick(ORGANS, 'l_linenumber', 1)} AS organ, {_XYZ}"
+_SHIFT = "CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE 1 END"
+
+
+def _voxel(number: str = "l_linenumber", day: str = "dayofyear(l_shipdate)") -> str:
+    """A line item as a voxel of organ ``number`` (right-hand organs lie eight columns further)."""
+    m = f"CASE WHEN {number} = 2 THEN 4 ELSE 8 END"
+    return (f"{_KEY}, {_pick(ORGANS, f'({number})', 1)} AS organ, "
+            f"CAST(l_partkey % ({m}) + {_SHIFT} + CASE WHEN {number} IN (2, 4, 5) THEN 8 ELSE 0 END AS INT) AS x, "
+            f"CAST(CAST(l_quantity AS INT) % ({m}) + {_SHIFT} AS INT) AS y, "
+            f"CAST(({day}) % ({m}) + {_SHIFT} AS INT) AS z")
+
+
+#: Every line item is a voxel of the truth; some cases have no aorta or no glands, whose items belong to other organs.
+_TRUTH_ORGAN = ("CASE WHEN l_linenumber = 7 AND l_suppkey % 5 = 0 THEN 5 WHEN l_linenumber IN (1, 2) AND l_suppkey % 11 = 3 "
+                "THEN l_linenumber + 2 ELSE l_linenumber END")
+#: And every one is a voxel of the prediction, which misses some right kidneys and puts items that are not shipped elsewhere.
+_PRED_ORGAN = "CASE WHEN l_linenumber = 4 AND l_suppkey % 6 = 0 THEN 3 ELSE l_linenumber END"
+_PRED_DAY = "dayofyear(l_shipdate) + CASE WHEN l_linestatus <> 'F' AND l_orderkey % 2 = 0 THEN 1 ELSE 0 END"
 
 BASE = {
     "v_header": f"""
@@ -49,16 +61,11 @@ BASE = {
                CASE WHEN s_suppkey % 3 = 0 THEN 8 ELSE 10 END AS sz, 1 + (s_suppkey % 11) * 45e-2 AS t,
                CASE WHEN s_suppkey % 7 = 0 THEN -1e0 ELSE 1e0 END AS xs, 3e-2 AS voxel_ml
         FROM supplier""",
-    "v_truth": f"""
-        SELECT DISTINCT {_VOXEL} FROM lineitem
-        WHERE (l_returnflag IN ('A', 'R') OR l_linestatus = 'F') AND NOT (l_linenumber = 7 AND l_suppkey % 5 = 0)
-          AND NOT (l_linenumber IN (1, 2) AND l_suppkey % 11 = 3)""",
-    "v_pred": f"""
-        SELECT DISTINCT {_VOXEL} FROM lineitem
-        WHERE (l_returnflag = 'A' OR l_linestatus = 'F') AND NOT (l_linenumber = 4 AND l_suppkey % 6 = 0)""",
+    "v_truth": f"SELECT DISTINCT {_voxel(f'({_TRUTH_ORGAN})')} FROM lineitem",
+    "v_pred": f"SELECT DISTINCT {_voxel(f'({_PRED_ORGAN})', _PRED_DAY)} FROM lineitem",
     "v_teacher": f"""
         SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 'first' WHEN 'N' THEN 'second' ELSE 'third' END AS teacher,
-               {_VOXEL} FROM lineitem""",
+               {_voxel()} FROM lineitem""",
     "v_labelled": f"""
         SELECT {_KEY}, CAST(l_partkey % 15 AS INT) AS label, CAST(1 AS BIGINT) AS voxels FROM lineitem""",
     "v_ct": f"""

@@ -371,28 +371,34 @@ def geometry_members(t: Tables) -> DataFrame:
     return overlap.geometry_members(*_geometries(t)).select("id")
 
 
-def _methods(t: Tables) -> tuple[DataFrame, DataFrame]:
-    rows = t.table("part").select(F.col("p_type").alias("source"), F.concat(F.lit("p"), "p_partkey").alias("case_id"),
-                                  "p_partkey", "p_size")
-    shifted = F.col("p_size") + F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(0)
-    return (rows.where("p_partkey % 3 = 0").select("source", "case_id", F.col("p_size").alias("match_id")),
-            rows.where("p_partkey % 2 = 0").select("source", "case_id", shifted.alias("match_id")))
-
-
-@query("method_agreement", """SELECT p_type AS source, count(*) FILTER (WHERE p_partkey % 6 = 0) AS both_methods,
-    count(*) FILTER (WHERE p_partkey % 6 = 0 AND p_partkey % 5 > 0) AS same_id, count(*) FILTER (WHERE p_partkey % 3 = 0 AND p_partkey % 2 > 0) AS only_a,
-    count(*) FILTER (WHERE p_partkey % 2 = 0 AND p_partkey % 3 > 0) AS only_b, count(*) AS either
-    FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0 GROUP BY 1""")
+def _found(t: Tables, size: str, brand: str) -> DataFrame:
+    """(source, case_id, match_id): parts with the ids that a method finds, as many as its size asks for."""
+    ids = F.expr(f"transform(sequence(1, {size}), i -> p_size * 10 + ({brand} + i) % 10)")
+    return t.table("part").select(F.col("p_type").alias("source"), F.concat(F.lit("p"), "p_partkey").alias("case_id"),
+                                  F.explode(F.when(F.expr(size) > 0, ids)).alias("match_id"))
+
+
+#: How many ids each method finds for a part: every part is found by one method or by both.
+_SIZE_A, _SIZE_B = "p_partkey % 3", "CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE p_partkey % 4 END"
+_METHODS = f"""
+    WITH a AS (SELECT p_partkey, (p_partkey + i) % 10 AS id FROM part, range(1, 4) r(i) WHERE i <= {_SIZE_A}),
+    b AS (SELECT p_partkey, (3 * p_partkey + i) % 10 AS id FROM part, range(1, 4) r(i) WHERE i <= {_SIZE_B}),
+    c AS (SELECT p_type AS source, p_partkey IN (SELECT p_partkey FROM a) AS a, p_partkey IN (SELECT p_partkey FROM b) AS b,
+                 p_partkey IN (SELECT p_partkey FROM a JOIN b USING (p_partkey, id)) AS same FROM part)"""
+
+
+@query("method_agreement", f"""{_METHODS} SELECT source, count(*) FILTER (WHERE a AND b) AS both_methods, count(*) FILTER (WHERE same) AS same_id,
+    count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE b AND NOT a) AS only_b, count(*) FILTER (WHERE a OR b) AS either
+    FROM c GROUP BY 1""")
 def method_agreement(t: Tables) -> DataFrame:
-    return overlap.method_agreement(*_methods(t))
+    return overlap.method_agreement(_found(t, _SIZE_A, "p_partkey"), _found(t, _SIZE_B, "3 * p_partkey"))
 
 
-@query("contamination", """SELECT p_type AS source, count(*) AS cases, count(*) FILTER (WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0) AS found
-    FROM part WHERE p_partkey % 7 = 0 GROUP BY 1""")
+@query("contamination", """SELECT p_type AS source, count(*) AS cases, count(*) FILTER (WHERE p_partkey % 3 > 0 OR p_partkey % 5 = 0) AS found
+    FROM part GROUP BY 1""")
 def contamination(t: Tables) -> DataFrame:
-    test = t.table("part").where("p_partkey % 7 = 0").select(F.col("p_type").alias("source"),
-                                                             F.concat(F.lit("p"), "p_partkey").alias("case_id"))
-    return overlap.contamination(test, *_methods(t))
+    parts = t.table("part").select(F.col("p_type").alias("source"), F.concat(F.lit("p"), "p_partkey").alias("case_id"), "p_partkey")
+    return overlap.contamination(parts.drop("p_partkey"), _found(t, _SIZE_A, "p_partkey"), parts.where("p_partkey % 5 = 0"))
 
 
 @query("shape_candidates", """SELECT id, cost, n AS candidates, first AS first_candidate FROM (
