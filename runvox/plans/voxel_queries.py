@@ -33,7 +33,7 @@ PLACES_SQL = "count(*) AS voxels, CAST(sum(x * 10000 + y * 100 + z) AS BIGINT) A
 
 # Ingest ------------------------------------------------------------------------------------------------------------
 
-def _volume_content(t: Tables) -> DataFrame:
+def volume_content(t: Tables) -> DataFrame:
     """One label file per case, its bytes put together by Spark from the voxels (highest organ id wins)."""
     label = F.element_at(F.create_map(*[F.lit(v) for pair in IDS.items() for v in pair]), F.col("organ"))
     key = ["source", "case_id"]
@@ -61,7 +61,7 @@ def _volume_content(t: Tables) -> DataFrame:
           SELECT source, case_id, x, y, z, max(organ_id) AS label FROM v_truth JOIN o_organ USING (organ) GROUP BY ALL))
       GROUP BY ALL) GROUP BY ALL""")
 def ingest_runs(t: Tables) -> DataFrame:
-    runs = volumes.label_runs(_volume_content(t))
+    runs = volumes.label_runs(volume_content(t))
     return runs.groupBy("source", "case_id", "label").agg(F.count(F.lit(1)).alias("runs"),
                                                           F.sum(length()).cast("long").alias("voxels"))
 

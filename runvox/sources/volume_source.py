@@ -155,12 +155,16 @@ class VolumeSource(DataSource):
         return VolumeReader(dict(self.options))
 
 
+def _uri(root: str) -> str:
+    return root if "://" in root else f"file://{root.removeprefix('file:')}"
+
+
 def scan(spark: SparkSession, root: str, parts: Sequence[str] = ("header", "run"), masks: bool = False, suffix: str = ".nii.gz",
          group_bytes: int = 128 << 20) -> DataFrame:
     """The rows of every file below ``root``. ``path`` is the whole path; ``source``, ``case_id`` and ``structure`` are its last
     three steps (folder, folder, file without its suffix)."""
     spark.dataSource.register(VolumeSource)
-    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    root = _uri(root)
     rows = (spark.read.format(NAME).option("path", root).option("parts", ",".join(parts)).option("masks", str(masks).lower())
             .option("suffix", suffix).option("groupBytes", str(group_bytes)).load())
     steps = F.split("path", "/")
@@ -187,7 +191,7 @@ def errors(rows: DataFrame) -> DataFrame:
 
 def write_files(files: DataFrame, root: str) -> DataFrame:
     """Writes (name, content) rows below ``root`` from the tasks, gzip-compressed; (name, size) of what was written."""
-    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    root = _uri(root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
