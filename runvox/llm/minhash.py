@@ -14,7 +14,10 @@ too many for sets of up to six shingles; these open lists of single values. At a
 Only components are wanted, so a large group of similar documents needs no list of all its pairs: in each list one
 leader meets the others, and links contract the graph. What is left are pairs of documents of one list in different
 components. Shingles that no other of these documents has bound the similarity of every pair from above, which sets
-aside the many members of a group that differ too much from all others; all remaining pairs are tested.
+aside the many members of a group that differ too much from all others. The rest is told by what it gains and loses
+against its leader: two documents differ in exactly the shingles in which their differences differ. So a group's members
+travel once, as short lists of differences; sizes of gains, losses and unshared shingles rule out most pairs, and all
+others are decided exactly by their differences, with no text moved again.
 """
 
 from __future__ import annotations
@@ -24,12 +27,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runvox.llm.words import Words, binary, lists, longs, shingles, slices
+from runvox.llm.words import SLICE_BYTES, Words, binary, grouped, lists, longs, packed, shingles, slices, unpacked
 from runvox.operators.components import connected
 from runvox.scale import materialise
 
@@ -44,16 +46,31 @@ RUNS = ((4, 6, 1, None), (6, 36, 3, 1), (25, None, 4, 1))
 #: Documents that share lists get longer sketches. Pairs whose union sketch has a share of common values this far below
 #: the threshold are not compared in full; a pair at the threshold falls there with a probability of about 1e-6.
 LONG_SKETCH, SLACK = 256, 0.12
-#: Lists with more documents are compared in blocks of about this many.
-CROWD = 256
+#: Members of a leader meet in blocks of about this many documents and differing shingles.
+BLOCK_DOCS, BLOCK_VALUES = 4096, 1 << 20
 
 
-def sketches(docs: DataFrame, shingle: int, k: int = SKETCH, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _raw(batch: pa.RecordBatch, name: str) -> list[bytes]:
+    """A column of compressed texts as they were."""
+    return [unpacked(t) for t in batch.column(name).to_pylist()]
+
+
+def _compressed(docs: DataFrame) -> DataFrame:
+    """(doc, text): texts that are compared travel compressed, two of them per pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([packed(t) for t in binary(batch, "text")], pa.binary())], ["doc", "text"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc long, text binary")
+
+
+def sketches(docs: DataFrame, shingle: int, k: int = SKETCH, text: str = "text", key: str = "doc_id", compressed: bool = False) -> DataFrame:
     """(doc, n, digest, sketch) per row: set size, digest of the whole set, its ``k`` smallest hashes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = binary(batch, "text")
+            texts = _raw(batch, "text") if compressed else binary(batch, "text")
             counts, digests, heads = [], [], []
             for a, b in slices(texts):
                 words = Words([t and t.lower() for t in texts[a:b]])
@@ -88,51 +105,80 @@ def estimated(pairs: DataFrame, nodes: DataFrame, least: float, k: int = LONG_SK
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             top = np.iinfo(np.uint64).max
-            both = np.full((batch.num_rows, 2 * k + 1), top, np.uint64)
-            fill(batch.column("sa"), both[:, :k])
-            fill(batch.column("sb"), both[:, k:2 * k])
-            both.sort(axis=1)
-            used = both[:, :-1] != top
-            twice = (both[:, 1:] == both[:, :-1]) & used
-            rank = np.cumsum(used & ~twice, axis=1)
-            size = np.minimum(rank[:, -1], k)
-            shared = (twice & (rank < k)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(
-                pa.array(shared >= least * size))
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                both = np.full((part.num_rows, 2 * k + 1), top, np.uint64)
+                fill(part.column("sa"), both[:, :k])
+                fill(part.column("sb"), both[:, k:2 * k])
+                both.sort(axis=1)
+                used = both[:, :-1] != top
+                twice = (both[:, 1:] == both[:, :-1]) & used
+                rank = np.cumsum(used & ~twice, axis=1, dtype=np.int32)
+                size = np.minimum(rank[:, -1], k)
+                shared = (twice & (rank < k)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(
+                    pa.array(shared >= least * size))
 
     side = nodes.select("doc", "sketch")
     return (pairs.select("a", "b").join(side.toDF("b", "sb"), "b").join(side.toDF("a", "sa"), "a")
             .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
 
 
+def _sets_of_pairs(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, a's set, b's set) for the rows (a, b, ta, tb) of a batch; a text that repeats in a slice is worked off once."""
+    left, right = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+    ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
+    for lo, hi in slices([x + y for x, y in zip(ta, tb, strict=True)], SLICE_BYTES // 4):
+        own: dict[int, int] = {}
+        both: list[bytes] = []
+        for i in range(lo, hi):
+            for d, t in ((left[i], ta[i]), (right[i], tb[i])):
+                if d not in own:
+                    own[d] = len(both)
+                    both.append(unpacked(t).lower())
+        words = Words(both)
+        h = words.hashes()
+        sets = [shingles(words, j, h, shingle) for j in range(len(both))]
+        for i in range(lo, hi):
+            yield i, sets[own[left[i]]], sets[own[right[i]]]
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    return pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = binary(batch, "ta"), binary(batch, "tb")
-            keep = np.zeros(len(left), bool)
-            sizes = [x + y for x, y in zip(ta, tb, strict=True)]
-            for lo, hi in slices(sizes):
-                own: dict[int, int] = {}
-                both: list[bytes] = []
-                for i in range(lo, hi):
-                    for d, t in ((left[i], ta[i]), (right[i], tb[i])):
-                        if d not in own:
-                            own[d] = len(both)
-                            both.append(t.lower())
-                words = Words(both)
-                h = words.hashes()
-                sets = [shingles(words, j, h, shingle) for j in range(len(both))]
-                for i in range(lo, hi):
-                    x, y = sets[own[left[i]]], sets[own[right[i]]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = common and 100 * common >= percent * (len(x) + len(y) - common)
+            keep = np.zeros(batch.num_rows, bool)
+            for i, x, y in _sets_of_pairs(batch, shingle):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = common and 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    return (pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-            .mapInArrow(run, "a long, b long"))
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long")
+
+
+def _differences(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b, linked, gained, lost, differ): how many shingles only b has and only a has, and which these are, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, gained, lost, differ = [], [], [], []
+            for _, x, y in _sets_of_pairs(batch, shingle):
+                d = np.setxor1d(x, y, assume_unique=True)
+                common = (len(x) + len(y) - len(d)) // 2
+                linked.append(common > 0 and 100 * common >= percent * (common + len(d)))
+                gained.append(len(y) - common)
+                lost.append(len(x) - common)
+                differ.append(d.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(gained, pa.int64()), pa.array(lost, pa.int64()),
+                 pa.array(differ, pa.binary())], ["a", "b", "linked", "gained", "lost", "differ"])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, linked boolean, gained long, lost long, differ binary")
 
 
 def _labelled(entries: DataFrame, edges: DataFrame | None) -> DataFrame:
@@ -154,7 +200,7 @@ def _unshared(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = binary(batch, "text")
+            texts = _raw(batch, "text")
             doc = batch.column("doc").to_numpy()
             for a, b in slices(texts):
                 words = Words([t.lower() for t in texts[a:b]])
@@ -189,8 +235,8 @@ def links(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Data
     chosen = materialise(chosen.where("size(lists) > spare").withColumn(
         "lists", F.expr("transform(slice(lists, 1, size(lists) - spare), x -> x.list)")))
     ids = chosen.select("doc").distinct()
-    texts = materialise(docs.join(ids, "doc", "left_semi").select("doc", "text"))
-    members = materialise(sketches(texts, shingle, LONG_SKETCH, "text", "doc"))
+    texts = materialise(_compressed(docs.join(ids, "doc", "left_semi")))
+    members = materialise(sketches(texts, shingle, LONG_SKETCH, "text", "doc", compressed=True))
     entries = materialise(chosen.select("doc", "n", "w", F.explode("lists").alias("list")))
     least = percent / 100 - SLACK
 
@@ -203,73 +249,73 @@ def links(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Data
                     .where((F.col("comp") != F.col("l.comp")) & _sizes_fit(F.col("n"), F.col("l.n"), percent))
                     .select(F.col("l.doc").alias("a"), F.col("doc").alias("b")).distinct())
 
-    # the best connected document of each list first, then any other
+    # the best connected document of each list first
     found = star(entries.withColumn("comp", F.col("doc")), F.struct("w", "doc"))
     left = materialise(_open(_labelled(entries, found)))
     alone = _unshared(left.select("doc").distinct(), texts, shingle)
     left = (left.join(alone, "doc", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
             .where(F.col("alone") * percent <= F.col("n") * (100 - percent)))
     left = materialise(_open(left))
-    found = found.unionByName(star(left, F.struct(F.xxhash64("list", "doc"), F.col("doc"))))
-    left = _open(_labelled(left.drop("comp"), found))
-    every = left.groupBy("doc").agg(F.collect_set("list").alias("lists"))
-    left = materialise(left.join(every, "doc"))
-    crowd = left.groupBy("list").agg(F.count(F.lit(1)).alias("held"))
-    left = materialise(left.join(crowd, "list"))
-    few = left.where(F.col("held") <= CROWD)
-    other = few.select(F.col("list").alias("lb"), F.col("doc").alias("b"), F.col("n").alias("nb"),
-                       F.col("alone").alias("ab"), F.col("comp").alias("cb"), F.col("lists").alias("listsb"))
-    # union <= (n + nb) / (1 + similarity), and what only one of the two has is not common
-    bound = (F.col("alone") + F.col("ab")) * (100 + percent) <= (F.col("n") + F.col("nb")) * (100 - percent)
-    # a pair is tested in the first of its common lists only
-    fits = ((F.col("doc") < F.col("b")) & (F.col("comp") != F.col("cb")) & bound
-            & _sizes_fit(F.col("n"), F.col("nb"), percent)
-            & (F.array_min(F.array_intersect("lists", "listsb")) == F.col("list")))
-    pairs = few.join(other, (F.col("list") == F.col("lb")) & fits).select(F.col("doc").alias("a"), "b")
-    crowded = _crowded(left.where(F.col("held") > CROWD), members, percent, least)
-    return found.unionByName(test(pairs.unionByName(crowded)))
-
-
-def _crowded(entries: DataFrame, members: DataFrame, percent: int, least: float) -> DataFrame:
-    """Candidate pairs of long lists. A list is dealt into blocks of about ``CROWD`` documents; each pair of blocks is
-    one group of bounded size, in which matrix products of memberships count what documents have in common."""
-    blocks = F.ceil(F.col("held") / CROWD).cast("int")
-    dealt = (entries.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    # then what each document gains and loses against the best connected one that is left in its list
+    leader = left.groupBy("list").agg(F.max_by("doc", F.struct("w", "doc")).alias("leader"))
+    left = materialise(left.join(leader, "list"))
+    pairs = left.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    against = materialise(_differences(pairs, texts, shingle, percent))
+    found = found.unionByName(against.where("linked").select("a", "b"))
+    left = _open(_labelled(left.drop("comp").where("doc <> leader"), found))
+    return found.unionByName(_between_members(left.select("leader", "doc", "n", "alone", "comp").distinct(), against, percent))
+
+
+def _between_members(members: DataFrame, against: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one leader in different components.
+
+    ``gained`` counts the shingles a member has and its leader has not, ``lost`` those it lacks. Two members differ at least
+    in the shingles that each has alone, and in as many more as the sizes of what they lost, or gained and share, are apart.
+    """
+    members = members.join(against.select(F.col("a").alias("leader"), F.col("b").alias("doc"), "gained", "lost", "differ"), ["leader", "doc"])
+    size = members.groupBy("leader").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum(F.length("differ")) / (8 * BLOCK_VALUES))).cast("int").alias("blocks"),
+        F.count(F.lit(1)).alias("held")).where("held > 1")
+    dealt = (members.join(size, "leader").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .join(members.select("doc", "sketch"), "doc")
-             .select("list", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "doc", "n",
-                     "comp", "lists", "sketch"))
-
-    def incidence(arrays: list[np.ndarray], known: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(arrays), len(known)), np.float32)
-        for r, x in enumerate(arrays):
-            at = np.searchsorted(known, x)
-            at[at == len(known)] = 0
-            out[r, at[known[at] == x] if len(known) else []] = 1
-        return out
-
-    def group(pdf):
-        i, j, this = int(pdf["i"].iat[0]), int(pdf["j"].iat[0]), int(pdf["list"].iat[0])
-        own, doc, n, comp = (pdf[c].to_numpy() for c in ("own", "doc", "n", "comp"))
-        first = np.unique(np.concatenate(list(pdf["lists"])))
-        earlier = incidence(list(pdf["lists"]), first[first < this])
-        values, times = np.unique(np.concatenate(list(pdf["sketch"])), return_counts=True)
-        held = incidence(list(pdf["sketch"]), values[times > 1])
-        size = np.minimum(n, LONG_SKETCH)
-        common = held @ held.T
-        both = size[:, None] + size[None, :]
-        whole = (n[:, None] <= LONG_SKETCH) & (n[None, :] <= LONG_SKETCH)
-        similar = np.where(whole, 100 * common >= percent * (both - common),
-                           common >= least * np.maximum(size[:, None], size[None, :]))
-        ok = ((earlier @ earlier.T == 0) & (comp[:, None] != comp[None, :]) & similar
-              & (np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent)
-              & (doc[:, None] < doc[None, :]))
-        if i != j:
-            ok &= own[:, None] != own[None, :]
-        a, b = np.nonzero(ok)
-        return pd.DataFrame({"a": doc[a], "b": doc[b]})
-
-    return dealt.groupBy("list", "i", "j").applyInPandas(group, "a long, b long")
+             .select("leader", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "doc", "n", "alone", "comp",
+                     "gained", "lost", "differ"))
+
+    def tested(table: pa.Table) -> Iterator[tuple[int, int]]:
+        own, doc, n, alone, comp, gained, lost = (table.column(c).to_numpy() for c in ("own", "doc", "n", "alone", "comp", "gained", "lost"))
+        two = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        differ = [np.frombuffer(d, np.uint64) for d in table.column("differ").to_pylist()]
+        ends = np.cumsum([0, *map(len, differ)])
+        codes = np.unique(np.concatenate(differ), return_inverse=True)[1]
+        mark = np.zeros(int(codes.max(initial=-1)) + 1, np.int8)
+        shared = gained - alone
+        for start in range(0, len(doc), 256):
+            x = slice(start, start + 256)
+            least = alone[x, None] + alone + np.abs(lost[x, None] - lost) + np.abs(shared[x, None] - shared)
+            ok = (least * (100 + percent) <= (n[x, None] + n) * (100 - percent)) & (comp[x, None] != comp) & (doc[x, None] < doc)
+            if two:
+                ok &= own[x, None] != own
+            for a in np.flatnonzero(ok.any(axis=1)).tolist():
+                others = np.flatnonzero(ok[a]).tolist()
+                a += start
+                mine = codes[ends[a]:ends[a + 1]]
+                mark[mine] = 1
+                for b in others:
+                    apart = len(mine) + ends[b + 1] - ends[b] - 2 * int(mark[codes[ends[b]:ends[b + 1]]].sum())
+                    if apart * (100 + percent) <= (n[a] + n[b]) * (100 - percent):
+                        yield int(doc[a]), int(doc[b])
+                mark[mine] = 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, ["leader", "i", "j"], 256):
+            leader, i, j = (table.column(c).to_numpy() for c in ("leader", "i", "j"))
+            cuts = np.flatnonzero((np.diff(leader) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            links = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(leader)], strict=True):
+                links += tested(table.slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    return dealt.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text",

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from runvox.llm.words import Words, binary, lists, slices, windows
+from runvox.llm.words import Words, binary, grouped, lists, packed, slices, unpacked, windows
 from runvox.scale import materialise
 
 GRAM = 6
@@ -44,12 +44,28 @@ def _runs(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return low[first], first, np.diff(np.append(first, n))
 
 
+def _small(docs: DataFrame) -> DataFrame:
+    """``docs`` (row, doc, text) with its texts compressed: they are stored once and sent up to twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("doc"), pa.array([packed(t) for t in binary(batch, "text")], pa.binary())],
+                ["row", "doc", "text"])
+
+    return docs.select("row", "doc", "text").mapInArrow(run, "row long, doc long, text binary")
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [unpacked(t) for t in batch.column("text").to_pylist()]
+
+
 def _scanned(docs: DataFrame, width: int) -> DataFrame:
     """(row, doc, n, sha, minimiser[], start[], windows[]) per row: words, hash of the text as it is, super-k-mers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = binary(batch, "text")
+            texts = _texts(batch)
             counts, shas, parts = [], [], []
             for a, b in slices(texts):
                 words = Words(texts[a:b])
@@ -57,7 +73,7 @@ def _scanned(docs: DataFrame, width: int) -> DataFrame:
                 for i in range(b - a):
                     own = h[words.first[i]:words.first[i + 1]]
                     counts.append(len(own))
-                    shas.append(hashlib.sha256(b" ".join((texts[a + i] or b"").split())).hexdigest())
+                    shas.append(hashlib.sha256(b" ".join(texts[a + i].split())).hexdigest())
                     none = np.zeros(0, np.int64)
                     parts.append(_runs(own, width) if len(own) >= width else (none, none, none))
             yield pa.RecordBatch.from_arrays(
@@ -74,7 +90,7 @@ def _packed(chosen: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rows, docs = binary(batch, "text"), batch.column("row").to_pylist(), batch.column("doc").to_pylist()
+            texts, rows, docs = _texts(batch), batch.column("row").to_pylist(), batch.column("doc").to_pylist()
             for r, runs in enumerate(batch.column("runs").to_pylist()):
                 own = texts[r].split()
                 yield pa.RecordBatch.from_arrays(
@@ -109,34 +125,12 @@ _RUN = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("windows", pa.int
                   ("rows", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("ats", pa.list_(pa.int64()))])
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 14) -> Iterator[pa.Table]:
-    """Whole key groups of sorted batches, a few thousand rows at a time."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) < most:
-            continue
-        table = pa.Table.from_batches(held)
-        last = [table.column(k)[-1].as_py() for k in keys]
-        same = np.ones(table.num_rows, bool)
-        for k, v in zip(keys, last, strict=True):
-            same &= table.column(k).to_numpy() == v
-        cut = table.num_rows - int(same.sum())
-        if cut:
-            yield table.slice(0, cut)
-        held = table.slice(cut).to_batches()
-    if held:
-        table = pa.Table.from_batches(held)
-        if table.num_rows:
-            yield table
-
-
 def _bucket_repeats(packed: DataFrame, width: int) -> DataFrame:
     """Rows with ``start``: runs of windows that a smaller document has; rows without: first documents of the windows
     of salted buckets, packed by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches, ["minimiser", "salt"]):
+        for table in grouped(batches, ["minimiser", "salt"]):
             texts = table.column("words").to_pylist()
             for lo, hi in _group_slices(table, texts):
                 words = Words(texts[lo:hi])
@@ -190,7 +184,7 @@ def _between_salts(shared: DataFrame) -> DataFrame:
     """Runs of windows of which another salt of the same minimiser has a smaller document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches, ["minimiser", "range"], 256):
+        for table in grouped(batches, ["minimiser", "range"], 256):
             parts = {c: table.column(c).to_pylist() for c in ("h1", "h2", "rows", "docs", "ats")}
             number = [len(x) for x in parts["docs"]]
             flat = {c: np.concatenate([np.array(x, np.int64) for x in v]) for c, v in parts.items()}
@@ -208,10 +202,11 @@ def _between_salts(shared: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, width: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scanned, texts, spans) of ``docs`` (row, doc, text; stored row numbers are distinct, ids may repeat, none is null).
+    """(scanned, texts, spans) of ``docs`` (row, doc, compressed text; stored row numbers are distinct, ids may repeat, none
+    is null).
 
-    scanned: (row, doc, n, sha) of every row; texts: (row, text) of those that may hold repeats; spans: (row, spans)
-    with the windows that a document with a smaller id has too, as (start, windows) pairs.
+    scanned: (row, doc, n, sha) of every row; texts: (row, compressed text) of those that may hold repeats; spans: (row,
+    spans) with the windows that a document with a smaller id has too, as (start, windows) pairs.
     """
     scanned = materialise(_scanned(docs, width))
     runs = scanned.where("size(minimiser) > 0").select(
@@ -251,13 +246,13 @@ def repeated_words(docs: DataFrame, width: int = 50) -> DataFrame:
     words; each loses what its own text repeats. Rows without an id are returned unchanged and remove nothing. Other columns are not read; an empty table
     gives no rows.
     """
-    numbered = materialise(_columns(docs.withColumn("_row", F.monotonically_increasing_id()), "_row"))
+    numbered = materialise(_small(_columns(docs.withColumn("_row", F.monotonically_increasing_id()), "_row")))
     scanned, texts, spans = repeats(numbered.where("doc IS NOT NULL"), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, shas = [], []
-            for text, found in zip(binary(batch, "text"), batch.column("spans").to_pylist(), strict=True):
+            for text, found in zip(_texts(batch), batch.column("spans").to_pylist(), strict=True):
                 own, keep = _kept(text, found, width)
                 removed.append(int((~keep).sum()))
                 shas.append(hashlib.sha256(b" ".join([w for w, k in zip(own, keep.tolist(), strict=True) if k])).hexdigest())
@@ -276,7 +271,7 @@ def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """``docs`` with repeated words cut out of ``text`` (the rest joined by spaces) and ``n_chars``, where there is such
     a column, counted anew. Texts that lose nothing stay as they are; all rows and columns are kept."""
     numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    _, _, spans = repeats(_columns(numbered, "_row").where("doc IS NOT NULL"), width)
+    _, _, spans = repeats(_small(_columns(numbered, "_row").where("doc IS NOT NULL")), width)
     names = [f"c{k}" for k in range(len(docs.columns))]
     text, found = names[docs.columns.index("text")], f"c{len(names)}"
     both = numbered.join(spans.withColumnRenamed("row", "_row"), "_row", "left").select(*docs.columns, "spans").toDF(*names, found)

@@ -130,3 +130,36 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 14) -> Iterator[pa.Table]:
+    """Whole key groups of sorted batches, a few thousand rows at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < most:
+            continue
+        table = pa.Table.from_batches(held)
+        last = [table.column(k)[-1].as_py() for k in keys]
+        same = np.ones(table.num_rows, bool)
+        for k, v in zip(keys, last, strict=True):
+            same &= table.column(k).to_numpy() == v
+        cut = table.num_rows - int(same.sum())
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        if table.num_rows:
+            yield table
+
+
+def packed(text: bytes | None) -> bytes:
+    """A text in compressed form (null as empty)."""
+    text = text or b""
+    return len(text).to_bytes(8, "little") + (pa.compress(text, "zstd", asbytes=True) if text else b"")
+
+
+def unpacked(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(pa.py_buffer(data).slice(8), size, "zstd", asbytes=True) if size else b""
