@@ -1,10 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; a sample of all documents, labelled or not, is the unlabelled text. A
-linear classifier on hashed words and word beginnings that positives have more often minimises the class-prior-corrected risk
+Confirmed toxic documents are the positives; all documents that may be learnt from, labelled or not, are the unlabelled
+text. A linear classifier on hashed words and word beginnings that positives have more often minimises the class-prior-corrected risk
 ``prior * R(positive, 1) + max(0, R(unlabelled, 0) - prior * R(positive, 0))``: the second term can't fall below zero,
 so the positives hidden in the unlabelled text aren't learnt as clean. The prior is the share of toxic documents among
-the labelled training rows. Only the fit uses a sample (its bounds are parameters); every whole text is scored.
+the labelled training rows.
+
+Nothing is sampled. Features are chosen by their counts over all texts, and every text becomes the set of its chosen
+features, counted once per distinct set. Few sets are fitted on the driver; more are kept on the cluster, which adds up
+the gradient of each round.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from runvox.scale import materialise
 BITS = 18
 #: Word beginnings of so many bytes are features beside the whole word.
 BEGINNINGS = (3, 4, 5)
-MOST_POSITIVE, MOST_UNLABELLED = 1500, 5000
+#: So many distinct sets at most are fitted on the driver.
+LOCAL_SETS = 50_000
 THRESHOLD = 0.7
 #: A feature takes part if so many positives have it, and more of them than chance gives (in standard deviations of its
 #: share of the unlabelled text): with few positives, the many words of long texts would else drown the telling ones.
@@ -53,44 +58,69 @@ def _features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(owner, len(columns)), found.reshape(-1).astype(np.int64)
 
 
-def _sample_features(docs: DataFrame) -> DataFrame:
+def _distinct(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The (text number, feature) pairs of ``_features``, each once, by text."""
+    owner, found = _features(texts)
+    pairs = np.unique(owner << BITS | found)
+    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+
+
+def _counts(docs: DataFrame, name: str) -> DataFrame:
+    """(f, name): how many texts have each feature, added up in every task before it is sent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
             texts = binary(batch, "text")
             for a, b in slices(texts):
-                owner, found = _features(texts[a:b])
+                total += np.bincount(_distinct(texts[a:b])[1], minlength=len(total))
+        f = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(total[f])], ["f", name])
+
+    return docs.select("text").mapInArrow(run, f"f int, {name} long").groupBy("f").agg(F.sum(name).alias(name))
+
+
+def _sets(docs: DataFrame, chosen: np.ndarray, name: str) -> DataFrame:
+    """(f, name): the distinct sets of chosen features (as places in ``chosen``) and how many texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BITS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        for batch in batches:
+            texts = binary(batch, "text")
+            for a, b in slices(texts):
+                owner, found = _distinct(texts[a:b])
+                found = place[found]
+                owner, found = owner[found >= 0], found[found >= 0]
                 cuts = np.searchsorted(owner, np.arange(1, b - a))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("part").slice(a, b - a), lists(np.split(found.astype(np.int32), cuts), pa.int32())], ["part", "f"])
+                yield pa.RecordBatch.from_arrays([lists(np.split(found, cuts), pa.int32())], ["f"])
 
-    return docs.mapInArrow(run, "part int, f array<int>")
+    return docs.select("text").mapInArrow(run, "f array<int>").groupBy("f").agg(F.count(F.lit(1)).alias(name))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 120, rate: float = 0.05,
-        shrink: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the non-negative risk estimator (logistic loss, full-batch Adam)."""
-    size = 1 << BITS
-    w, bias = np.zeros(size), np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
-    if not positive or not unlabelled:
-        return w, bias
+def _parts(sets: list[np.ndarray], p: np.ndarray, u: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
+    """Sums over sets (held by ``p`` positive and ``u`` unlabelled texts) that losses and gradients consist of: unlabelled
+    and positive log(1 - s), then p * (s - 1), p * s and u * s, each in all and by feature."""
+    n = np.array([len(x) for x in sets], np.int64)
+    row, f = np.repeat(np.arange(len(sets)), n), np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64)
+    s = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[f], len(sets)) + bias, -30, 30)))
+    rest = np.log(1 - s)
+    weights = (p * (s - 1), p * s, u * s)
+    return np.concatenate([[(u * rest).sum(), (p * rest).sum()], *[x for g in weights for x in ([g.sum()], np.bincount(f, g[row], len(w)))]])
 
-    def flat(rows):
-        n = np.array([len(r) for r in rows])
-        return np.repeat(np.arange(len(rows)), n), np.concatenate(rows)
 
-    (rp, fp), (ru, fu) = flat(positive), flat(unlabelled)
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
+def _descended(parts, features: int, positives: int, unlabelled: int, prior: float, rounds: int, rate: float, shrink: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept that minimise the non-negative risk (full-batch Adam)."""
+    w, bias = np.zeros(features), np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
+    m, v, mb, vb = np.zeros(features), np.zeros(features), 0.0, 0.0
     for t in range(1, rounds + 1):
-        sp = 1 / (1 + np.exp(-np.clip(np.bincount(rp, w[fp], len(positive)) + bias, -30, 30)))
-        su = 1 / (1 + np.exp(-np.clip(np.bincount(ru, w[fu], len(unlabelled)) + bias, -30, 30)))
-        negative = -np.log(1 - su).mean() + prior * np.log(1 - sp).mean()
-        # gradients of the losses with respect to the margin
-        gp, gu = prior * (sp - 1) / len(sp), np.zeros(len(su))
-        if negative >= 0:
-            gu = su / len(su)
-            gp = gp - prior * sp / len(sp)
-        g = np.bincount(fp, gp[rp], size) + np.bincount(fu, gu[ru], size) + shrink * w
-        gb = gp.sum() + gu.sum()
+        sums = parts(w, bias)
+        loss_u, loss_p = sums[:2]
+        (p_one, p_zero, u_zero) = sums[2:].reshape(3, 1 + features)
+        g = p_one * (prior / positives)
+        if prior * loss_p / positives - loss_u / unlabelled >= 0:
+            g = g + u_zero / unlabelled - p_zero * (prior / positives)
+        gb, g = g[0], g[1:] + shrink * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w = w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-5)
@@ -98,41 +128,72 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return w, bias
 
 
+ROUNDS, RATE, SHRINK = 120, 0.05, 2e-4
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept from feature sets in memory."""
+    size = 1 << BITS
+    if not positive or not unlabelled:
+        return np.zeros(size), np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
+    sets = [*positive, *unlabelled]
+    p = np.array([1] * len(positive) + [0] * len(unlabelled))
+    return _descended(lambda w, bias: _parts(sets, p, 1 - p, w, bias), size, len(positive), len(unlabelled), prior, ROUNDS, RATE, SHRINK)
+
+
+def _on_cluster(rows: DataFrame, w: np.ndarray, bias: float) -> np.ndarray:
+    """The sums of ``_parts`` over all stored sets (f, p, u), one partial vector per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            sets = [np.array(x, np.int64) for x in batch.column("f").to_pylist()]
+            part = _parts(sets, batch.column("p").to_numpy(), batch.column("u").to_numpy(), w, bias)
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["v"])
+
+    return np.sum([np.frombuffer(r["v"]) for r in rows.mapInArrow(run, "v binary").toLocalIterator()], axis=0)
+
+
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[np.ndarray, float]:
-    """Fits the classifier. No held-out row, labelled or not, is part of the sample."""
+def train(docs: DataFrame, labels: DataFrame, local_sets: int = LOCAL_SETS) -> tuple[np.ndarray, float]:
+    """Fits the classifier to all rows with an id that are not held out. Rows that repeat an id count one by one."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p")).first()["p"]
+    weights = np.zeros(1 << BITS)
     if not share:
-        return np.zeros(1 << BITS), -4.0
-    spread = F.xxhash64("doc_id")
-    toxic = known.where("toxic = 1").select("doc_id").distinct().orderBy(spread).limit(most_positive)
-    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)))
-    sample = toxic.withColumn("part", F.lit(1)).unionByName(ids.limit(most_unlabelled).withColumn("part", F.lit(0)))
-    # at most most_positive + most_unlabelled ids
-    rows = materialise(_sample_features(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("part", "text")))
-    n = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return fit(*_told(rows, n.get(1, 0), n.get(0, 0)), min(0.9, share))
-
-
-def _told(rows: DataFrame, positives: int, unlabelled: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The telling features of the positive and of the unlabelled sample rows (at most ``2 ** BITS`` different ones)."""
-    held = rows.select("part", F.explode(F.array_distinct("f")).alias("f")).groupBy("f").agg(
-        F.sum("part").alias("p"), F.sum(1 - F.col("part")).alias("u"))
-    share = (F.col("u") + 1) / (unlabelled + 2)
-    more = F.col("p") / max(1, positives) - share >= LEAST_DEVIATION * F.sqrt(share * (1 - share) / max(1, positives))
-    telling = np.array(sorted(r["f"] for r in held.where(more & (F.col("p") >= LEAST_HELD)).select("f").collect()), np.int32)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [f[np.isin(f, telling)] for f in (np.array(x, np.int32) for x in batch.column("f").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), lists(kept, pa.int32())], ["part", "f"])
-
-    found = rows.mapInArrow(run, "part int, f array<int>").toPandas()
-    return tuple([np.array(f, np.int64) for f in found["f"][found["part"] == k]] for k in (1, 0))
+        return weights, -4.0
+    prior = min(0.9, share)
+    every = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text")
+    toxic = materialise(every.join(known.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi"))
+    positives, unlabelled = toxic.count(), every.count()
+    if not positives:
+        return weights, float(np.log(prior / (1 - prior)))
+    chosen = _telling(_counts(toxic, "p"), _counts(every, "u"), positives, unlabelled)
+    rows = materialise(_sets(toxic, chosen, "p").join(_sets(every, chosen, "u"), "f", "full_outer")
+                       .select("f", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("u", F.lit(0)).alias("u")))
+    if rows.count() <= local_sets:
+        held = rows.toPandas()
+        sets, p, u = [np.asarray(x, np.int64) for x in held["f"]], held["p"].to_numpy(), held["u"].to_numpy()
+
+        def parts(w, bias):
+            return _parts(sets, p, u, w, bias)
+    else:
+        def parts(w, bias):
+            return _on_cluster(rows, w, bias)
+    weights[chosen], bias = _descended(parts, len(chosen), positives, unlabelled, prior, ROUNDS, RATE, SHRINK)
+    return weights, bias
+
+
+def _telling(p: DataFrame, u: DataFrame, positives: int, unlabelled: int) -> np.ndarray:
+    """The features (of ``2 ** BITS`` at most) that positives have more often than chance gives."""
+    share = (F.coalesce("u", F.lit(0)) + 1) / (unlabelled + 2)
+    more = F.col("p") / positives - share >= LEAST_DEVIATION * F.sqrt(share * (1 - share) / positives)
+    return np.array(sorted(r["f"] for r in p.join(u, "f", "left").where(more & (F.col("p") >= LEAST_HELD)).select("f").collect()), np.int64)
 
 
 def _scores(texts: list[bytes | None], weights: np.ndarray, bias: float) -> np.ndarray:
