@@ -1,9 +1,12 @@
 """Mixing sources to target weights.
 
-The words of a source, document after document, are cut into blocks of a fixed length. A source gets as many slots as
-its target needs; a multinomial draw spreads them over the output shards, and a keyed pseudorandom permutation of the
-source's block numbers says which block a slot holds: no block comes twice before all others came once. Blocks and
-documents meet by source and block number, so a hot source is spread like any other.
+The words of a source, document after document, are cut into blocks of a fixed length. A source needs as many slots as
+its target asks for. Each output shard has a fixed number of slots and draws how many of them each source fills: a
+multinomial draw by what the sources need, under the condition that over all shards every source gets just that. Shards are
+halved again and again, and each half draws its counts, so any shard is drawn without the others. A keyed pseudorandom
+permutation of a source's block numbers says which block a slot holds: no block comes twice before all others came once.
+Blocks and documents meet by source and block number, so a hot source is spread like any other. The report counts the words
+of the mix that comes out.
 """
 
 from __future__ import annotations
@@ -11,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from runvox.llm.words import Words, binary, mixed, slices
 from runvox.scale import materialise, ranked
 
 BLOCK = 256
-#: Slots per output shard, on average.
+#: Slots per output shard.
 SHARD = 4096
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -81,34 +83,62 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+#: Up to so many slots counts are drawn; halves of more, whose draws would differ by less than 1 in 10,000, get their shares.
+_MOST_DRAWN = 10 ** 9 - 1
+
+
+def drawn(need: np.ndarray, shard: int, seed: int, begin: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard number, slots before by source, slots in it by source) of the shards ``begin`` to ``end``, without the others."""
+    total = int(need.sum())
+
+    def halved(lo: int, hi: int, counts: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if hi <= begin or lo >= end:
+            return
+        if hi - lo == 1:
+            yield lo, before, counts
+            return
+        middle = (lo + hi) // 2
+        wanted = (middle - lo) * shard
+        if counts.sum() <= _MOST_DRAWN:
+            left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(counts, wanted, method="marginals")
+        else:
+            share = counts * (wanted / counts.sum())
+            left = np.floor(share).astype(np.int64)
+            left[np.argsort(left - share, kind="stable")[:wanted - int(left.sum())]] += 1
+        yield from halved(lo, middle, left, before)
+        yield from halved(middle, hi, counts - left, before + left)
+
+    if total:
+        yield from halved(0, -(-total // shard), need, np.zeros_like(need))
+
+
 def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0) -> DataFrame:
     """(sid, shard, slot, epoch, block, take): which block a slot holds and how many of its words it takes.
 
-    ``sources``: sid, source_size, target. All but the last epoch of a source take every block once; the last one takes
-    permuted blocks up to the target, the last slot a part of its block. A source's short last block ends each epoch.
+    ``sources``: sid, source_size, target; one row per source is sent to every task. All but the last epoch of a source take
+    every block once; the last one takes permuted blocks up to the target, the last slot a part of its block. A source's
+    short last block ends each epoch.
     """
     size, words = F.col("source_size"), F.round("target").cast("long")
     s = (sources.where("source_size > 0").withColumn("words", words)
          .withColumn("epochs", F.floor(F.col("words") / size)).withColumn("rest", F.col("words") - F.col("epochs") * size)
          .withColumn("blocks", F.ceil(size / block))
          .withColumn("slots", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / block)))
-    total = s.agg(F.sum("slots").alias("n")).first()["n"] or 0
-    s = s.withColumn("shards", F.lit(max(1, -(-total // shard))).cast("long"))
+    each = s.select("sid", "slots", "source_size", "blocks", "epochs", "rest").orderBy("sid").toPandas()
+    sids, need, *others = (each[c].to_numpy(np.int64) for c in each.columns)
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples():
-                counts = np.random.default_rng([seed, r.sid]).multinomial(r.slots, np.full(r.shards, 1 / r.shards))
-                ends = np.cumsum(counts)
-                used = np.flatnonzero(counts)
-                for a in range(0, len(used), 65536):
-                    u = used[a:a + 65536]
-                    yield pd.DataFrame({"sid": r.sid, "shard": u, "first": ends[u] - counts[u], "number": counts[u], "size": r.source_size,
-                                        "blocks": r.blocks, "epochs": r.epochs, "rest": r.rest})
-
-    drawn = s.select("sid", "slots", "shards", "source_size", "blocks", "epochs", "rest").mapInPandas(
+            numbers = batch.column("id").to_numpy()
+            for number, before, counts in drawn(need, shard, seed, int(numbers[0]), int(numbers[-1]) + 1):
+                u = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in (sids[u], np.full(len(u), number), before[u], counts[u], *[x[u] for x in others])],
+                    ["sid", "shard", "first", "number", "size", "blocks", "epochs", "rest"])
+
+    drawn_slots = sources.sparkSession.range(max(1, -(-int(need.sum()) // shard))).mapInArrow(
         draw, "sid long, shard long, first long, number long, size long, blocks long, epochs long, rest long")
-    each = drawn.repartition("sid", "shard").withColumn("slot", F.explode(F.expr("sequence(first, first + number - 1)"))).drop("first", "number")
+    each = drawn_slots.repartition("sid", "shard").withColumn("slot", F.explode(F.expr("sequence(first, first + number - 1)"))).drop("first", "number")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,18 +175,47 @@ def spans(rows: DataFrame, sources: DataFrame, block: int = BLOCK, seed: int = 0
     return met.where(high > low).select("place", "doc_id", "shard", "slot", "epoch", (low - F.col("at")).alias("start"), (high - low).alias("words"))
 
 
+def _mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, sources, mix): ``docs`` must have doc_id, source, text and a stored ``_row``; mix: (_row, copies), for every row
+    that gives words a list of copies, each a list of (start, words)."""
+    digest = docs.withColumn("_digest", F.xxhash64("text"))
+    rows, sources = _placed(digest, ("_row", "_digest"), ("_digest",))
+    # rows with words have places of their own
+    mix = (spans(rows, sources).groupBy("place", "epoch").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
+           .groupBy("place").agg(F.collect_list("spans").alias("copies"))
+           .join(rows.where("size > 0").select("place", "_row"), "place").select("_row", "copies"))
+    return rows, sources, mix
+
+
+def _taken(text: bytes | None, copies: list[list[dict]]) -> Iterator[bytes | None]:
+    """The texts that a document gives to the mix; one taken whole stays as it is."""
+    own = (text or b"").split()
+    for found in copies:
+        ordered = sorted((s["start"], s["words"]) for s in found)
+        whole = sum(n for _, n in ordered) >= len(own)
+        yield text if whole else b" ".join([w for a, n in ordered for w in own[a:a + n]])
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs``.
+    """(doc_id, size, source_size, target, taken) for every row of ``docs``; ``taken`` counts the words of the mix.
 
     Sources may be null (a source of its own, last); null and empty texts have size 0 and nothing taken; rows that
     repeat an id are rows of their own. Equal tables give equal mixes. An empty table gives no rows.
     """
-    rows, sources = _placed(docs)
-    taken = spans(rows, sources).groupBy("place").agg(F.sum("words").alias("taken"))
+    numbered = materialise(docs.select("doc_id", "source", "text").withColumn("_row", F.monotonically_increasing_id()))
+    rows, sources, mix = _mix(numbered)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = []
+            for text, copies in zip(binary(batch, "text"), batch.column("copies").to_pylist(), strict=True):
+                counts.append(int(Words(list(_taken(text, copies))).counts.sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(counts, pa.int64())], ["_row", "taken"])
+
+    taken = numbered.join(mix, "_row").select("_row", "text", "copies").mapInArrow(run, "_row long, taken long")
     s = sources.select(F.col("source").alias("_source"), "source_size", "target")
     out = rows.join(s, F.col("source").eqNullSafe(F.col("_source")))
-    return (out.join(taken.withColumnRenamed("place", "_place"), (F.col("place") == F.col("_place")) & (F.col("size") > 0), "left")
-            .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+    return out.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -165,27 +224,21 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document taken whole keeps its text; of others, the taken words are joined by spaces in order. ``n_chars``, where
     there is such a column, is counted anew. Rows without an id and rows that repeat one are rows of their own, with
     the words that the mix takes from them. Equal tables give equal mixes: rows equal in source, id and size are ordered
-    by their texts.
+    by their texts. Columns may have any names.
     """
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    rows, sources = _placed(numbered.withColumn("_digest", F.xxhash64("text")), ("_row", "_digest"), ("_digest",))
-    # rows with words have places of their own
-    parts = (spans(rows, sources).groupBy("place", "epoch").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
-             .groupBy("place").agg(F.collect_list("spans").alias("copies"))
-             .join(rows.where("size > 0").select("place", "_row"), "place").select("_row", "copies"))
     names = [f"c{k}" for k in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
-    both = numbered.join(parts, "_row").select(*[numbered[c] for c in docs.columns], "copies").toDF(*names, "copies")
+    numbered = materialise(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()))
+    needed = [F.col(names[docs.columns.index(c)]).alias(c) for c in ("doc_id", "source", "text")]
+    _, _, parts = _mix(numbered.select(*needed, "_row"))
+    both = numbered.join(parts, "_row").select(*names, "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts = [], []
             for r, (t, copies) in enumerate(zip(binary(batch, text), batch.column("copies").to_pylist(), strict=True)):
-                own = (t or b"").split()
-                for found in copies:
-                    ordered = sorted((s["start"], s["words"]) for s in found)
-                    whole = sum(n for _, n in ordered) >= len(own)
-                    texts.append(t if whole else b" ".join([w for a, n in ordered for w in own[a:a + n]]))
+                for taken in _taken(t, copies):
+                    texts.append(taken)
                     rows.append(r)
             out = pa.Table.from_batches([batch]).select(names).take(pa.array(rows, pa.int64()))
             out = out.set_column(names.index(text), text, pa.array(texts, pa.binary()).cast(pa.string()))

@@ -301,6 +301,32 @@ def test_mixing_of_rows_without_or_with_repeated_ids(spark):
     assert again == Counter((r["rank"], r.text) for r in mixing.mixed_documents(table).collect())
 
 
+def test_shards_draw_their_sources():
+    """Every shard but the last is full, sources get just what they need, and a shard is the same drawn alone."""
+    need = np.array([700, 0, 41, 1259])
+    parts = list(mixing.drawn(need, 64, 3, 0, 10**6))
+    assert [k for k, _, _ in parts] == list(range(32)) and all(c.sum() == 64 for _, _, c in parts[:-1])
+    assert (sum(c for _, _, c in parts) == need).all()
+    done = np.zeros(4, int)
+    for k, before, counts in parts:
+        assert (before == done).all()
+        done = done + counts
+        (alone, again, same), = mixing.drawn(need, 64, 3, k, k + 1)
+        assert alone == k and (again == before).all() and (same == counts).all()
+    assert len({tuple(c) for _, _, c in parts[:-1]}) > 5
+    huge = np.array([3 * 10**11, 10**11 + 7])
+    _, _, counts = next(mixing.drawn(huge, 4096, 0, 0, 1))
+    assert counts.sum() == 4096 and abs(counts[0] - 3072) < 200
+    assert not list(mixing.drawn(np.zeros(2, int), 64, 0, 0, 5))
+
+
+def test_clashing_names_in_the_mix(spark):
+    rows = [(i, f"w{i} x y z", f"s{i % 2}", -1, "keep", 7) for i in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, _row int, copies string, place int")
+    out = mixing.mixed_documents(table).collect()
+    assert out and {(r["_row"], r["copies"], r["place"]) for r in out} == {(-1, "keep", 7)}
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 100, 1025):
         x = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 9, np.uint64))
