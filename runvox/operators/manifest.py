@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from runvox import vocabulary
 from runvox.functions.text import unsafe_name
 
 FANOUT = 4096
+_INVENTORY = pa.schema([("name", pa.string()), ("size", pa.int64()), ("sha256", pa.string()), ("git_sha1", pa.string())])
 
 
 def blob_hashes(content: Column) -> list[Column]:
@@ -25,6 +28,37 @@ def file_inventory(files: DataFrame) -> DataFrame:
     return files.select("name", *blob_hashes(F.col("content")))
 
 
+def path_inventory(paths: DataFrame, root: str, piece: int = 4 << 20) -> DataFrame:
+    """(name, size, sha256, git_sha1) of the files ``paths(name)`` below ``root``, of any size.
+
+    A file is read from an open stream in pieces of ``piece`` bytes that move both digests on, so a task holds one piece and
+    never a file. The size is that of the file when it is opened; a file that changes while it is read has other bytes than
+    its size says and ends the job.
+    """
+    root = root if "://" in root else f"file://{root.removeprefix('file:')}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            out = []
+            for name in batch.column("name").to_pylist():
+                size = system.get_file_info(f"{base}/{name}").size
+                whole, blob, seen = hashlib.sha256(), hashlib.sha1(b"blob %d\0" % (size or 0)), 0
+                with system.open_input_stream(f"{base}/{name}", compression=None) as stream:
+                    while data := stream.read(piece):
+                        whole.update(data)
+                        blob.update(data)
+                        seen += len(data)
+                if seen != size:
+                    raise ValueError(f"{name} has {size} bytes and gave {seen}")
+                out.append((name, size, whole.hexdigest(), blob.hexdigest()))
+            yield pa.RecordBatch.from_pylist([dict(zip(_INVENTORY.names, r, strict=True)) for r in out], _INVENTORY)
+
+    return paths.select("name").mapInArrow(run, "name string, size long, sha256 string, git_sha1 string")
+
+
 def content_id(files: DataFrame, kind: str, recipe: str, version: int = 1, fanout: int = FANOUT) -> DataFrame:
     """One row: an id of the whole manifest that any change to any entry changes.
 

@@ -236,15 +236,24 @@ def _nearest_along(depth: DataFrame, axis: str, i: int) -> DataFrame:
             .select(*RUN_KEY, *others, "shape", "zooms", F.inline(best)))
 
 
+def _depth_in_runs(runs: DataFrame, header: DataFrame) -> DataFrame:
+    """The first pass: along z, background lies just outside a run, so a voxel's distance follows from the ends of its run."""
+    ends = runs.join(header.select(*CASE_KEY, "shape", "zooms"), CASE_KEY)
+    at = ends.withColumn("z", F.explode(F.sequence("z0", "z1")))
+    below = F.when(F.col("z0") > 0, F.col("z") - F.col("z0") + 1)
+    above = F.when(F.col("z1") < F.col("shape")[2] - 1, F.col("z1") - F.col("z") + 1)
+    mm = F.least(below, above) * F.col("zooms")[2]
+    return at.select(*RUN_KEY, "x", "y", "z", "shape", "zooms", (mm * mm).alias("sq"))
+
+
 def deepest_voxel(runs: DataFrame, header: DataFrame) -> DataFrame:
     """The voxel of each mask farthest (mm) from background; ties go to the first in array order.
 
-    Outside the array is not background; a mask that fills its array has no depth.
+    Outside the array is not background; a mask that fills its array has no depth. Runs of a mask never touch, as
+    ``voxels_to_runs`` and ``union_runs`` make them.
     """
-    depth = (runs.join(header.select(*CASE_KEY, "shape", "zooms"), CASE_KEY)
-             .withColumn("z", F.explode(F.sequence("z0", "z1")))
-             .select(*RUN_KEY, "x", "y", "z", "shape", "zooms", F.lit(None).cast("double").alias("sq")))
-    for axis, i in (("z", 2), ("y", 1), ("x", 0)):
+    depth = _depth_in_runs(runs, header)
+    for axis, i in (("y", 1), ("x", 0)):
         depth = _nearest_along(depth, axis, i)
     best = F.max(F.struct("sq", (-F.col("x")).alias("a"), (-F.col("y")).alias("b"), (-F.col("z")).alias("c")))
     return (depth.groupBy(*RUN_KEY).agg(best.alias("_b"))

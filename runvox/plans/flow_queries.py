@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runvox import vocabulary
-from runvox.operators import cohort
+from runvox.operators import cohort, score
 from runvox.operators.gates import Gate, prediction_gate
 from runvox.operators.runs import length
 from runvox.plans import pipelines
@@ -17,6 +17,7 @@ from runvox.plans.derived import ORGANS
 from runvox.plans.voxel_queries import IDS, WRITE_ORDER, ORDER_SQL, volume_content
 from runvox.scale import checkpoint_root, materialise
 from runvox.sources import volume_source
+from runvox.streaming import progress as streams
 
 KEY = ["source", "case_id"]
 _BAD_FILES = "k % 10 IN (3, 5, 7)"
@@ -131,3 +132,28 @@ def build_rows(t: Tables) -> DataFrame:
     left, right = vocabulary.GLANDS
     return rows.select(*KEY, "name", "role", F.col(f"{left}_removed_ml").alias("removed_left_ml"), F.col(f"{right}_removed_ml").alias("removed_right_ml"),
                        "overlap_voxels", F.array_join(F.transform("labels_present", lambda i: i.cast("string")), " ").alias("labels_present"), "error")
+
+
+@query("resume_scores", """SELECT source, case_id, organ, in_truth, in_prediction, intersection, round(dice, 6) AS dice, miss
+    FROM o_count JOIN o_metric USING (source, case_id, organ)""")
+def resume_scores(t: Tables) -> DataFrame:
+    """Truth and prediction files land one after the other; a stream scores each case once both are there. The first run finds
+    half of the predictions, the second one the rest, with files of the first announced again."""
+    root = f"{checkpoint_root(t.spark)}/runvox/{uuid.uuid4().hex}"
+    for name in ("v_truth", "v_pred"):
+        t.runs(name).write.parquet(f"{root}/{name}")
+    header = t.header
+    header.write.parquet(f"{root}/header")
+
+    def scored(batch: DataFrame) -> DataFrame:
+        mine = lambda name: batch.sparkSession.read.parquet(f"{root}/{name}").join(batch.select(*KEY), KEY, "left_semi")
+        counts = materialise(score.confusion(mine("v_truth"), mine("v_pred"), mine("header"), ORGANS))
+        return counts.drop("voxel_ml").join(score.volume_metrics(counts).select(*KEY, "organ", "dice", "miss"), [*KEY, "organ"])
+
+    cases = t.base("v_header").select(*KEY, "k")
+    files = cases.withColumn("side", F.explode(F.array(F.lit("truth"), F.lit("prediction"))))
+    for part in (files.where("side = 'truth' OR k % 2 = 0"), files.where("side = 'prediction'")):
+        part.select(*KEY, "side").write.mode("append").json(f"{root}/landed")
+        stream = t.spark.readStream.schema("source string, case_id string, side string").json(f"{root}/landed")
+        streams.resume(streams.landed_pairs(stream), scored, f"{root}/scores", f"{root}/state", mode="update").awaitTermination()
+    return t.spark.read.parquet(f"{root}/scores").select(*KEY, "organ", "in_truth", "in_prediction", "intersection", r6("dice"), "miss")

@@ -684,17 +684,3 @@ def progress_stream(t: Tables) -> DataFrame:
     run.awaitTermination()
     return streams.with_progress(t.spark.read.parquet(out), fixed_table(t.spark, _EXPECT, ["source", "total"]))
 
-
-@query("resume_scores", """SELECT source, count(*) AS cases, round(sum(volume), 4) AS volume FROM v_case GROUP BY 1""")
-def resume_scores(t: Tables) -> DataFrame:
-    """Two runs over a growing folder: the second scores only what the first has not."""
-    landed, output, state = _scratch(t, "cases"), _scratch(t, "scores"), _scratch(t, "state")
-    schema = "source string, case_id string, volume double"
-    cases = t.base("v_case").select("source", "case_id", "volume")
-    double = lambda batch: batch.withColumn("score", F.col("volume") * 2)
-    for part in (cases.where("length(case_id) % 2 = 0"), cases):
-        part.write.mode("append").json(landed)
-        stream = t.spark.readStream.schema(schema).json(landed)
-        streams.resume(stream, double, output, state).awaitTermination()
-    return t.spark.read.parquet(output).groupBy("source").agg(
-        F.count(F.lit(1)).alias("cases"), F.round(F.sum("score") / 2, 4).alias("volume"))

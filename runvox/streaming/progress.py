@@ -33,7 +33,15 @@ def with_progress(counts: DataFrame, expected: DataFrame) -> DataFrame:
             .withColumn("percent", F.round(100 * F.col("verified") / F.col("total"), 1)).withColumn("state", state))
 
 
-def resume(cases: DataFrame, score: Callable[[DataFrame], DataFrame], output: str, checkpoint: str) -> StreamingQuery:
+def landed_pairs(landed: DataFrame) -> DataFrame:
+    """(source, case_id) of the cases whose truth and prediction have both landed, from a stream (source, case_id, side) with
+    a row per file, ``side`` being ``truth`` or ``prediction``. State is one row per case; to be run in update mode."""
+    has = lambda side: F.max((F.col("side") == side).cast("int")) == 1
+    return (landed.groupBy("source", "case_id").agg(has("truth").alias("_t"), has("prediction").alias("_p"))
+            .where("_t AND _p").select("source", "case_id"))
+
+
+def resume(cases: DataFrame, score: Callable[[DataFrame], DataFrame], output: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Score every new case once, whatever happens in between.
 
     Each micro-batch drops the cases already in the output, scores the rest and commits them under its batch number;
@@ -51,5 +59,5 @@ def resume(cases: DataFrame, score: Callable[[DataFrame], DataFrame], output: st
         (score(fresh).withColumn("batch", F.lit(number)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(output))
 
-    return (cases.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+    return (cases.writeStream.outputMode(mode).foreachBatch(commit).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

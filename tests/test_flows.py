@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import resource
+
 import numpy as np
 
-from runvox.operators import gates
+from runvox.operators import gates, manifest
 from runvox.plans import pipelines
 
 GRID = "source string, case_id string, shape array<int>, affine array<array<double>>"
@@ -79,3 +82,32 @@ def test_build_rows(spark, run_table, header_table):
     assert got["drift"].role == "failed" and got["drift"].error.startswith("adrenal_right: was absent, is keep")
     assert (got["out"].role, got["out"].error, got["out"].labels_present) == ("excluded", "excluded", None)
     assert {r.case_id for r in composed.select("case_id").distinct().collect()} == {"whole"}
+
+
+def test_inventory_of_files_by_path(spark, tmp_path):
+    """A file many times larger than a piece is hashed piece by piece; empty files count too."""
+    rng = np.random.default_rng(0)
+    contents = {"deep/large.bin": rng.bytes(3_000_001), "empty": b"", "text.gz": b"no gzip at all"}
+    for name, content in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    paths = spark.createDataFrame([(n,) for n in contents], "name string")
+    got = {r.name: (r.size, r.sha256, r.git_sha1) for r in manifest.path_inventory(paths, str(tmp_path), piece=4096).collect()}
+    assert got == {n: (len(c), hashlib.sha256(c).hexdigest(), hashlib.sha1(b"blob %d\0" % len(c) + c).hexdigest()) for n, c in contents.items()}
+    assert manifest.path_inventory(paths.limit(0), str(tmp_path)).count() == 0
+
+
+def test_memory_of_an_inventory_is_one_piece(spark, tmp_path):
+    """300 MB of zeros: the worker that hashes them grows by far less."""
+    with open(tmp_path / "big", "wb") as file:
+        file.truncate(300 << 20)
+
+    def grown(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch
+        yield pa.RecordBatch.from_pylist([{"name": "peak", "size": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, "sha256": "", "git_sha1": ""}])
+    rows = manifest.path_inventory(spark.createDataFrame([("big",)], "name string").coalesce(1), str(tmp_path), piece=1 << 20)
+    got = {r.name: r.size for r in rows.mapInArrow(grown, rows.schema).collect()}
+    assert got["big"] == 300 << 20 and got["peak"] < 290_000
