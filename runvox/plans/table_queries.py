@@ -684,3 +684,16 @@ def progress_stream(t: Tables) -> DataFrame:
     run.awaitTermination()
     return streams.with_progress(t.spark.read.parquet(out), fixed_table(t.spark, _EXPECT, ["source", "total"]))
 
+
+@query("progress_falls", """SELECT source, count(*) FILTER (WHERE event_id % 5 > 0 OR event_id % 15 = 0) AS verified FROM v_entry GROUP BY 1""")
+def progress_falls(t: Tables) -> DataFrame:
+    """Every file is verified first, one in five turns corrupt, a third of these are mended; the second run sees the two last
+    waves and the first one again."""
+    landed, out, state = (_scratch(t, n) for n in ("status", "changes", "state"))
+    first = t.base("v_entry").select("source", "name", F.lit(1).cast("long").alias("at"), F.lit(True).alias("ok"), "event_id")
+    corrupt = first.where("event_id % 5 = 0").withColumns({"at": F.lit(2).cast("long"), "ok": F.lit(False)})
+    mended = first.where("event_id % 15 = 0").withColumn("at", F.lit(3).cast("long"))
+    for wave in (first, corrupt.unionByName(mended).unionByName(first)):
+        wave.drop("event_id").write.mode("append").json(landed)
+        streams.keep_counts(streams.manifest_stream(t.spark, landed, streams.STATUS), out, state).awaitTermination()
+    return streams.counted(t.spark, out)

@@ -111,3 +111,18 @@ def test_memory_of_an_inventory_is_one_piece(spark, tmp_path):
     rows = manifest.path_inventory(spark.createDataFrame([("big",)], "name string").coalesce(1), str(tmp_path), piece=1 << 20)
     got = {r.name: r.size for r in rows.mapInArrow(grown, rows.schema).collect()}
     assert got["big"] == 300 << 20 and got["peak"] < 290_000
+
+
+def test_counts_fall_when_files_turn_corrupt(spark, tmp_path):
+    """Late older entries change nothing, of entries at one time the failing one counts, a restart goes on from the state."""
+    from runvox.streaming import progress
+
+    def run(rows):
+        (spark.createDataFrame(rows, progress.STATUS).coalesce(1).write.mode("append").json(str(tmp_path / "in")))
+        stream = progress.manifest_stream(spark, str(tmp_path / "in"), progress.STATUS)
+        progress.keep_counts(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return {r.source: r.verified for r in progress.counted(spark, str(tmp_path / "out")).collect()}
+    first = [("a", f"f{i}", 10, True) for i in range(4)] + [("b", "g", 10, False), ("b", "h", 10, None), ("a", None, 10, True), ("a", "x", None, True)]
+    assert run(first) == {"a": 4}
+    assert run([("a", "f0", 11, False), ("a", "f1", 9, False), ("a", "f2", 10, False), ("b", "g", 12, True), ("a", "f3", 10, True)]) == {"a": 2, "b": 1}
+    assert run([("a", "f0", 12, True), ("b", "g", 13, False)]) == {"a": 3, "b": 0}
