@@ -1,10 +1,14 @@
 """Standard form of a scan: the body's bounding box in RAS order, its hash, and a small z-scored descriptor.
 
-The hash is built in levels (column, plane, scan), so no task ever holds a whole volume.
+Scans are stored once, in buckets of their key. Cropping, hashing and resampling read the buckets where they lie: only
+boxes, column hashes and weighted sums of the few grid columns are shuffled, never intensities (but for scans whose last
+axis is not the body's, which are taken apart). The hash is built in levels (column, plane, scan), so no task ever holds
+a whole volume.
 """
 
 from __future__ import annotations
 
+import uuid
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 
 from runvox.operators.components import component_sizes, label_components, largest_components
 from runvox.operators.overlap import clip, zscored
-from runvox.scale import materialise
+from runvox.scale import checkpoint_root, materialise
 from runvox.schemas import CASE_KEY
 
 WINDOW = (-100, 100)
@@ -20,6 +24,16 @@ LIMITS = (-1000, 1000)
 DESCRIPTOR_LIMITS = (-200.0, 300.0)
 
 
+def stored_by_case(ct: DataFrame, buckets: int | None = None) -> DataFrame:
+    """``ct`` as a table in the shared folder, bucketed and sorted by case: joins and groupings by case read it in place."""
+    spark = ct.sparkSession
+    name = f"scans_{uuid.uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (ct.repartition(buckets, *CASE_KEY).write.bucketBy(buckets, *CASE_KEY).sortBy(*CASE_KEY)
+     .option("path", f"{checkpoint_root(spark)}/runvox/{name}").saveAsTable(name))
+    return spark.table(name)
+
+
 def window_runs(ct: DataFrame, low: int = WINDOW[0], high: int = WINDOW[1]) -> DataFrame:
     """Runs of low < hu < high, found inside each column array."""
     inside = F.transform("hu", lambda v: (v > low) & (v < high))
@@ -62,7 +76,8 @@ def standard_columns(ct: DataFrame, header: DataFrame, box: DataFrame) -> DataFr
            .select(*CASE_KEY, "_o", spans.alias("_n"), (F.col("x") - F.col("x_min")).alias("x"),
                    (F.col("y") - F.col("y_min")).alias("y"),
                    F.slice("hu", F.col("z_min") + 1, F.col("z_max") - F.col("z_min") + 1).alias("hu")))
-    cut = cut.withColumn("hu", F.transform("hu", lambda v: clip(v.cast("int"), *LIMITS).cast("int")))
+    low, high = (F.lit(v).cast("smallint") for v in LIMITS)
+    cut = cut.withColumn("hu", F.transform("hu", lambda v: F.greatest(low, F.least(v.cast("smallint"), high))))
     axis, flip, n = F.col("_o.axis"), F.col("_o.flip"), F.col("_n")
     sized = [n[axis[w]].alias(f"n{c}") for w, c in enumerate("xyz")]
 
@@ -134,6 +149,7 @@ def descriptor(columns: DataFrame, size: int = 32) -> DataFrame:
 
 def fingerprints(ct: DataFrame, header: DataFrame, size: int = 32) -> DataFrame:
     """(source, case_id, shape, md5, v) for every case of ``header``; null where there is no body to crop to."""
-    columns = materialise(standard_columns(ct, header, body_box(ct)))
+    ct = stored_by_case(ct)
+    columns = standard_columns(ct, header, materialise(body_box(ct)))
     return (header.select(*CASE_KEY).join(scan_hash(columns), CASE_KEY, "left")
             .join(descriptor(columns, size), CASE_KEY, "left"))
