@@ -50,9 +50,9 @@ def provenance(scanned: DataFrame, old_roles: DataFrame, new_build: DataFrame, u
     yes = lambda c: F.when(c, "yes").otherwise("")
     return (scanned.join(old, "name", "left").join(new, "name", "left").select(
         "name", *CASE_KEY, F.col("scan").alias("scan_decision"),
-        F.when(labelled, "yes").otherwise("no (own labels)").alias("pseudo_label"),
+        F.when(labelled, "yes").otherwise(vocabulary.OWN_LABELS).alias("pseudo_label"),
         F.coalesce("_old", F.lit("excluded")).alias("first_finetune"),
-        F.coalesce("_new", F.lit("excluded (fragmented, left/right or > 5 mm)")).alias("second_finetune"),
+        F.coalesce("_new", F.lit(vocabulary.OUTSIDE_BUILD)).alias("second_finetune"),
         F.coalesce("_reason", F.lit("")).alias("second_finetune_exclusion"),
         yes(test).alias("comparison_test"), yes(test & labelled).alias("comparison_matched"),
         yes(F.col("source").isin(*external)).alias("comparison_external"),

@@ -58,6 +58,23 @@ def pair_images(t: Tables) -> DataFrame:
     return registry.pair_images(t.base("v_label_path"), t.base("v_image_path"))
 
 
+@query("unpaired_labels", """SELECT l.source, label_path FROM v_label_path l LEFT JOIN v_image_path i ON image_path IN (
+    CASE WHEN l.source = 'btcv' THEN replace(label_path, '/label/label', '/img/img') WHEN l.source = 'flare' THEN
+      regexp_replace(replace(label_path, '/labels', '/images'), '\\.nii\\.gz$', '_0000.nii.gz') ELSE replace(label_path, '/labels', '/images') END,
+    CASE WHEN l.source LIKE 'raos%' THEN regexp_replace(replace(label_path, '/labels', '/images'), '\\.nii\\.gz$', '_0000.nii.gz') END)
+    GROUP BY ALL HAVING count(image_path) = 0 OR (count(image_path) > 1 AND l.source NOT LIKE 'raos%')""")
+def unpaired_labels(t: Tables) -> DataFrame:
+    return registry.unpaired(registry.pair_images(t.base("v_label_path"), t.base("v_image_path"))).select("source", "label_path")
+
+
+@query("gold_names", """SELECT label_path, string_split(label_path, '/')[-2] AS folder, CASE WHEN source LIKE 'raos%'
+    THEN string_split(label_path, '/')[-2] ELSE string_split(label_path, '/')[-1] END AS gold_name FROM v_label_path""")
+def gold_names(t: Tables) -> DataFrame:
+    dataset = F.when(F.col("source").startswith("raos"), "RAOS").otherwise(F.col("source"))
+    return t.base("v_label_path").select("label_path", text.parent_name(F.col("label_path")).alias("folder"),
+                                         text.gold_name(dataset, F.col("label_path")).alias("gold_name"))
+
+
 @query("eval_case_id", """SELECT doc_id, scan, CASE WHEN d = 'BTCV' AND stem LIKE 'img%' THEN 'btcv_label' || substr(stem, 4)
       WHEN d = 'FLARE' AND stem LIKE '%\\_0000' ESCAPE '\\' THEN left(stem, length(stem) - 5)
       WHEN d = 'AMOS' AND starts_with(stem, 'amos_') THEN stem END AS evaluation_case_id

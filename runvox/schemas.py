@@ -1,27 +1,8 @@
 """Fixed schemas of the canonical tables. ``case_id`` with ``source`` is the key of a scan."""
 
-VOXEL = "source string, case_id string, organ string, x int, y int, z int"
 VOXEL_RUN = "source string, case_id string, organ string, x int, y int, z0 int, z1 int"
-LABEL_RUN = "source string, case_id string, label int, x int, y int, z0 int, z1 int"
 CASE_HEADER = ("source string, case_id string, shape array<int>, zooms array<double>, "
                "affine array<array<double>>, voxel_ml double")
-CT_COLUMN = "source string, case_id string, x int, y int, hu array<smallint>"
-COHORT = ("source string, case_id string, slice_thickness_mm double, adrenal_left string, adrenal_right string, "
-          "adrenal_left_largest_ml double, adrenal_right_largest_ml double, sides string, scan string, error string")
-BUILD = ("name string, source string, case_id string, role string, speckle_removed_left_ml double, "
-         "speckle_removed_right_ml double, overlap_voxels bigint, labels_present array<int>, error string")
-LABEL_MAP = "source string, label int, organ string"
-SPLIT = "fold int, part string, name string"
-SCORE = ("source string, case_id string, organ string, reference_ml double, predicted_ml double, "
-         "volume_error_ml double, absolute_volume_error_ml double, volume_error_pct double, "
-         "absolute_volume_error_pct double, dice double, miss boolean")
-TEACHER_SCORE = "teacher string, source string, case_id string, organ string, dice double, volume_ratio double"
-FINGERPRINT = "id string, dataset string, shape array<int>, md5 string, v array<double>"
-OVERLAP = ("shard string, gold_dataset string, gold_scan string, atlas_bdmap_id string, match_type string, "
-           "corr32 double")
-MEMBERS = "members map<string,array<string>>"
-MANIFEST_FILE = "name string, size bigint, sha256 string, git_sha1 string"
-PROGRESS = "source string, verified bigint, total bigint, percent double, state string"
 
 RUN_KEY = ["source", "case_id", "organ"]
 CASE_KEY = ["source", "case_id"]

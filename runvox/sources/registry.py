@@ -68,4 +68,5 @@ def pair_images(labels: DataFrame, images: DataFrame) -> DataFrame:
 
 def unpaired(pairs: DataFrame) -> DataFrame:
     """Labels without exactly one image (the external set takes the first of its two names)."""
-    return pairs.where(F.col("matches") != 1)
+    several = (F.col("matches") > 1) & ~F.startswith(F.col("source"), F.lit("raos"))
+    return pairs.where((F.col("matches") == 0) | several)

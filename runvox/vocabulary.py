@@ -53,3 +53,7 @@ EXPECTED_SCANS = {"amos": 300, "btcv": 30, "flare": 50}
 TRAIN_SUFFIXES = ["{config}/{name}.b2nd", "{config}/{name}_seg.b2nd", "{config}/{name}.pkl",
                   "gt_segmentations/{name}.nii.gz"]
 TEST_SUFFIXES = ["imagesTs/{name}_0000.nii.gz", "labelsTs/{name}.nii.gz"]
+
+# Fixed texts of the provenance table.
+OWN_LABELS = "no (own labels)"
+OUTSIDE_BUILD = "excluded (fragmented, left/right or > 5 mm)"
