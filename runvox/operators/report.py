@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runvox.functions.text import case_name, scoring_source
 from runvox.scale import exact_quantiles, materialise
 
 POOLED = "(all)"
@@ -42,6 +43,11 @@ def summarise(scores: DataFrame, levels: Sequence[Sequence[str]], metrics: Seque
     return plain.join(medians(rows, keys, metrics), keys, "left")
 
 
+def by_scoring_source(scores: DataFrame) -> DataFrame:
+    """Scores whose source is read off the case's name, as where only files of predictions are at hand."""
+    return scores.withColumn("source", scoring_source(case_name(F.col("source"), F.col("case_id"))))
+
+
 def score_summary(scores: DataFrame, organs: Sequence[str] | None = None, surface: Sequence[str] = ()) -> DataFrame:
     """By organ (source ``(all)``) and by source and organ."""
     rows = scores if organs is None else scores.where(F.col("organ").isin(list(organs)))
@@ -50,9 +56,10 @@ def score_summary(scores: DataFrame, organs: Sequence[str] | None = None, surfac
                      {"scored": F.count("dice"), "miss": F.count_if("miss")})
 
 
-def split_summary(scores: DataFrame) -> DataFrame:
-    """By split and organ, and pooled over all splits."""
-    return summarise(scores, [["organ"], ["split", "organ"]],
+def split_summary(scores: DataFrame, organs: Sequence[str] | None = None) -> DataFrame:
+    """By split and organ, and pooled over all splits; of some organs only, if they are named."""
+    rows = scores if organs is None else scores.where(F.col("organ").isin(list(organs)))
+    return summarise(rows, [["organ"], ["split", "organ"]],
                      ["dice", "volume_error_ml", "absolute_volume_error_ml", "volume_error_pct",
                       "absolute_volume_error_pct"],
                      {"cases": F.count(F.lit(1)), "scored": F.count("dice"), "miss": F.count_if("miss"),

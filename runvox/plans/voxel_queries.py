@@ -446,6 +446,16 @@ def report_aorta(t: Tables) -> DataFrame:
     return _rounded(report.score_summary(_scores(t), ["aorta"]))
 
 
+_NAMED_SQL = """(SELECT * REPLACE (split_part(CASE WHEN starts_with(lower(case_id), source) THEN case_id ELSE source || '_' || case_id END,
+    '_', 1) AS source) FROM o_metric)"""
+
+
+@query("report_named", _summary_sql("'(all)' AS source, organ", "organ", _SUMMARY, _SCORED, view=_NAMED_SQL) + " UNION ALL BY NAME "
+       + _summary_sql("source, organ", "source, organ", _SUMMARY, _SCORED, view=_NAMED_SQL))
+def report_named(t: Tables) -> DataFrame:
+    return _rounded(report.score_summary(report.by_scoring_source(_scores(t))))
+
+
 _FULL_SQL = f"(SELECT * FROM o_metric JOIN {_NSD_VIEW} USING (source, case_id, organ))"
 
 
@@ -485,6 +495,16 @@ def report_split(t: Tables) -> DataFrame:
     return _rounded(report.split_summary(_raw_scores(t)))
 
 
+_FOCUS_SQL = "organ IN (" + ", ".join(f"'{o}'" for o in vocabulary.FOCUS) + ")"
+
+
+@query("report_focus", _summary_sql("'(all)' AS split, organ", "organ", _SPLIT_METRICS, _SPLIT_EXTRA, _FOCUS_SQL, _MEMBER_SQL)
+       + " UNION ALL BY NAME "
+       + _summary_sql("split, organ", "split, organ", _SPLIT_METRICS, _SPLIT_EXTRA, _FOCUS_SQL, _MEMBER_SQL))
+def report_focus(t: Tables) -> DataFrame:
+    return _rounded(report.split_summary(_raw_scores(t), vocabulary.FOCUS))
+
+
 @query("missing_predictions", """SELECT DISTINCT source, case_id, organ FROM v_truth
     EXCEPT SELECT DISTINCT source, case_id, organ FROM v_pred""")
 def missing_predictions(t: Tables) -> DataFrame:

@@ -57,3 +57,6 @@ TEST_SUFFIXES = ["imagesTs/{name}_0000.nii.gz", "labelsTs/{name}.nii.gz"]
 # Fixed texts of the provenance table.
 OWN_LABELS = "no (own labels)"
 OUTSIDE_BUILD = "excluded (fragmented, left/right or > 5 mm)"
+
+# Organs of the focus report.
+FOCUS = ["adrenal_left", "adrenal_right", "aorta", "pancreas", "liver"]
