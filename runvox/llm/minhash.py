@@ -347,5 +347,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
 
 def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    key = F.col(names[docs.columns.index("doc_id")]).cast("long")
     gone = near_duplicates(docs, shingle, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.toDF(*names).join(gone, key == F.col("_gone"), "left_anti").toDF(*docs.columns)

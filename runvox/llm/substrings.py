@@ -269,12 +269,14 @@ def repeated_words(docs: DataFrame, width: int = 50) -> DataFrame:
 
 def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """``docs`` with repeated words cut out of ``text`` (the rest joined by spaces) and ``n_chars``, where there is such
-    a column, counted anew. Texts that lose nothing stay as they are; all rows and columns are kept."""
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    _, _, spans = repeats(_small(_columns(numbered, "_row").where("doc IS NOT NULL")), width)
+    a column, counted anew. Texts that lose nothing stay as they are; all rows and columns, whatever their names, are
+    kept."""
     names = [f"c{k}" for k in range(len(docs.columns))]
-    text, found = names[docs.columns.index("text")], f"c{len(names)}"
-    both = numbered.join(spans.withColumnRenamed("row", "_row"), "_row", "left").select(*docs.columns, "spans").toDF(*names, found)
+    text, key, found = names[docs.columns.index("text")], names[docs.columns.index("doc_id")], f"c{len(names)}"
+    numbered = materialise(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()))
+    own = numbered.select(F.col("_row").alias("row"), F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    _, _, spans = repeats(_small(own.where("doc IS NOT NULL")), width)
+    both = numbered.join(spans.withColumnRenamed("row", "_row"), "_row", "left").select(*names, F.col("spans").alias(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,6 +33,8 @@ THRESHOLD = 0.7
 #: A feature takes part if so many positives have it, and more of them than chance gives (in standard deviations of its
 #: share of the unlabelled text): with few positives, the many words of long texts would else drown the telling ones.
 LEAST_HELD, LEAST_DEVIATION = 3, 5.0
+#: And so many times the share that unlabelled text has: with very many positives, chance alone rules out too little.
+LEAST_LIFT = 3.0
 
 
 def _features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +100,16 @@ def _sets(docs: DataFrame, chosen: np.ndarray, name: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, "f array<int>").groupBy("f").agg(F.count(F.lit(1)).alias(name))
 
 
-def _parts(sets: list[np.ndarray], p: np.ndarray, u: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, feature) of all sets."""
+    n = np.array([len(x) for x in sets], np.int64)
+    return np.repeat(np.arange(len(sets)), n), np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def _parts(row: np.ndarray, f: np.ndarray, p: np.ndarray, u: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
     """Sums over sets (held by ``p`` positive and ``u`` unlabelled texts) that losses and gradients consist of: unlabelled
     and positive log(1 - s), then p * (s - 1), p * s and u * s, each in all and by feature."""
-    n = np.array([len(x) for x in sets], np.int64)
-    row, f = np.repeat(np.arange(len(sets)), n), np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64)
-    s = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[f], len(sets)) + bias, -30, 30)))
+    s = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[f], len(p)) + bias, -30, 30)))
     rest = np.log(1 - s)
     weights = (p * (s - 1), p * s, u * s)
     return np.concatenate([[(u * rest).sum(), (p * rest).sum()], *[x for g in weights for x in ([g.sum()], np.bincount(f, g[row], len(w)))]])
@@ -136,24 +142,26 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     size = 1 << BITS
     if not positive or not unlabelled:
         return np.zeros(size), np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
-    sets = [*positive, *unlabelled]
+    row, f = _flat([*positive, *unlabelled])
     p = np.array([1] * len(positive) + [0] * len(unlabelled))
-    return _descended(lambda w, bias: _parts(sets, p, 1 - p, w, bias), size, len(positive), len(unlabelled), prior, ROUNDS, RATE, SHRINK)
+    return _descended(lambda w, bias: _parts(row, f, p, 1 - p, w, bias), size, len(positive), len(unlabelled), prior, ROUNDS, RATE, SHRINK)
 
 
 def _on_cluster(rows: DataFrame, w: np.ndarray, bias: float) -> np.ndarray:
-    """The sums of ``_parts`` over all stored sets (f, p, u), one partial vector per task."""
+    """The sums of ``_parts`` over all stored sets (f, p, u): one partial vector per task, of three numbers a chosen feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            sets = [np.array(x, np.int64) for x in batch.column("f").to_pylist()]
-            part = _parts(sets, batch.column("p").to_numpy(), batch.column("u").to_numpy(), w, bias)
+            sets = batch.column("f")
+            row = np.repeat(np.arange(len(sets)), np.diff(sets.offsets.to_numpy()))
+            f = sets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            part = _parts(row, f, batch.column("p").to_numpy(), batch.column("u").to_numpy(), w, bias)
             total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["v"])
 
-    return np.sum([np.frombuffer(r["v"]) for r in rows.mapInArrow(run, "v binary").toLocalIterator()], axis=0)
+    return np.sum([np.frombuffer(r["v"]) for r in rows.mapInArrow(run, "v binary").collect()], axis=0)
 
 
 def held_out(key: Column) -> Column:
@@ -178,10 +186,10 @@ def train(docs: DataFrame, labels: DataFrame, local_sets: int = LOCAL_SETS) -> t
                        .select("f", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("u", F.lit(0)).alias("u")))
     if rows.count() <= local_sets:
         held = rows.toPandas()
-        sets, p, u = [np.asarray(x, np.int64) for x in held["f"]], held["p"].to_numpy(), held["u"].to_numpy()
+        (row, f), p, u = _flat([np.asarray(x, np.int64) for x in held["f"]]), held["p"].to_numpy(), held["u"].to_numpy()
 
         def parts(w, bias):
-            return _parts(sets, p, u, w, bias)
+            return _parts(row, f, p, u, w, bias)
     else:
         def parts(w, bias):
             return _on_cluster(rows, w, bias)
@@ -192,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, local_sets: int = LOCAL_SETS) -> t
 def _telling(p: DataFrame, u: DataFrame, positives: int, unlabelled: int) -> np.ndarray:
     """The features (of ``2 ** BITS`` at most) that positives have more often than chance gives."""
     share = (F.coalesce("u", F.lit(0)) + 1) / (unlabelled + 2)
-    more = F.col("p") / positives - share >= LEAST_DEVIATION * F.sqrt(share * (1 - share) / positives)
+    held = F.col("p") / positives
+    more = (held - share >= LEAST_DEVIATION * F.sqrt(share * (1 - share) / positives)) & (held >= LEAST_LIFT * share)
     return np.array(sorted(r["f"] for r in p.join(u, "f", "left").where(more & (F.col("p") >= LEAST_HELD)).select("f").collect()), np.int64)
 
 
