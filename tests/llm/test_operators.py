@@ -123,6 +123,67 @@ def test_minhash_crowded_list(spark):
     assert got == want
 
 
+def test_minhash_five_thousand_near_copies(spark):
+    """One list of 5,000 copies with up to 12 changed words each: most are just below the threshold to most others."""
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(5000):
+        w = list(base)
+        for _ in range(rnd.randrange(1, 13)):
+            w[rnd.randrange(100)] = f"x{rnd.randrange(30)}"
+        rows.append((i, " ".join(w), "s", 0))
+    codes: dict = {}
+    sets = [sorted({codes.setdefault(tuple(t.split()[k:k + 3]), len(codes)) for k in range(98)}) for _, t, _, _ in rows]
+    held = np.bincount(np.concatenate(sets), minlength=len(codes))
+    place = np.full(len(codes), -1)
+    place[held > 1] = np.arange((held > 1).sum())
+    have = np.zeros((5000, int((held > 1).sum())), np.float32)
+    for i, x in enumerate(sets):
+        have[i, [p for p in place[x] if p >= 0]] = 1
+    size = np.array([len(x) for x in sets])
+    pairs = []
+    for a in range(0, 5000, 500):
+        common = have[a:a + 500] @ have.T
+        both = size[a:a + 500, None] + size - common
+        x, y = np.nonzero(100 * common >= 85 * both)
+        pairs += zip((x + a).tolist(), y.tolist(), strict=True)
+    want = roots(range(5000), pairs)
+    assert 50 < len(set(want.values())) < 4950
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [4096, 50])
+def test_members_of_a_leader_meet_across_blocks(spark, monkeypatch, block):
+    """However members are dealt into blocks, the same links are found."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rnd.randrange(2, 7)):
+            w[rnd.randrange(60)] = f"x{rnd.randrange(12)}"
+        rows.append((i, " ".join(w), "s", 0))
+    sets = {i: {tuple(t.split()[k:k + 3]) for k in range(58)} for i, t, _, _ in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85).collect()}
+    assert got == roots(sets, pairs)
+
+
+def test_clashing_names_in_dedup_stages(spark):
+    """Columns may bear the names the stages use for themselves."""
+    words50 = " ".join(f"p{j}" for j in range(60))
+    rows = [(i, f"q{i} {words50}" if i < 4 else f"r{i} s t u v w", "s", -1, "x", "y", 5, 6) for i in range(8)]
+    names = "doc_id long, text string, source string, _row int, spans string, _gone string, row int, doc int"
+    table = spark.createDataFrame(rows, names)
+    cut = substrings.without_repeats(table).collect()
+    assert {tuple(r)[3:] for r in cut} == {(-1, "x", "y", 5, 6)} and sum(len(r.text.split()) for r in cut) == 61 + 3 + 4 * 6
+    left = minhash.one_of_each_group(table).collect()
+    assert {tuple(r)[3:] for r in left} == {(-1, "x", "y", 5, 6)} and sorted(r.doc_id for r in left) == [0, 4, 5, 6, 7]
+
+
 def repeats(texts, width=50):
     first: dict = {}
     out = {}
@@ -238,6 +299,17 @@ def test_clean_judges_every_row_by_itself(spark):
     assert kept == {r for i, t, _, r in rows if "vile" not in t}
 
 
+def test_toxicity_on_the_cluster_equals_the_driver(spark, monkeypatch):
+    """Gradients added up by tasks give the weights that one array gives."""
+    rnd = random.Random(6)
+    rows = [(i, " ".join([f"w{rnd.randrange(200)}" for _ in range(30)] + ["vile"] * (i % 7 == 0)), "s", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i, *_ in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "ROUNDS", 4)
+    a, b = toxicity.train(docs, labels), toxicity.train(docs, labels, local_sets=0)
+    assert np.count_nonzero(a[0]) and np.allclose(a[0], b[0]) and np.isclose(a[1], b[1])
+
+
 def test_non_negative_risk_learns_from_hidden_positives():
     """Unlabelled text that holds positives does not make their feature look clean."""
     positive = [np.array([1])] * 40
