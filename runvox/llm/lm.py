@@ -104,7 +104,7 @@ def _cuts(placed: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def _planes(values: np.ndarray, kind: str) -> bytes:
     """Numbers as bytes, all first bytes before all second ones."""
-    return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T.tobytes()
 
 
 def _unplaned(data: bytes, kind: str) -> np.ndarray:

@@ -76,6 +76,17 @@ def test_scores(spark, rows, monkeypatch, order, broadcast):
         (i, held(i), *near(w)) for (i, _), w in zip(rows, want, strict=True))
 
 
+def test_shards_without_repeated_or_single_sequences(spark):
+    """A slice may have no sequence that occurs once, or none that occurs more often."""
+    for kind in ("<u4", "<u8"):
+        assert lm._planes(np.zeros(0, np.uint64), kind) == b"" and len(lm._unplaned(b"", kind)) == 0
+    for texts in (["a b c d e f g"], ["a b c"] * 3):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = lm.scored(docs, F.lit(False), order=2, mass=3.0, probes=30).collect()
+        want = brute(list(enumerate(texts)), lambda i: False, 2, 3.0)
+        assert sorted(round(r.score, 6) for r in got) == sorted(round(w[-1], 6) for w in want)
+
+
 def test_levels():
     counts = np.array([1, 2, 3, 4, 5, 6, 100, 10**9])
     levels = lm.level_of(counts)
