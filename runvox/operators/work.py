@@ -52,11 +52,10 @@ def size_groups(files: DataFrame, limit: int, prefix: str = "prefix") -> DataFra
     A group's start decides the next, so the walk is a chain of pointers: each file points to the first file that
     would no longer fit if a group began with it. The pointers come from running sums and a window over files of
     nearby sums; the starts are then found by doubling the pointers, in logarithmically many joins. No prefix is
-    ever walked in one task.
+    ever walked in one task. Files with equal names go by size, and the sums follow the positions, so reruns agree.
     """
-    order = [prefix, "name"]
-    placed = ranked(files, order)
-    placed = ranked(placed, order, weight="size", into="before")
+    placed = ranked(files, [prefix, "name", "size"])
+    placed = ranked(placed, ["position"], weight="size", into="before")
     key = [prefix]
     # first file whose end lies beyond before + limit, searched among files of the same and later limit-sized bands
     ends = placed.select(prefix, (F.col("before") + F.col("size")).alias("at"), F.col("position").alias("item"))

@@ -2,9 +2,11 @@ import gzip
 import hashlib
 import struct
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from check_oracle import compare
 from runvox import vocabulary
 from runvox.functions import text
 from runvox.operators import labels, manifest, report, work
@@ -255,3 +257,27 @@ def test_progress_keeps_every_source(spark):
     expected = spark.createDataFrame([("a", 2), ("b", 4), ("c", 5)], "source string, total long")
     got = {r.source: (r.verified, r.total, r.state) for r in streams.with_progress(counts, expected).collect()}
     assert got == {"a": (2, 2, "COMPLETE"), "b": (3, 4, "IN_PROGRESS"), "c": (0, 5, "WAITING"), "x": (1, None, "ERROR")}
+
+
+def test_pages_with_equal_urls(spark, tmp_path):
+    """Equal names neither multiply rows nor lend each other's hashes; each page is judged by itself."""
+    duck = duckdb.connect()
+    duck.execute(f"""COPY (SELECT i AS page_id, 'https://a/' || i % 40 AS url, repeat('x', i % 7 + 1) || i AS html FROM range(600) AS r(i))
+        TO '{tmp_path}/pages.parquet'""")
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    for name in ("manifest_violations", "verify_manifest", "reusable", "file_inventory"):
+        assert compare(spark, duck, name, str(tmp_path)).startswith("ok"), name
+
+
+def test_size_groups_of_equal_names(spark):
+    """Equal names go by size, however the rows come."""
+    files = [("p", f"n{i // 30}", 1 + i * 37 % 61) for i in range(120)]
+    want, group, total = [], 0, 0
+    for row in sorted(files):
+        if total + row[2] > 100 and total:
+            group, total = group + 1, 0
+        total += row[2]
+        want.append((*row, group))
+    for some in (files, files[::-1]):
+        got = work.size_groups(spark.createDataFrame(some, "prefix string, name string, size long"), 100)
+        assert sorted(tuple(r) for r in got.select("prefix", "name", "size", "archive").collect()) == want
