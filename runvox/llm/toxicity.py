@@ -168,6 +168,22 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
+#: Ids are first looked up in a bitmap of so many bits (2 MB), however many they are.
+FILTER_BITS = 24
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``. A bitmap of hashed ids, of fixed size, lets only likely texts into the
+    join; what it lets through wrongly, the join drops."""
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << FILTER_BITS))
+    part, bit = F.shiftright(place, 15).alias("_part"), place.bitwiseAND((1 << 15) - 1)
+    field = ids.select(part, bit.alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_field"))
+    byte = F.conv(F.hex(F.substring("_field", F.shiftright("_bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = byte.bitwiseAND(F.expr("shiftleft(1, CAST(_bit % 8 AS INT))")) != 0
+    likely = docs.withColumns({"_part": part, "_bit": bit}).join(F.broadcast(field), "_part").where(held).drop("_part", "_bit", "_field")
+    return likely.join(ids.distinct(), "doc_id")  # a semi join would be moved below the lookup, to all texts
+
+
 def train(docs: DataFrame, labels: DataFrame, local_sets: int = LOCAL_SETS) -> tuple[np.ndarray, float]:
     """Fits the classifier to all rows with an id that are not held out. Rows that repeat an id count one by one."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -177,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, local_sets: int = LOCAL_SETS) -> t
         return weights, -4.0
     prior = min(0.9, share)
     every = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text")
-    toxic = materialise(every.join(known.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi"))
+    toxic = materialise(_with_ids(every, known.where("toxic = 1").select("doc_id")))
     positives, unlabelled = toxic.count(), every.count()
     if not positives:
         return weights, float(np.log(prior / (1 - prior)))

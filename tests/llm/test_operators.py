@@ -299,6 +299,21 @@ def test_clean_judges_every_row_by_itself(spark):
     assert kept == {r for i, t, _, r in rows if "vile" not in t}
 
 
+@pytest.mark.parametrize("bits", [16, 24])
+def test_toxic_texts_are_looked_up_by_id(spark, monkeypatch, bits):
+    """The bitmap loses no id and the join lets none in wrongly; few other texts reach the join."""
+    monkeypatch.setattr(toxicity, "FILTER_BITS", bits)
+    docs = spark.range(-500, 20_000).selectExpr("id AS doc_id", "repeat('x', 5) AS text")
+    docs = docs.unionByName(docs.where("doc_id % 1000 = 0"))
+    wanted = spark.range(-600, 30_000, 50).selectExpr("id AS doc_id")
+    got = toxicity._with_ids(docs, wanted.unionByName(wanted))
+    want = docs.where("doc_id % 50 = 0")
+    assert got.columns == ["doc_id", "text"] and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert toxicity._with_ids(docs, wanted.limit(0)).count() == 0
+    plan = toxicity._with_ids(docs, wanted)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner, (doc_id") < plan.index("_part#")  # the lookup lies below the join by id
+
+
 def test_toxicity_on_the_cluster_equals_the_driver(spark, monkeypatch):
     """Gradients added up by tasks give the weights that one array gives."""
     rnd = random.Random(6)
