@@ -28,9 +28,15 @@ END_ID = 1
 REMEMBERED = 600_000
 #: Letters without marks of their own, then ASCII signs other than the apostrophe: this tokenizer folds case and ends a
 #: token between the two, so such a word has the ids of its lower-cased letters and those of its signs.
+#: Each of the two is one word of the model, whose last token alone has the mark of a word's end.
 _LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+WORD_END = "</w>"
+#: So many plain words are encoded as one text, which is cheaper than a text for each.
+JOINED = 256
+
+
 class _Ids(dict):
     """Token ids (little-endian unsigned 32 bit) of words. Words are split at ASCII white space, where this tokenizer
     always ends a token, so a text's ids are those of its words in turn."""
@@ -39,23 +45,47 @@ class _Ids(dict):
         super().__init__()
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.parts: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, words: list[str]) -> None:
+        """Ids of plain words, encoded many at a time and cut behind each token that ends a word."""
+        chunks = [words[a:a + JOINED] for a in range(0, len(words), JOINED)]
+        for chunk, found in zip(chunks, self._encoded([" ".join(c) for c in chunks]), strict=True):
+            ids = np.array(found, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) == len(chunk):
+                data = ids.tobytes()
+                self.parts.update(zip(chunk, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            else:  # a word without tokens, or without such an end
+                self._single(chunk)
+
+    def _single(self, texts: list[str]) -> None:
+        for a in range(0, len(texts), 4096):
+            some = texts[a:a + 4096]
+            self.parts.update((p, array("I", ids).tobytes()) for p, ids in zip(some, self._encoded(some), strict=True))
 
     def learn(self, words: set[bytes]) -> None:
         if len(self) > REMEMBERED:
             self.clear()
         if len(self.parts) > REMEMBERED:
             self.parts = {"": b""}
-        new = {}
+        new, plain, other = {}, set(), set()
         for w in words:
             if w not in self:
                 text = w.decode()
-                found = _LETTERS_SIGNS.fullmatch(text)
-                new[w] = (found[1].lower(), found[2]) if found else (text, "")
-        missing = list({p for pair in new.values() for p in pair if p not in self.parts})
-        for a in range(0, len(missing), 4096):
-            some = missing[a:a + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.parts[p] = array("I", e.ids).tobytes()
+                if found := _LETTERS_SIGNS.fullmatch(text):
+                    new[w] = pair = (found[1].lower(), found[2])
+                    plain.update(pair)
+                else:
+                    new[w] = (text, "")
+                    other.add(text)
+        self._plain([p for p in plain if p not in self.parts])
+        self._single([p for p in other if p not in self.parts])
         for w, (letters, signs) in new.items():
             self[w] = self.parts[letters] + self.parts[signs]
 

@@ -266,6 +266,22 @@ def test_packing_plan_uses_every_length():
     assert used == counts
 
 
+def test_words_are_encoded_together(monkeypatch):
+    """Many plain words go to the tokenizer as one text; each gets the ids it has alone."""
+    rnd = random.Random(8)
+    words = {"".join(rnd.choice("abcdeßéÀÖÿøZ") for _ in range(rnd.randint(1, 14))) + rnd.choice(["", ".", ",!", "###", "</w>", "'s"]) for _ in range(3000)}
+    words |= {"<|endoftext|>", "it's", "'", "x1y", "12", "e\u0301", "\u0130", "\ud55c\uae00", "a\u00a0b", "\x00", "</w>"}
+    ids = packing._Ids(TOKENIZER)
+    texts, encoded = [], ids._encoded
+    monkeypatch.setattr(ids, "_encoded", lambda some: texts.extend(some) or encoded(some))
+    ids.learn({w.encode() for w in words})
+    ids.learn({w.encode() for w in words})
+    alone = packing.Tokenizer.from_file(TOKENIZER)
+    for w in words:
+        assert np.frombuffer(ids[w.encode()], "<u4").tolist() == alone.encode(w, add_special_tokens=False).ids, w
+    assert len(texts) < 0.5 * len(words)
+
+
 def test_toxicity(spark):
     rnd = random.Random(5)
     rows, labels = [], []
