@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 ENTRY = "source string, name string, sha256 string"
 
@@ -19,7 +19,7 @@ def manifest_stream(spark: SparkSession, folder: str, schema: str = ENTRY, files
 
 def verified_counts(entries: DataFrame) -> DataFrame:
     """Distinct verified files per source. State is one key per file ever verified, so it is bounded by the
-    inventory. Counts only grow here; ``verified_changes`` follows files that turn corrupt."""
+    inventory. Counts only grow here; ``keep_counts`` follows files that turn corrupt."""
     return (entries.dropDuplicates(["source", "name", "sha256"]).groupBy("source")
             .agg(F.count(F.lit(1)).alias("verified")))
 
@@ -27,43 +27,34 @@ def verified_counts(entries: DataFrame) -> DataFrame:
 STATUS = "source string, name string, at long, ok boolean"
 
 
-def verified_changes(entries: DataFrame) -> DataFrame:
-    """(source, name, change) from a stream (source, name, at, ok): 1 when a file becomes verified, -1 when it no longer is.
-
-    The state of a file is its latest entry by ``at``; an older one that comes late changes nothing, and of entries with one
-    ``at`` a failing one counts. Entries without a name or ``at`` are ignored, a null ``ok`` is a failure.
-    """
-    def latest(key, batches, state):
-        at, ok = state.get if state.exists else (None, False)
-        was = ok
-        for batch in batches:
-            for when, good in zip(batch["at"], batch["ok"].fillna(False).astype(bool), strict=True):
-                if at is None or when > at:
-                    at, ok = int(when), bool(good)
-                elif when == at:
-                    ok = ok and bool(good)
-        state.update((at, bool(ok)))
-        if ok != was:
-            yield pd.DataFrame({"source": [key[0]], "name": [key[1]], "change": [1 if ok else -1]})
-
-    known = entries.where("name IS NOT NULL AND at IS NOT NULL")
-    return known.groupBy("source", "name").applyInPandasWithState(
-        latest, "source string, name string, change int", "at long, ok boolean", "append", "NoTimeout")
+def _verdict() -> Column:
+    """(at, bad): the larger one holds, so the latest entry does, and of entries with one ``at`` a failing one."""
+    return F.struct("at", (~F.coalesce("ok", F.lit(False))).alias("bad"))
 
 
 def keep_counts(entries: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """Writes the changes per source of every micro-batch below ``output``; a repeated batch replaces its own. The sum of all
-    is the count as it stands (``counted``)."""
+    """Writes what every micro-batch of a stream (source, name, at, ok) says about its files below ``output``, a row per file;
+    a repeated batch replaces its own. ``counted`` puts the batches together.
+
+    A file stands as its latest entry by ``at`` says; an older one that comes late changes nothing. Entries without a name or
+    ``at`` are ignored, a null ``ok`` is a failure.
+    """
     def commit(batch: DataFrame, number: int) -> None:
-        (batch.groupBy("source").agg(F.sum("change").alias("change")).withColumn("batch", F.lit(number)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(output))
+        (batch.groupBy("source", "name").agg(F.max(_verdict()).alias("_v")).select("source", "name", "_v.*", F.lit(number).alias("batch"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(output))
 
-    return (verified_changes(entries).writeStream.outputMode("append").foreachBatch(commit)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    known = entries.where("name IS NOT NULL AND at IS NOT NULL")
+    return (known.writeStream.outputMode("append").foreachBatch(commit).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def counted(spark: SparkSession, output: str) -> DataFrame:
-    return spark.read.parquet(output).groupBy("source").agg(F.sum("change").cast("long").alias("verified"))
+    """Verified files per source as they stand, of every source that had one after some batch."""
+    sofar = Window.partitionBy("source", "name").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    states = spark.read.parquet(output).withColumn("_s", F.max(F.struct("at", "bad")).over(sofar))
+    files = states.groupBy("source", "name").agg(F.max("_s").alias("_s"), F.bool_or(~F.col("_s.bad")).alias("_once"))
+    return (files.groupBy("source").agg(F.count_if(~F.col("_s.bad")).alias("verified"), F.bool_or("_once").alias("_once"))
+            .where("_once").drop("_once"))
 
 
 def with_progress(counts: DataFrame, expected: DataFrame) -> DataFrame:
