@@ -95,7 +95,7 @@ def gate_rejects(t: Tables) -> DataFrame:
 @query("gated_scores", f"""SELECT source, case_id, organ, round(reference_ml, 6) AS reference_ml, round(predicted_ml, 6) AS predicted_ml,
     round(dice, 6) AS dice, miss FROM o_metric JOIN (SELECT source, case_id FROM ({_REASONS}) WHERE reasons = '') USING (source, case_id)""")
 def gated_scores(t: Tables) -> DataFrame:
-    rows = pipelines.gated_scores(t.runs("v_truth"), t.runs("v_pred"), t.header, ORGANS, _gate(t))
+    rows = pipelines.gated_scores(t.runs("v_truth", tiled=True), t.runs("v_pred", tiled=True), t.header, ORGANS, _gate(t))
     return rows.select(*KEY, "organ", r6("reference_ml"), r6("predicted_ml"), r6("dice"), "miss")
 
 
