@@ -29,7 +29,8 @@ REMEMBERED = 600_000
 #: Letters without marks of their own, then ASCII signs other than the apostrophe: this tokenizer folds case and ends a
 #: token between the two, so such a word has the ids of its lower-cased letters and those of its signs.
 #: Each of the two is one word of the model, whose last token alone has the mark of a word's end.
-_LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Found in words joined by spaces: letters and signs, or what else a word is.
+_LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]++)([!-&(-/:-@\[-`{-~]*+)(?= |\Z)|([^ ]+)")
 
 
 WORD_END = "</w>"
@@ -74,20 +75,16 @@ class _Ids(dict):
             self.clear()
         if len(self.parts) > REMEMBERED:
             self.parts = {"": b""}
-        new, plain, other = {}, set(), set()
-        for w in words:
-            if w not in self:
-                text = w.decode()
-                if found := _LETTERS_SIGNS.fullmatch(text):
-                    new[w] = pair = (found[1].lower(), found[2])
-                    plain.update(pair)
-                else:
-                    new[w] = (text, "")
-                    other.add(text)
-        self._plain([p for p in plain if p not in self.parts])
-        self._single([p for p in other if p not in self.parts])
-        for w, (letters, signs) in new.items():
-            self[w] = self.parts[letters] + self.parts[signs]
+        new = [w for w in words if w not in self]
+        if not new:
+            return
+        found = _LETTERS_SIGNS.findall(b" ".join(new).decode())
+        letters = " ".join([f[0] for f in found]).lower().split(" ")  # one letter for one letter
+        signs, other = [f[1] for f in found], [f[2] for f in found]
+        parts = self.parts
+        self._plain([p for p in {*letters, *signs} if p not in parts])
+        self._single([p for p in set(other) if p not in parts])
+        self.update(zip(new, [parts[a] + parts[b] + parts[c] for a, b, c in zip(letters, signs, other, strict=True)]))
 
 
 _IDS: dict[str, _Ids] = {}

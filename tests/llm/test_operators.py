@@ -565,3 +565,20 @@ def test_pipeline_stages(spark, docs):
         out = stage(spark, out, sf_dir)
         assert out.columns == rows.columns
     assert corpus_pipeline.STAGES[-1][1](spark, out, sf_dir).count() >= out.count()
+
+
+def test_words_are_learnt_many_at_a_time_as_they_are_encoded_alone():
+    import os
+    from runvox.llm import packing, queries
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    words = "ÿÀÉ a×b, ß!! foo-bar, it's, 12 <|endoftext|> ok.. ,, ' İx Plain plain. PLAIN!? x\x1cy z\xa0a, q\u2028r".split(" ")
+    ids = packing._Ids(queries.TOKENIZER)
+    calls = []
+    alone = ids._single
+    ids._single = lambda texts: (calls.append(len(texts)), alone(texts))
+    ids.learn({w.encode() for w in words})
+    ids.learn(set())
+    ids.learn({w.encode() for w in words})
+    for w in words:
+        assert ids[w.encode()] == np.array(ids.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), w
+    assert sum(calls) < len(words)
