@@ -582,3 +582,22 @@ def test_words_are_learnt_many_at_a_time_as_they_are_encoded_alone():
     for w in words:
         assert ids[w.encode()] == np.array(ids.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), w
     assert sum(calls) < len(words)
+
+
+def test_pipeline_stages_get_texts_in_batches_bounded_by_bytes(spark):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('a long text ', 1000) AS text")
+    try:
+        stage = corpus_pipeline.in_small_batches(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n long"))
+        got = [r.n for r in stage(spark, docs, "").collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) > 5 and max(got) <= corpus_pipeline.BATCH_BYTES + (1 << 16)
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
