@@ -92,3 +92,23 @@ def test_written_files_come_back(spark, tmp_path):
     files = spark.createDataFrame([("s/k/labels.nii.gz", bytearray(content))], "name string, content binary")
     assert vs.write_files(files, str(tmp_path)).collect()[0].name == "s/k/labels.nii.gz"
     assert vs.runs(vs.scan(spark, str(tmp_path))).count() == 4
+
+
+def test_label_files_hold_every_voxel_and_none_is_looked_up_in_a_map(spark, capsys):
+    from runvox.plans import catalog
+    from runvox.plans.voxel_queries import IDS, volume_content
+    from runvox.sources.nifti import read_volume
+
+    t = catalog.Tables(spark, "/root/testdata/sf0.001")
+    files = volume_content(t)
+    want = {}
+    for r in t.base("v_truth").collect():
+        at = (r.source, r.case_id, r.x, r.y, r.z)
+        want[at] = max(want.get(at, 0), IDS[r.organ])
+    got = {}
+    for f in files.collect():
+        data = read_volume(bytes(f.content))[1]
+        got |= {(f.source, f.case_id, *p): int(data[p]) for p in zip(*map(lambda a: a.tolist(), data.nonzero()), strict=True)}
+    assert got == want
+    files.explain("extended")
+    assert "map_from_entries" not in capsys.readouterr().out
