@@ -17,11 +17,13 @@ def with_priority(runs: DataFrame, write_order: Sequence[str]) -> DataFrame:
     return runs.withColumn("priority", place).where(F.col("priority") > 0)
 
 
-def compose_labels(runs: DataFrame) -> DataFrame:
-    """Label runs after writing the masks in order of ``priority`` (later wins). Input: organ runs with priority."""
+def compose_labels(runs: DataFrame, whole: bool = True) -> DataFrame:
+    """Label runs after writing the masks in order of ``priority`` (later wins). Input: organ runs with priority. Runs that
+    touch are united if they are to be ``whole``; what counts voxels only needs no such runs."""
     swept = column_sweep(runs, CASE_KEY, ["priority", "organ"])
     top = F.array_max(F.transform("over", lambda r: F.struct(r["priority"].alias("p"), r["organ"].alias("o"))))
-    return union_runs(swept.select(*CASE_KEY, "x", "y", "z0", "z1", top["o"].alias("organ")))
+    pieces = swept.select(*CASE_KEY, "x", "y", "z0", "z1", top["o"].alias("organ"))
+    return union_runs(pieces) if whole else pieces
 
 
 def overlap_voxels(runs: DataFrame, header: DataFrame) -> DataFrame:
