@@ -281,3 +281,24 @@ def test_size_groups_of_equal_names(spark):
     for some in (files, files[::-1]):
         got = work.size_groups(spark.createDataFrame(some, "prefix string, name string, size long"), 100)
         assert sorted(tuple(r) for r in got.select("prefix", "name", "size", "archive").collect()) == want
+
+
+def test_fingerprint_of_a_body_of_one_voxel_is_that_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    source = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{source}/supplier.parquet").write.parquet(str(tmp_path / "supplier.parquet"))
+    items = spark.read.parquet(f"{source}/lineitem.parquet")
+    inside = "floor(l_extendedprice) % 2200 BETWEEN 1050 AND 1150"
+    one = items.where(inside).groupBy("l_suppkey").agg(F.min_by(F.struct(*items.columns), F.struct("l_orderkey", "l_linenumber")).alias("i"))
+    one.select("i.*").write.parquet(str(tmp_path / "lineitem.parquet"))
+    duck = duckdb.connect()
+    for name in ("supplier", "lineitem"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = entry.queries()["fingerprints"](spark, str(tmp_path))
+    want = duck.execute(entry.oracle_sql()["fingerprints"])
+    names = [d[0] for d in want.description]
+    rows = sorted(str(r) for r in want.fetchall())
+    assert sorted(str(tuple(r)) for r in got.select(*names).collect()) == rows and "nan" in rows[0]
