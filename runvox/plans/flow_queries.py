@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runvox import vocabulary
 from runvox.operators import cohort, score
 from runvox.operators.gates import Gate, prediction_gate
-from runvox.operators.runs import length
+from runvox.operators.runs import length, pack_tiles
 from runvox.plans import pipelines
 from runvox.plans.catalog import Tables, query, r6
 from runvox.plans.derived import ORGANS
@@ -141,14 +141,17 @@ def resume_scores(t: Tables) -> DataFrame:
     half of the predictions, the second one the rest, with files of the first announced again."""
     root = f"{checkpoint_root(t.spark)}/runvox/{uuid.uuid4().hex}"
     for name in ("v_truth", "v_pred"):
-        t.runs(name).write.parquet(f"{root}/{name}")
+        pack_tiles(t.runs(name, tiled=True)).write.parquet(f"{root}/{name}")
     header = t.header
     header.write.parquet(f"{root}/header")
 
     def scored(batch: DataFrame) -> DataFrame:
-        mine = lambda name: batch.sparkSession.read.parquet(f"{root}/{name}").join(batch.select(*KEY), KEY, "left_semi")
-        counts = materialise(score.confusion(mine("v_truth"), mine("v_pred"), mine("header"), ORGANS))
-        return counts.drop("voxel_ml").join(score.volume_metrics(counts).select(*KEY, "organ", "dice", "miss"), [*KEY, "organ"])
+        new = materialise(batch.select(*KEY))  # read three times: the state of the stream is not
+        mine = lambda name: batch.sparkSession.read.parquet(f"{root}/{name}").join(new, KEY, "left_semi")
+        counts = score.confusion_of_tiles(mine("v_truth"), mine("v_pred"), mine("header"), ORGANS)
+        names = ("in_truth", "in_prediction", "intersection")
+        metrics = score.volume_metrics(counts.withColumns({f"_{n}": F.col(n) for n in names}))
+        return metrics.select(*KEY, "organ", *[F.col(f"_{n}").alias(n) for n in names], "dice", "miss")
 
     cases = t.base("v_header").select(*KEY, "k")
     files = cases.withColumn("side", F.explode(F.array(F.lit("truth"), F.lit("prediction"))))
