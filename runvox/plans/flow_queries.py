@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runvox import vocabulary
 from runvox.operators import cohort, score
 from runvox.operators.gates import Gate, prediction_gate
-from runvox.operators.runs import length, pack_tiles
+from runvox.operators.runs import length, pack_voxels
 from runvox.plans import pipelines
 from runvox.plans.catalog import Tables, query, r6
 from runvox.plans.derived import ORGANS
@@ -141,7 +141,7 @@ def resume_scores(t: Tables) -> DataFrame:
     half of the predictions, the second one the rest, with files of the first announced again."""
     root = f"{checkpoint_root(t.spark)}/runvox/{uuid.uuid4().hex}"
     for name in ("v_truth", "v_pred"):
-        pack_tiles(t.runs(name, tiled=True)).write.parquet(f"{root}/{name}")
+        pack_voxels(t.items(name)).write.parquet(f"{root}/{name}")
     header = t.header
     header.write.parquet(f"{root}/header")
 
